@@ -27,6 +27,7 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # a state partition would take 4 MB of disk before its first row
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 #: A group of over one in HOT rows is joined under several salts.
