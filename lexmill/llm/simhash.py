@@ -101,7 +101,7 @@ def _near(a: np.ndarray, b: np.ndarray, limits: list[int]) -> np.ndarray:
     """a, b: (columns, n) fingerprints. Whether each differs in at most its limit of bits; a limit of None adds to the next column."""
     ok, carried = True, 0
     for x, y, limit in zip(a, b, limits, strict=True):
-        bits = np.bitwise_count(x ^ y).astype(np.int64) + carried
+        bits = np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int64) + carried  # of a negative number, the sign would not count
         if limit is None:
             carried = bits
         else:
