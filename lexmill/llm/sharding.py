@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import documents, stored
 
 #: Sums that one pass may bring to the driver.
-SUMS = 200_000
+SUMS = 50_000
 #: Cells for counting slots: CELLS ranges of the hash by SALTS parts of each.
 CELLS, SALTS = 256, 64
 
