@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, simhash
+from . import exact_dedup, language, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_sharding": sharding.op6_sharding,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
+    "op10_language": language.op10_language,
 }
 
 ORACLE_SQL = {
