@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -57,3 +58,9 @@ def one_space(text: Column) -> Column:
 def crc_fold(doc_id: Column) -> Column:
     """crc32 of doc_id as text, modulo 5; 0 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
+def free(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished phases: Spark deletes them when their datasets are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

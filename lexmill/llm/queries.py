@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, mixing, sharding, simhash, toxicity
+from . import exact_dedup, language, mixing, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_sharding": sharding.op6_sharding,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
     "op10_language": language.op10_language,
