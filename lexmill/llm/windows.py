@@ -125,8 +125,8 @@ class Thinner:
             again = np.flatnonzero(hit)
             again = again[np.unique(so[again], return_index=True)[1]] if len(again) else again
             fresh = again[~(known[again] & self.told[slot[order[again]]])]
-            marks_k.append(g[order[fresh]])
-            marks_s.append(so[fresh])
+            marks_k += [g[order[fresh]], mix(so[fresh])]
+            marks_s += [so[fresh], so[fresh]]
         heads = np.flatnonzero(new)
         put = heads[~known[heads] | (self.seen_doc[slot[order[heads]]] > do[heads])] if self.ordered else heads[~known[heads]]
         self.seen_s[slot[order[put]]] = so[put]
@@ -155,7 +155,8 @@ class Thinner:
             marks_s.append(np.zeros(len(told), np.uint64))
             self.seen_g[gslot[start]] = go[start]
             self.count_g[gslot[start]] = before[start] + sizes
-        k = np.where(st == NORMAL, g, mix(s ^ (doc.astype(np.uint64) << np.uint64(17)) ^ np.arange(n).astype(np.uint64)))
+        spread = mix(s ^ (doc.astype(np.uint64) << np.uint64(17)) ^ np.arange(n).astype(np.uint64))
+        k = np.where(st == NORMAL, g, spread if self.ordered else np.where(st == NEEDS, mix(s), spread))
         return k, st, np.concatenate(marks_k) if marks_k else np.zeros(0, np.uint64), np.concatenate(marks_s) if marks_s else np.zeros(0, np.uint64)
 
 
@@ -190,8 +191,8 @@ def segment_rows(docs: DataFrame, hashes, gram: int, window: int, ordered: bool)
     return docs.mapInArrow(run, "k long, s long, doc long, th long, a int, n int, st byte")
 
 
-def keyed_runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[list[np.ndarray]]:
-    """Columns of a sorted partition in pieces of some ROWS rows that don't cut through a key."""
+def keyed_runs(batches: Iterator[pa.RecordBatch], rows: int = ROWS, key: int = 0) -> Iterator[list[np.ndarray]]:
+    """Columns of a sorted partition in pieces of some rows that don't cut through a key."""
     held, size = [], 0
     for b in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -199,7 +200,7 @@ def keyed_runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[list
             continue
         held.append(cols)
         size += len(cols[0])
-        if size < ROWS:
+        if size < rows:
             continue
         cols = [np.concatenate(x) for x in zip(*held, strict=True)]
         cut = int(np.searchsorted(cols[key], cols[key][-1]))
@@ -218,11 +219,11 @@ def resolved(rows: DataFrame, ordered: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, s, doc, th, a, n, st in keyed_runs(batches):
-            ready = (st == RESOLVED) | (st == NEEDS)
+            ready = (st == RESOLVED) | (st == NEEDS) & ordered  # unordered, hot rows are dealt by their segment and compared with their like first
             newk = np.concatenate([[True], k[1:] != k[:-1]])
             kid = np.cumsum(newk) - 1
             hot_mark = (st == MARK) & (s == 0)
-            hot = np.bincount(kid, weights=hot_mark)[kid] > 0
+            hot = np.bincount(kid, weights=hot_mark | (st == NEEDS) & ~ready)[kid] > 0
             body = ~ready & ~hot_mark
             news = np.zeros(len(k), bool)
             at = np.flatnonzero(body)
@@ -243,9 +244,8 @@ def resolved(rows: DataFrame, ordered: bool) -> DataFrame:
                 new[again] = RESOLVED
                 new[body & ~again] = np.where(multi, NEEDS + 8 * hot, -1)[body & ~again]
                 new[body & (st == MARK)] = -1
-                new[ready & (st == NEEDS)] = NEEDS + 8
                 # the first real row of each segment that repeats stands for it among the other segments of its anchor
-                real = np.flatnonzero(again & (st == NORMAL) & multi)
+                real = np.flatnonzero(again & (st != MARK) & multi)
                 real = real[np.unique(sid[real], return_index=True)[1]] if len(real) else real
                 extra = [x[real] for x in (doc, th, a, n)] + [(MARK + 8 * hot[real]).astype(np.int8), s[real], k[real]]
             keep = new >= 0
