@@ -41,13 +41,33 @@ class Settings:
     clean_for_each: int = 4
 
 
-def grams(word: str, s: Settings) -> list[int]:
-    """Buckets of a word: of itself and of its character n-grams, the ends marked."""
-    w = f"<{word.strip(EDGES) or word}>"
-    out = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % s.buckets]
-    for n in range(s.shortest, min(s.longest, len(w) - 1) + 1):
-        out += [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % s.buckets for i in range(len(w) - n + 1)]
-    return out
+def grams(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) pairs of many words at once: of each word itself and of its character n-grams, the ends marked."""
+    parts = [f"<{w.strip(EDGES) or w}>" for w in words]
+    sizes = np.array([len(p) for p in parts])
+    code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    own = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(code))  # characters from here to the word's end
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(sizes.max(initial=1)), P, np.uint64))
+        whole = np.add.reduceat(code * powers[left - 1], starts)
+        found = [(np.arange(len(words)), _bucket(whole, s.buckets))]
+        h = code
+        for n in range(2, s.longest + 1):
+            h = h[:-1] * P + code[n - 1 :]
+            if n >= s.shortest:
+                at = np.flatnonzero(left[: len(h)] >= n)
+                found.append((own[at], _bucket(h[at] + np.uint64(n), s.buckets)))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+P = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _means(values: np.ndarray, index: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -85,10 +105,11 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray
         return np.zeros(s.buckets, np.float32), float(np.log(share / (1 - share)))
     tokens, sizes, owner = np.asarray(tokens, np.int32), np.asarray(sizes), np.asarray(owner)
     token_starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    by_word = [grams(w, s) if w else [s.buckets] for w in words]
-    gram_sizes = np.asarray([len(g) for g in by_word])
-    gram_index = np.asarray([g for own in by_word for g in own], np.int32)
-    gram_starts = np.concatenate([[0], np.cumsum(gram_sizes)[:-1]])
+    own, gram_index = grams(list(words)[1:], s)
+    own, gram_index = np.append(own + 1, 0), np.append(gram_index, s.buckets)  # the words left out have a bucket of their own
+    order = np.argsort(own, kind="stable")
+    gram_index, gram_sizes = gram_index[order], np.bincount(own)
+    gram_starts = np.cumsum(gram_sizes) - gram_sizes
     used, gram_index = np.unique(gram_index, return_inverse=True)
     gram_index = gram_index.astype(np.int32)
     word_back, gram_back = _turned(tokens, sizes), _turned(gram_index, gram_sizes)
@@ -126,44 +147,60 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray
             q -= s.rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.99 ** (step + 1))) + 1e-8) + s.rate * s.decay * q
     e, u, b = params
     weights = np.zeros(s.buckets, np.float32)
-    weights[used[:-1]] = (e @ (u[:, 1] - u[:, 0]))[:-1]  # the last is the bucket of the words left out
+    weights[used[:-1]] = (e @ (u[:, 1] - u[:, 0]))[:-1]
     return weights, float(b[1] - b[0])
 
 
 class Scorer:
     """Scores of texts. Word weights are kept for up to limit words."""
 
-    def __init__(self, weights: np.ndarray, bias: float, s: Settings, limit: int = 400_000):
+    def __init__(self, weights: np.ndarray, bias: float, s: Settings, limit: int = 600_000):
         self.weights, self.bias, self.s, self.limit = weights, bias, s, limit
         self.known: dict[str, float] = {}
 
+    def learn(self, words: list[str]) -> None:
+        if words:
+            own, bucket = grams(words, self.s)
+            self.known.update(zip(words, (np.bincount(own, weights=self.weights[bucket]) / np.bincount(own)).tolist(), strict=True))
+
     def word(self, w: str) -> float:
-        if len(self.known) >= self.limit:
+        self.learn([w])
+        return self.known[w]
+
+    def __call__(self, texts: list[str | None], together: int = 100_000) -> list[float]:
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append((text or "").lower().split())
+            size += len(held[-1])
+            if size >= together:
+                out += self._score(held)
+                held, size = [], 0
+        return out + self._score(held)
+
+    def _score(self, held: list[list[str]]) -> list[float]:
+        if len(self.known) > self.limit:
             self.known.clear()
-        x = self.known[w] = float(self.weights[grams(w, self.s)].mean())
-        return x
-
-    def __call__(self, text: str | None) -> float:
-        words = (text or "").lower().split()
-        if not words:
-            logit = self.bias
-        else:
-            known, word = self.known, self.word
-            x = np.array([known[w] if w in known else word(w) for w in words])
-            n = min(self.s.passage, len(x))
-            total = np.concatenate([[0], np.cumsum(x)])
-            at = np.arange(0, max(1, len(x) - n + 1), max(1, n // 4))
-            at = np.append(at, len(x) - n)
-            logit = ((total[at + n] - total[at]) / n).max() + self.bias
-        return float(1 / (1 + np.exp(np.clip(-logit, -30, 30))))
-
-
-def fit(labelled: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
-    """Train on a bounded sample of the labelled rows: those of each class with the smallest hash of their text. The task that trains holds the sample; the driver gets one number for each bucket."""
-    rows = labelled.filter(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("t"))
-    draw = F.xxhash64("t", F.lit(3))
-    ones = rows.filter("y = 1").orderBy(draw, "t").limit(settings.toxic_rows)
-    zeros = rows.filter("y = 0").orderBy(draw, "t").limit(settings.toxic_rows * settings.clean_for_each)
+        known = self.known
+        self.learn(list({w for words in held for w in words if w not in known}))
+        logits = []
+        for words in held:
+            if not words:
+                logits.append(self.bias)
+                continue
+            total = np.zeros(len(words) + 1)
+            np.cumsum([known[w] for w in words], out=total[1:])
+            n = min(self.s.passage, len(words))
+            at = np.append(np.arange(0, len(words) - n + 1, max(1, n // 4)), len(words) - n)
+            logits.append(((total[at + n] - total[at]) / n).max() + self.bias)
+        return (1 / (1 + np.exp(np.clip(-np.array(logits, dtype=float), -30, 30)))).tolist()
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
+    """Train on a bounded sample: for each class the labelled ids with the smallest hash. Ids are drawn before any text is read, so no text is shuffled but the sample's. The task that trains holds the sample; the driver gets one number for each bucket."""
+    ids = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    draw = F.xxhash64("id", F.lit(3))
+    sample = ids.filter("y = 1").orderBy(draw, "id").limit(settings.toxic_rows).unionByName(ids.filter("y = 0").orderBy(draw, "id").limit(settings.toxic_rows * settings.clean_for_each))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "id").filter("t IS NOT NULL").select("y", "t").repartition(1).sortWithinPartitions(F.xxhash64("t", F.lit(3)), "t")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts, labels = [], []
@@ -178,31 +215,31 @@ def fit(labelled: DataFrame, settings: Settings, id_col: str = "doc_id", text_co
         weights, bias = train([texts[i] for i in keep], y[keep], settings)
         yield pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
 
-    got = ones.unionByName(zeros).coalesce(1).mapInPandas(run, "weights binary, bias double").first()
+    got = rows.mapInPandas(run, "weights binary, bias double").first()
     if got is None:
         return np.zeros(settings.buckets, np.float32), -5.0
     return np.frombuffer(got.weights, np.float32), got.bias
 
 
-def toxicity(df: DataFrame, labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """df with score and predicted added, learned from labelled (text, label).
+def toxicity(df: DataFrame, docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """df with score and predicted added, learned from the texts of docs that labels (id, label) covers.
 
-    labelled is used through a bounded sample (Settings.toxic_rows and
-    clean_for_each); every text of df is scored whole. A null or blank text has
-    no words and gets the score of the bias alone. With no labelled rows, or one
-    class only, all texts get one score. Labels other than 0 and 1 are passed
-    over. Columns score and predicted of df itself are replaced; repeated rows
-    stay repeated.
+    A bounded sample is learned from (Settings.toxic_rows and clean_for_each);
+    every text of df is scored whole. A null or blank text has no words and gets
+    the score of the bias alone. With no labelled rows, or one class only, all
+    texts get one score. Labels other than 0 and 1 are passed over; of several
+    labels of an id the largest counts. Columns score and predicted of df itself
+    are replaced; repeated rows stay repeated.
     """
     spark = df.sparkSession
-    weights, bias = fit(labelled, settings, id_col, text_col, label_col)
+    weights, bias = fit(docs, labels, settings, id_col, text_col, label_col)
     shared = spark.sparkContext.broadcast(weights)  # four bytes a bucket
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ask = Scorer(shared.value, bias, settings)
         for b in batches:
-            yield pd.Series([ask(t) for t in b], dtype="float64")
+            yield pd.Series(ask(b.tolist()), dtype="float64")
 
     return df.drop("score", "predicted").withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -211,5 +248,4 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held = crc_fold(F.col("doc_id")) == 0
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    labelled = docs.filter(~held).join(labels.filter(~held), "doc_id")
-    return toxicity(docs, labelled).select("doc_id", held.alias("held_out"), "score", "predicted")
+    return toxicity(docs, docs.filter(~held), labels.filter(~held)).select("doc_id", held.alias("held_out"), "score", "predicted")
