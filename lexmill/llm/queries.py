@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, mixing, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from . import exact_dedup, language, line_dedup, mixing, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_sharding": sharding.op6_sharding,
