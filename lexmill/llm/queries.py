@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, line_dedup, mixing, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, exact_dedup, language, line_dedup, mixing, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
