@@ -35,7 +35,7 @@ def _classes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new = np.concatenate([[True], by[1:] != by[:-1]])
     rank = np.empty(len(keys), np.int32)
     rank[order] = np.cumsum(new) - 1
-    return by[new], order[new], rank
+    return by[new], order[new].astype(np.int32), rank
 
 
 @dataclass
@@ -113,13 +113,13 @@ def _interleave(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _heads(a: np.ndarray, b: np.ndarray, head_a: np.ndarray, head_b: np.ndarray, n: int) -> np.ndarray:
-    out = np.empty(n, np.int64)
+    out = np.empty(n, np.int32)
     out[b] = head_b
     out[a] = head_a
     return out
 
 
-def merged(strings: list[bytes], length: int, shard_bytes: int = 1 << 20) -> Shard:
+def merged(strings: list[bytes], length: int, shard_bytes: int = 1 << 18) -> Shard:
     """The order of all strings' suffixes: of shards of some shard_bytes, merged in pairs."""
     shards, part, size = [], [], 0
     for x in strings:

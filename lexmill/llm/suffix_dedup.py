@@ -28,7 +28,7 @@ WINDOW, GRAM = 400, 200
 #: A hash for each byte value.
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Segments that a task looks at together.
-TOGETHER = 6000
+TOGETHER = 1500
 
 
 def byte_hashes(text: bytes) -> np.ndarray:
@@ -106,7 +106,7 @@ def repeated_by_hash(texts: DataFrame, window: int) -> DataFrame:
     return rows.filter(F.col("st") == NEEDS + 8).join(twice, "k").select("doc", "th", "a", F.lit(1).alias("n"), F.lit(1).cast("byte").alias("st"))
 
 
-def drop_repeated_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, shard_bytes: int = 1 << 20) -> DataFrame:
+def drop_repeated_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, shard_bytes: int = 1 << 18) -> DataFrame:
     """One row for each row of df: id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_bytes, kept (binary) and spans [first byte, end) that were removed.
 
     A byte goes if it lies in a 400-byte string that also starts anywhere else,
