@@ -67,12 +67,18 @@ def fair_mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_percent:
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of df, each as often as it is served and globally sorted by its turn's virtual finish time; the last turn of a source may be cut short, taken_words says how many words of it are used."""
-    id_col = options.get("id_col", "doc_id")
-    mix = fair_mix(df, **options).filter("taken > 0").select(F.col(id_col).alias("_id"), "size", "taken", "finish")
-    turns = mix.withColumn("turn", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    turns = turns.withColumn("taken_words", F.least(F.col("size"), F.col("taken") - (F.col("turn") - 1) * F.col("size")))
-    return df.join(turns, F.col(id_col) == F.col("_id")).drop("_id", "size", "taken").orderBy("finish", "turn", id_col)
+    """The mix itself: rows of df, each as often as it is served, sorted by virtual finish time over all partitions.
+
+    The last turn of a source, which the budget cuts short, counts if at
+    least half of the document is served. Rows alike in id and text each get the turns of
+    the first of them; rows without words are never served.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    queue = fair_mix(df, **options).filter("taken > 0").groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_size")).agg(F.min(F.struct("finish", "taken")).alias("m"))
+    turns = queue.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.round(F.col("m.taken") / F.col("_size")).cast("int")))).filter("_turn > 0")
+    turns = turns.select("_id", "_size", "_turn", F.col("m.finish").alias("_finish"))
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0))
+    return df.join(turns, F.col(id_col).eqNullSafe(F.col("_id")) & (size == F.col("_size"))).orderBy("_finish", "_turn", id_col).select(df.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,5 +233,53 @@ def dealt_join(rows: DataFrame, key: str, by: DataFrame, by_key: str, count: str
     return left.join(right, (F.col(key) == F.col(by_key)) & (F.col("_salt") == F.col("_salt2"))).drop("_salt", "_salt2", by_key)
 
 
+def pair_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, fp, v0, v1): a 64-bit fingerprint of a text's word pairs, to search by, and 128 bits of its word shingles, to verify by."""
+
+    def wide(text: str | None) -> list[int]:
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if not words:
+            return [0, 0]
+        digest = xxhash.xxh3_128_digest
+        made = [digest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))]
+        raw = np.frombuffer(b"".join(made), np.uint8).reshape(-1, 2, 8)
+        return [int(np.packbits(majority(raw[:, k])).view(">i8")[0]) for k in (0, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            v = [wide(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, 2) for t in texts], pa.int64()), *(pa.array([x[k] for x in v], pa.int64()) for k in (0, 1))], ["id", "fp", "v0", "v1"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long, v0 long, v1 long")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, search_bits: int = 10, verify_bits: int = 25) -> DataFrame:
+    """(id, keep_id) for each distinct id of df whose group has others: keep_id is the smallest id of the group.
+
+    Texts link if their five-word shingles are alike to 0.8 or more by the
+    128-bit SimHash (25 bits apart or fewer; at a Jaccard similarity of 0.8 some
+    19 are expected). They are searched by the Golay keys of a fingerprint of word
+    pairs, in which so few words have changed that two segments meet. Rows
+    with null ids are left out. Texts without words are copies of one another.
+    """
+    fps = stored(pair_fingerprints(df.filter(F.col(id_col).isNotNull()), id_col, text_col, shingle), "fps")
+    classes = stored(fps.groupBy("fp", "v0", "v1").agg(F.min("id").alias("node")), "classes")
+    links = golay_links(classes, "node", ["fp", "v0", "v1"], [search_bits, None, verify_bits])
+    roots = components(stored(links.distinct(), "near")).withColumnRenamed("root", "top")
+    named = classes.join(roots, "node", "left").withColumn("keep_id", F.coalesce("top", "node"))
+    sizes = fps.groupBy("fp", "v0", "v1").agg(F.count("*").alias("n"))
+    key = F.xxhash64("fp", "v0", "v1")
+    named = named.join(sizes, ["fp", "v0", "v1"]).filter((F.col("n") > 1) | F.col("top").isNotNull()).select(key.alias("k"), "keep_id", "n", F.col("fp").alias("fp2"), F.col("v0").alias("v02"), F.col("v1").alias("v12"))
+    out = dealt_join(fps.withColumn("key", key), "key", named, "k", "n").filter("fp = fp2 AND v0 = v02 AND v1 = v12")
+    return out.select(F.col("id").alias(id_col), "keep_id")
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """df without the rows whose id isn't the one that stays of its group; repeated ids stay together."""
+    gone = stored(near_duplicates(df, id_col, **options).filter(F.col(id_col) != F.col("keep_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
