@@ -30,7 +30,7 @@ def depths(length: int) -> list[int]:
 
 def _classes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ordered distinct keys, a position of each, and each position's rank among them."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     by = keys[order]
     new = np.concatenate([[True], by[1:] != by[:-1]])
     rank = np.empty(len(keys), np.int32)

@@ -76,17 +76,34 @@ def _runs(doc: np.ndarray, th: np.ndarray, a: np.ndarray, n: np.ndarray, repeate
 def repeated_by_order(texts: DataFrame, window: int, shard_bytes: int) -> DataFrame:
     """Runs of windows of segments (st NEEDS) that occur in another segment with the same k."""
 
+    def look(doc: np.ndarray, th: np.ndarray, a: np.ndarray, n: np.ndarray, st: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+        n = n.astype(np.int64)
+        sizes = np.array([len(x) for x in raw])
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        w = run_hashes(byte_hashes(b"".join(raw)), window)[np.repeat(np.cumsum(sizes) - sizes, n) + within]
+        # a window with a hash of its own has no equal: suffixes are ordered for the others
+        _, kind, count = np.unique(w, return_inverse=True, return_counts=True)
+        maybe = np.flatnonzero(count[kind] > 1)
+        again = np.zeros(len(w), bool)
+        if len(maybe):
+            own = np.repeat(np.arange(len(n)), n)
+            new = np.concatenate([[True], (np.diff(maybe) != 1) | (np.diff(own[maybe]) != 0)])
+            first = maybe[new]
+            runs = np.diff(np.append(np.flatnonzero(new), len(maybe)))
+            strings = [raw[own[i]][within[i] : within[i] + m + window - 1] for i, m in zip(first.tolist(), runs.tolist(), strict=True)]
+            index = bwt.merged(strings, window, shard_bytes)
+            starts = np.cumsum(runs + window) - (runs + window)
+            rank = index.ranks[-1][np.repeat(starts - (np.cumsum(runs) - runs), runs) + np.arange(len(maybe))]
+            again[maybe] = (np.bincount(rank)[rank] > 1) & (st[own[maybe]] == NEEDS)
+        return _runs(doc, th, a, n, again)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, doc, th, a, n, st, raw in keyed_runs(batches, TOGETHER):
-            index = bwt.merged(list(raw), window, shard_bytes)
-            sizes = np.array([len(x) + 1 for x in raw])
-            starts = np.cumsum(sizes) - sizes
-            n = n.astype(np.int64)
-            place = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())  # of each window in the merged text
-            rank = index.ranks[-1][place]
-            again = np.bincount(rank)[rank] > 1
-            again &= np.repeat(st == NEEDS, n)
-            yield _runs(doc, th, a, n, again)
+        for k, *cols in keyed_runs(batches, TOGETHER):
+            lo = 0
+            while lo < len(k):  # some segments at a time, but all of an anchor
+                hi = lo + int(np.searchsorted(k[lo:], k[min(lo + TOGETHER, len(k)) - 1], side="right"))
+                yield look(*(c[lo:hi] for c in cols))
+                lo = hi
 
     return texts.repartition("k").sortWithinPartitions("k", "doc", "a").mapInArrow(run, "doc long, th long, a int, n int, st byte")
 
