@@ -1 +1 @@
-"""Spark-native tokenization and corpus analytics."""
+"""Scalar functions on columns."""

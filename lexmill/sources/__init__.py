@@ -1 +1 @@
-"""Spark-native tokenization and corpus analytics."""
+"""Readers and writers."""
