@@ -7,20 +7,24 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, as in tests on one machine, a temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    own = getattr(folder, "own", None)
+    if own is None:
+        own = folder.own = tempfile.mkdtemp(prefix="lexmill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir (where it is unset, a temporary folder) and read again."""
+    """df written as Parquet in the shared folder and read again."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(stored, "own", None)
-        if base is None:
-            stored.own = tempfile.mkdtemp(prefix="lexmill-")
-            atexit.register(shutil.rmtree, stored.own, ignore_errors=True)
-            base = stored.own
-        base = f"file://{base}"
-    path = f"{base.rstrip('/')}/lexmill-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{folder(spark)}/lexmill-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

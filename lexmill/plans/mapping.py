@@ -1 +1,149 @@
-"""Pending."""
+"""Pair mapping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.operators import mapping as M
+from lexmill.operators.stored import stored
+
+from .registry import query, table
+
+COS = "greatest(-1.0, least(1.0, list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / (sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[])) * sqrt(list_dot_product({1}::DOUBLE[], {1}::DOUBLE[])))))"
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as spans: an image is 20 of them."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.floor(F.col("vec_id") / 20).alias("image_id"), F.col("vec_id").alias("span_id"), (F.col("vec_id") % 5).alias("caption_id"), (F.col("label") % 3).alias("role"), (F.col("label") % 2).alias("entity_id"), "embedding", (0.5 + (F.col("vec_id") % 7) / 16).alias("confidence"))
+
+
+SPANS = "(SELECT vec_id // 20 AS image_id, vec_id AS span_id, vec_id % 5 AS caption_id, label % 3 AS role, label % 2 AS entity_id, embedding, 0.5::DOUBLE + (vec_id % 7) / 16.0::DOUBLE AS confidence FROM embeddings)"
+EVAL = f"""(SELECT image_id, a, b, cosine, score, CASE WHEN ca = cb THEN 'same_caption' WHEN ra <> rb THEN 'role' WHEN ea <> eb THEN 'entity' WHEN cosine < 0.1 THEN 'cosine' WHEN score < 0.3 THEN 'score' END AS rejected
+FROM (SELECT *, round(0.7::DOUBLE * c + 0.2::DOUBLE * (ea = eb)::INT + 0.1::DOUBLE * f, 6) AS score, round(c, 6) AS cosine
+FROM (SELECT x.image_id, x.span_id AS a, y.span_id AS b, x.caption_id AS ca, y.caption_id AS cb, x.role AS ra, y.role AS rb, x.entity_id AS ea, y.entity_id AS eb, least(x.confidence, y.confidence) AS f, {COS.format('x.embedding', 'y.embedding')} AS c
+FROM {SPANS} x JOIN {SPANS} y ON x.image_id = y.image_id AND x.span_id < y.span_id)))"""
+
+
+@query(f"SELECT vec_id, round({COS.format('embedding', 'list_reverse(embedding)')}, 6) AS cosine FROM embeddings")
+def cosine_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(M.cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("cosine"))
+
+
+@query(f"SELECT * FROM {EVAL}")
+def pair_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.evaluated(_spans(spark, sf_dir), 0.1, 0.3)
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _spans(spark, sf_dir)
+    pairs = M.evaluated(spans, 0.1, 0.3).select("image_id", "a", "b", "score", F.col("rejected").isNull().alias("ok"))
+    return M.complete_link(spans.select("image_id", F.col("span_id").alias("node")), pairs, "image_id", 4)
+
+
+@query()
+def complete_link_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir)
+
+
+@query()
+def consensus_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.consensus(_clusters(spark, sf_dir), _spans(spark, sf_dir), 5, 0.4)
+
+
+@query()
+def sparse_candidate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _spans(spark, sf_dir)
+    return M.sparse_clusters(s.select("image_id", F.col("span_id").alias("node"), F.col("confidence").alias("mass"), "embedding"), "image_id", 0.8, 0.1)
+
+
+@query("""WITH n AS (SELECT conv_id AS example_id, turn AS span_id, role AS label FROM conversations),
+e AS (SELECT conv_id AS example_id, turn AS s, 'next' AS relation, turn + 1 AS t FROM conversations x WHERE EXISTS (SELECT 1 FROM conversations y WHERE y.conv_id = x.conv_id AND y.turn = x.turn + 1)),
+i AS (SELECT e.example_id, s AS span_id, 'out:next:' || n.label AS x FROM e JOIN n ON n.example_id = e.example_id AND n.span_id = t UNION ALL SELECT e.example_id, t, 'in:next:' || n.label FROM e JOIN n ON n.example_id = e.example_id AND n.span_id = s)
+SELECT n.example_id, n.span_id, coalesce(string_agg(x, '|' ORDER BY x), '') AS signature FROM n LEFT JOIN i ON n.example_id = i.example_id AND n.span_id = i.span_id GROUP BY ALL""")
+def relation_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    nodes = c.select(F.col("conv_id").alias("example_id"), F.col("turn").alias("span_id"), F.col("role").alias("label"))
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"))
+    edges = c.join(after, ["conv_id", "turn"]).select(F.col("conv_id").alias("example_id"), F.col("turn").alias("source"), F.lit("next").alias("relation"), (F.col("turn") + 1).alias("target"))
+    return M.signatures(nodes, edges)
+
+
+@query(f"""SELECT a, b, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC, b) AS r
+FROM (SELECT x.vec_id AS a, y.vec_id AS b, {COS.format('x.embedding', 'y.embedding')} AS c FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id AND x.vec_id % 50 = 0)) WHERE r <= 5""")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose id is divisible by 50, against all others with their label."""
+    e = table(spark, sf_dir, "embeddings")
+    return M.nearest(e.filter("vec_id % 50 = 0"), e, 5)
+
+
+FEATURES = "(SELECT item_id AS id, feature, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS feature FROM benchmark) GROUP BY ALL)"
+JACCARD = f"""(WITH f AS {FEATURES}, t AS (SELECT id, sum(n) AS t FROM f GROUP BY id), m AS (SELECT x.id AS a, y.id AS b, sum(least(x.n, y.n)) AS m FROM f x JOIN f y ON x.feature = y.feature AND x.id < y.id GROUP BY ALL)
+SELECT a, b, round(m::DOUBLE / (ta.t + tb.t - m)::DOUBLE, 6) AS similarity FROM m JOIN t ta ON ta.id = a JOIN t tb ON tb.id = b)"""
+
+
+def _jaccard(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("feature"))
+    return M.weighted_jaccard(b.groupBy("id", "feature").agg(F.count("*").alias("n")), least)
+
+
+@query(f"SELECT * FROM {JACCARD} WHERE similarity >= 0.02")
+def weighted_jaccard_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard(spark, sf_dir, 0.02)
+
+
+@query()
+def disjoint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.disjoint_pairs(_jaccard(spark, sf_dir, 0.0), "similarity", 1000, stored)
+
+
+@query("""SELECT label, i, round(x, 6) AS x FROM (SELECT label, i, avg(v::DOUBLE) AS x FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM embeddings) GROUP BY ALL)""")
+def fusion_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(M.fused(table(spark, sf_dir, "embeddings"), "label"))
+
+
+def _flat(f: DataFrame) -> DataFrame:
+    return f.select("label", F.posexplode("fused").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("""WITH e AS (SELECT label, i, v::DOUBLE AS v, n FROM (SELECT label, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n, unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM embeddings)),
+m AS (SELECT label, i, avg(v) AS x, avg(n) AS n FROM e GROUP BY ALL), s AS (SELECT label, sqrt(sum(x * x)) AS own FROM m GROUP BY label)
+SELECT m.label, i, round(x * n / own, 6) AS x FROM m JOIN s ON m.label = s.label""")
+def fusion_norm_preserving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(M.fused(table(spark, sf_dir, "embeddings"), "label", keep_norm=True))
+
+
+@query("""WITH c AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(text, '[^ ]+') AS a FROM conversations), b AS (SELECT id, a, list_concat(list_concat(a[1:1], ['changed']), a[3:]) AS b FROM c)
+SELECT id, 1 AS slot, a[2] AS one, 'changed' AS other FROM b WHERE len(a) > 2 AND a[2] <> 'changed'""")
+def one_slot_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)).alias("a"))
+    return M.one_slot(c.withColumn("b", F.concat(F.slice("a", 1, 1), F.array(F.lit("changed")), F.slice("a", 3, 1 << 30))))
+
+
+@query("""WITH p AS (SELECT a, b FROM (SELECT vec_id AS a, vec_id + label AS b FROM embeddings)), e AS (SELECT vec_id AS a, vec_id + label % 3 AS b FROM embeddings)
+SELECT (SELECT count(*) FROM (SELECT * FROM p INTERSECT SELECT * FROM e)) AS hits, (SELECT count(*) FROM (SELECT DISTINCT * FROM p)) AS predicted, (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS expected,
+round((SELECT count(*) FROM (SELECT * FROM p INTERSECT SELECT * FROM e))::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT * FROM p)), 6) AS precision""")
+def mapping_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    p = e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + F.col("label")).alias("b"))
+    x = e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + F.col("label") % 3).alias("b"))
+    n = lambda d, k: d.distinct().agg(F.count("*").alias(k))
+    return n(p.intersect(x), "hits").crossJoin(n(p, "predicted")).crossJoin(n(x, "expected")).withColumn("precision", F.round(F.col("hits") / F.col("predicted"), 6))
+
+
+@query("SELECT vec_id AS a, vec_id + 1 AS b, 3 AS n_aligned, 0.75::DOUBLE AS coverage FROM embeddings WHERE label % 2 = 0")
+def superbatch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with three of four places aligned in order, or crossed for odd labels."""
+    right = F.when(F.col("label") % 2 == 0, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(2), F.lit(1), F.lit(3)))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("left"), right.alias("right"), F.lit(4).alias("n"))
+    return M.superbatches(e)
+
+
+@query("""SELECT conv_id, feature, count(*) AS n FROM (SELECT conv_id, 'node:' || role AS feature FROM conversations UNION ALL
+SELECT x.conv_id, 'edge:' || x.role || '>' || y.role FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1) GROUP BY ALL""")
+def structural_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("then"))
+    f = c.select("conv_id", F.concat(F.lit("node:"), "role").alias("feature")).unionByName(c.join(after, ["conv_id", "turn"]).select("conv_id", F.concat(F.lit("edge:"), "role", F.lit(">"), "then").alias("feature")))
+    return f.groupBy("conv_id", "feature").agg(F.count("*").alias("n"))

@@ -1 +1,99 @@
-"""Pending."""
+"""Vocabulary training. Counts have SQL; learned vocabularies are held against direct versions in tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.operators import training as TR
+from lexmill.operators.models import Vocab
+
+from .registry import query, table
+
+#: Distinct words that the driver loops learn from at most.
+MOST = 2000
+WORDS = r"(SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\s\p{Z}]+')) AS word FROM documents) GROUP BY word)"
+
+
+def _words(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return TR.word_counts(table(spark, sf_dir, "documents"), "whitespace_split", **options)
+
+
+@query(f"SELECT * FROM {WORDS}")
+def train_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir)
+
+
+@query(f"SELECT * FROM {WORDS} WHERE NOT contains(word, 'th') AND NOT contains(word, '.')")
+def train_avoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir, avoid=["th", "."])
+
+
+PAIRS = f'(SELECT b[i] AS "left", b[i + 1] AS "right", sum(n)::BIGINT AS n FROM (SELECT n, b, unnest(range(1, len(b))) AS i FROM (SELECT n, regexp_extract_all(hex(encode(word)), \'..\') AS b FROM {WORDS})) GROUP BY ALL)'
+
+
+@query(f"SELECT * FROM {PAIRS}")
+def train_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TR.pair_counts(_words(spark, sf_dir))
+
+
+@query(f'SELECT * FROM {PAIRS} ORDER BY n DESC, "left", "right" LIMIT 1')
+def train_first_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TR.pair_counts(_words(spark, sf_dir)).orderBy(F.desc("n"), "left", "right").limit(1)
+
+
+@query(f"""SELECT piece, n FROM (SELECT piece, sum(n)::BIGINT AS n FROM (SELECT substr(word, i::INT, k::INT) AS piece, n FROM (SELECT word, n, i, unnest(range(2, 6)) AS k FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM {WORDS})) WHERE i + k - 1 <= length(word)) GROUP BY piece)
+ORDER BY n * length(piece) DESC, length(piece) DESC, piece LIMIT 200""")
+def train_substring_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TR.seed(_words(spark, sf_dir), 5, 200)
+
+
+def _learned(spark: SparkSession, v: Vocab) -> DataFrame:
+    rows = [(i, t.hex().upper(), float(v.scores[i]) if v.scores else 0.0) for i, t in enumerate(v.tokens)]
+    return spark.createDataFrame(rows, "id long, hex string, score double").withColumn("score", F.round("score", 6))
+
+
+@query()
+def train_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _learned(spark, TR.learn_bpe(TR.top_words(_words(spark, sf_dir), MOST), 320))
+
+
+@query()
+def train_spanning_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "conversations").select(F.col("text").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = TR.top_words(lines, 300)
+    cuts = []
+    for w, _ in top:
+        cuts.append({i for i in range(1, len(w)) if w[i] == 32})
+    return _learned(spark, TR.learn_spanning(top, cuts, 300))
+
+
+@query()
+def train_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _learned(spark, TR.learn_wordpiece(TR.top_words(_words(spark, sf_dir), 500), 140))
+
+
+@query()
+def train_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _words(spark, sf_dir).orderBy(F.desc("n"), "word").limit(MOST)
+    return _learned(spark, TR.learn_unigram(words, 400, start=600))
+
+
+@query()
+def train_distilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = TR.top_words(_words(spark, sf_dir), 300)
+    return _learned(spark, TR.distill(words, TR.learn_bpe(words, 330), 290, 0.3))
+
+
+@query()
+def train_path_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = TR.top_words(_words(spark, sf_dir), 200)
+    return _learned(spark, TR.path_pieces(words, TR.learn_bpe(words, 310), 290, 10))
+
+
+@query(f"""SELECT CASE WHEN e < 0.5 AND i >= 3 THEN -1 ELSE i END AS id, round(ln(greatest(e, 0.5) / sum(greatest(e, 0.5)) OVER ()), 6) AS score
+FROM (SELECT i, (i * i + (SELECT count(*) FROM {WORDS})) % 7 / 4.0::DOUBLE AS e FROM range(40) t(i)) WHERE e >= 0.5 OR i < 3""")
+def train_m_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _words(spark, sf_dir).count()
+    e = spark.range(40).select("id", (((F.col("id") * F.col("id") + n) % 7) / F.lit(4.0)).alias("expected"))
+    return TR.maximized(e, 3).select("id", F.round("score", 6).alias("score"))

@@ -1 +1 @@
-"""Spark-native tokenization and corpus analytics."""
+"""Structured Streaming operators."""
