@@ -103,7 +103,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     return rows.repartition("k").sortWithinPartitions("k", "doc").mapInArrow(run, "doc long, th long, a int, n int, st byte")
 
 
-def drop_repeated_passages(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def drop_repeated_passages(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, hot: int | None = None) -> DataFrame:
     """One row for each row of df: id, n_words, n_removed, kept_sha256 and, with keep_text, kept_text and spans [first word, end) that were removed.
 
     A word goes if a window of 13 words around it also starts in a document
@@ -116,7 +116,7 @@ def drop_repeated_passages(df: DataFrame, window: int = WINDOW, gram: int = GRAM
     """
     spark = df.sparkSession
     docs = keyed_documents(df, id_col, text_col)
-    blocks = stored(resolved(segment_rows(docs, _Words(), gram, window, True), True).drop("s", "k"), "factors")
+    blocks = stored(resolved(segment_rows(docs, _Words(), gram, window, True, hot), True).drop("s", "k"), "factors")
     free(spark)
     single = stored(repeated_windows(window_rows(docs, blocks.filter(F.col("st") == NEEDS), window)), "boundaries")
     free(spark)

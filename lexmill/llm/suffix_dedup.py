@@ -29,6 +29,8 @@ WINDOW, GRAM = 400, 200
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Segments that a task looks at together.
 TOGETHER = 1500
+#: Segments of an anchor that one task orders at most; beyond, their windows are dealt by hash.
+BUCKET = 20_000
 
 
 def byte_hashes(text: bytes) -> np.ndarray:
@@ -123,7 +125,7 @@ def repeated_by_hash(texts: DataFrame, window: int) -> DataFrame:
     return rows.filter(F.col("st") == NEEDS + 8).join(twice, "k").select("doc", "th", "a", F.lit(1).alias("n"), F.lit(1).cast("byte").alias("st"))
 
 
-def drop_repeated_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, shard_bytes: int = 1 << 18) -> DataFrame:
+def drop_repeated_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, shard_bytes: int = 1 << 18, hot: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """One row for each row of df: id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_bytes, kept (binary) and spans [first byte, end) that were removed.
 
     A byte goes if it lies in a 400-byte string that also starts anywhere else,
@@ -135,12 +137,14 @@ def drop_repeated_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, i
     """
     spark = df.sparkSession
     docs = keyed_documents(df, id_col, text_col)
-    segments = stored(resolved(segment_rows(docs, byte_hashes, gram, window, False), False).drop("s"), "segments")
+    segments = stored(resolved(segment_rows(docs, byte_hashes, gram, window, False, hot), False).drop("s"), "segments")
     free(spark)
     normal = segments.filter(F.col("st").isin(NEEDS, MARK))
-    texts = segment_texts(docs, normal, window)
+    # anchors with over BUCKET segments are few by that count
+    big = F.broadcast(stored(normal.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") > bucket).select("k"), "big"))
+    hot = segments.filter(F.col("st") >= 8).unionByName(normal.join(big, "k", "left_semi").withColumn("st", (F.col("st") + 8).cast("byte")).select(segments.columns))
+    texts = segment_texts(docs, normal.join(big, "k", "left_anti"), window)
     spans = [segments.filter(F.col("st") == RESOLVED).drop("k"), stored(repeated_by_order(texts, window, shard_bytes), "intervals")]
-    hot = segments.filter(F.col("st") >= 8)
     if not hot.isEmpty():
         spans.append(stored(repeated_by_hash(segment_texts(docs, hot, window), window), "intervals"))
     free(spark)

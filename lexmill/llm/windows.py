@@ -83,8 +83,8 @@ def segment_hashes(h: np.ndarray, first: np.ndarray, count: np.ndarray, window:
 # --- tables of segments -----------------------------------------------------
 # A segment's row: k (where it is dealt), s (hash of the segment), doc and th (the document), a (first window), n (windows), st:
 NORMAL, RESOLVED, NEEDS, MARK = 0, 1, 2, 3
-#: Segments of an anchor that a task deals out normally; the anchor's further ones are hot.
-HOT_ANCHOR = 64
+#: Segments of an anchor that a task deals out normally; the anchor's further ones are hot. In unordered mode what is hot costs a row for each window.
+HOT_ANCHOR, HOT_UNORDERED = 64, 1000
 ROWS = 400_000
 
 
@@ -94,13 +94,13 @@ class Thinner:
     A segment that this task has met before (in ordered mode: in a document
     with a smaller id) is known to repeat, so its row is marked RESOLVED and
     dealt out at random. Segments of an anchor that this task has met more
-    than HOT_ANCHOR times are marked NEEDS and dealt out at random; one MARK
+    than HOT_ANCHOR (unordered: HOT_UNORDERED) times are marked NEEDS and dealt out at random; one MARK
     row tells the anchor's own task that there are more. So no anchor or
     segment, however frequent, sends more than a few rows from a task to one place.
     """
 
-    def __init__(self, ordered: bool, slots: int = 1 << 20):
-        self.ordered, self.mask = ordered, np.uint64(slots - 1)
+    def __init__(self, ordered: bool, most: int | None = None, slots: int = 1 << 20):
+        self.ordered, self.mask, self.most = ordered, np.uint64(slots - 1), most or (HOT_ANCHOR if ordered else HOT_UNORDERED)
         self.seen_s, self.seen_doc, self.told = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, bool)
         self.seen_g, self.count_g = np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
 
@@ -148,9 +148,9 @@ class Thinner:
             gslot = (go & self.mask).astype(np.int64)
             before = np.where(self.seen_g[gslot] == go, self.count_g[gslot], 0)
             rank = rank + before
-            hot = rank >= HOT_ANCHOR
+            hot = rank >= self.most
             st[normal[order[hot]]] = NEEDS
-            told = np.flatnonzero(rank == HOT_ANCHOR)
+            told = np.flatnonzero(rank == self.most)
             marks_k.append(go[told])
             marks_s.append(np.zeros(len(told), np.uint64))
             self.seen_g[gslot[start]] = go[start]
@@ -160,11 +160,11 @@ class Thinner:
         return k, st, np.concatenate(marks_k) if marks_k else np.zeros(0, np.uint64), np.concatenate(marks_s) if marks_s else np.zeros(0, np.uint64)
 
 
-def segment_rows(docs: DataFrame, hashes, gram: int, window: int, ordered: bool) -> DataFrame:
-    """Rows of all segments of docs (doc, th, t); hashes(bytes) gives the hashes of a document's units."""
+def segment_rows(docs: DataFrame, hashes, gram: int, window: int, ordered: bool, hot: int | None = None) -> DataFrame:
+    """Rows of all segments of docs (doc, th, t); hashes(bytes) gives the hashes of a document's units; hot is another bound than HOT_ANCHOR."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        thin, held, size = Thinner(ordered), [], 0
+        thin, held, size = Thinner(ordered, hot), [], 0
 
         def out() -> pa.RecordBatch:
             g, s, doc, th, a, n = (np.concatenate(x) for x in zip(*held, strict=True))
