@@ -12,6 +12,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.functions.text import byte_level_encode
 
@@ -105,7 +106,7 @@ def split_text(text: str, pattern: str, behaviour: str, invert: bool = False) ->
 
 
 def split_pieces(pattern: str, behaviour: str, invert: bool = False) -> Callable[[Column], Column]:
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: split_text(t, pattern, behaviour, invert), na_action="ignore")
 
