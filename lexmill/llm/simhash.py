@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 from . import golay
 from .common import documents, stored
 from .components import components
+from .windows import M, keyed_runs, mix
 
 SEGMENTS = ((41, 23), (18, 23), (0, 18))  # (shift, bits)
 #: Rows of a key that one task compares; beyond, blocks of BLOCK rows are compared in pairs.
 RUN, BLOCK = 20_000, 10_000
 #: Rows that the comparing task gathers before it looks at them.
 GATHER = 200_000
+#: Shingle sets of a candidate group that one task compares; beyond, blocks of so many are compared in pairs.
+SETS = 2000
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -233,45 +236,121 @@ def dealt_join(rows: DataFrame, key: str, by: DataFrame, by_key: str, count: str
     return left.join(right, (F.col(key) == F.col(by_key)) & (F.col("_salt") == F.col("_salt2"))).drop("_salt", "_salt2", by_key)
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text, lower case; of the whole sequence if it is shorter; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh3_64_digest
+    made = b"".join([digest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))])
+    return np.unique(np.frombuffer(made, ">u8").astype(np.uint64))
+
+
 def pair_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, fp, v0, v1): a 64-bit fingerprint of a text's word pairs, to search by, and 128 bits of its word shingles, to verify by."""
+    """(id, fp, v0, v1, w): a 64-bit fingerprint of a text's word pairs, to search by, 128 bits of its set of word shingles, to look closer, and a hash of its words."""
 
     def wide(text: str | None) -> list[int]:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return [0, 0]
-        digest = xxhash.xxh3_128_digest
-        made = [digest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))]
-        raw = np.frombuffer(b"".join(made), np.uint8).reshape(-1, 2, 8)
-        return [int(np.packbits(majority(raw[:, k])).view(">i8")[0]) for k in (0, 1)]
+        own = shingle_set(text, shingle)
+        if not len(own):
+            return [0, 0, 0]
+        with np.errstate(over="ignore"):
+            halves = (mix(own), mix(own + M))
+        words = xxhash.xxh3_64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
+        return [*(int(np.packbits(majority(h.astype(">u8").view(np.uint8).reshape(-1, 8))).view(">i8")[0]) for h in halves), words - (1 << 63)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             v = [wide(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, 2) for t in texts], pa.int64()), *(pa.array([x[k] for x in v], pa.int64()) for k in (0, 1))], ["id", "fp", "v0", "v1"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, 2) for t in texts], pa.int64()), *(pa.array([x[k] for x in v], pa.int64()) for k in (0, 1, 2))], ["id", "fp", "v0", "v1", "w"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long, v0 long, v1 long, w long")
+
+
+def jaccard_links(members: DataFrame, by: list[str], limits: list, least: float) -> DataFrame:
+    """Links (a, b) among members (node, fp, v0, v1, own) with equal by that keep every connected group of the pairs within limits whose sets own are alike to least or more."""
+    width = len(by)
+
+    def forest_of(node: np.ndarray, values: np.ndarray, own: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        size = np.array([len(x) for x in own])
+        left = np.arange(len(node))
+        while len(left) > 1:
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                ok = _near(values[:, left], values[:, x : x + 1], limits)
+                ok &= np.minimum(size[left], size[x]) >= least * np.maximum(size[left], size[x])
+                near = np.flatnonzero(ok)
+                hits = []
+                for lo in range(0, len(near), 500):  # some sets at a time
+                    part = near[lo : lo + 500]
+                    sets = [own[i] for i in left[part]]
+                    ends = np.cumsum(size[left[part]])
+                    same = np.concatenate([[0], np.cumsum(np.isin(np.concatenate(sets), own[x], assume_unique=False))])
+                    both = same[ends] - same[ends - size[left[part]]]
+                    hits.append(part[(both >= least * (size[left[part]] + size[x] - both) - 1e-9)])
+                hit = np.concatenate(hits) if hits else near
+                if len(hit):
+                    found = left[hit]
+                    yield from ((int(node[x]), int(node[y])) for y in found)
+                    queue.extend(found.tolist())
+                    left = np.delete(left, hit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in keyed_runs(batches, 2000):
+            keys = np.stack([c.astype(np.int64) for c in cols[:width]])
+            node, values, own = cols[width], np.stack(cols[width + 1 : width + 4]), [np.frombuffer(x, np.uint64) for x in cols[width + 4]]
+            new = np.flatnonzero(np.concatenate([[True], np.any(keys[:, 1:] != keys[:, :-1], axis=0)]))
+            links = [x for i, j in zip(new, np.append(new[1:], len(node)), strict=True) for x in forest_of(node[i:j], values[:, i:j], own[i:j])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return members.select(*by, "node", "fp", "v0", "v1", "own").repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(run, "a long, b long")
+
+
+def with_sets(df: DataFrame, members: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """members (node, w, ...) with own, the shingle set of their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                own = pa.array([shingle_set(t, shingle).tobytes() for t in part.column(0).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], own], [*part.schema.names[1:], "own"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long, v0 long, v1 long")
+    kept = [c for c in members.columns if c != "w"]
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id IS NOT NULL")
+    rows = texts.join(members, F.col("id") == F.col("node")).select("t", *kept)
+    return rows.mapInArrow(run, ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in kept) + ", own binary").dropDuplicates(["node"])
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, search_bits: int = 10, verify_bits: int = 25) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, search_bits: int = 10, verify_bits: int = 28) -> DataFrame:
     """(id, keep_id) for each distinct id of df whose group has others: keep_id is the smallest id of the group.
 
-    Texts link if their five-word shingles are alike to 0.8 or more by the
-    128-bit SimHash (25 bits apart or fewer; at a Jaccard similarity of 0.8 some
-    19 are expected). They are searched by the Golay keys of a fingerprint of word
-    pairs, in which so few words have changed that two segments meet. Rows
-    with null ids are left out. Texts without words are copies of one another.
+    Texts link if their sets of five-word shingles have a Jaccard similarity of
+    0.8 or more, which is computed exactly. Candidates are found by the Golay
+    keys of a fingerprint of word pairs, in which so few words have changed that
+    two segments meet, and by 128 bits of the shingles (19 bits apart
+    on average at 0.8; verify_bits is two deviations more). Their groups are
+    then compared set by set. Rows with null ids are left out. Texts without
+    words are copies of one another; of rows that share an id one text is compared.
     """
     fps = stored(pair_fingerprints(df.filter(F.col(id_col).isNotNull()), id_col, text_col, shingle), "fps")
-    classes = stored(fps.groupBy("fp", "v0", "v1").agg(F.min("id").alias("node")), "classes")
-    links = golay_links(classes, "node", ["fp", "v0", "v1"], [search_bits, None, verify_bits])
-    roots = components(stored(links.distinct(), "near")).withColumnRenamed("root", "top")
-    named = classes.join(roots, "node", "left").withColumn("keep_id", F.coalesce("top", "node"))
-    sizes = fps.groupBy("fp", "v0", "v1").agg(F.count("*").alias("n"))
-    key = F.xxhash64("fp", "v0", "v1")
-    named = named.join(sizes, ["fp", "v0", "v1"]).filter((F.col("n") > 1) | F.col("top").isNotNull()).select(key.alias("k"), "keep_id", "n", F.col("fp").alias("fp2"), F.col("v0").alias("v02"), F.col("v1").alias("v12"))
-    out = dealt_join(fps.withColumn("key", key), "key", named, "k", "n").filter("fp = fp2 AND v0 = v02 AND v1 = v12")
+    columns, limits = ["fp", "v0", "v1"], [search_bits, None, verify_bits]
+    classes = stored(fps.groupBy(*columns, "w").agg(F.min("id").alias("node"), F.count("*").alias("n")), "classes")
+    found = components(stored(golay_links(classes, "node", columns, limits).distinct(), "near"))
+    groups = stored(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "groups")
+    members = stored(with_sets(df, classes.drop("n").join(groups, "node"), shingle, id_col, text_col), "sets")
+    big = stored(members.groupBy("root").agg(F.count("*").alias("c")).filter(F.col("c") > SETS), "big")
+    links = jaccard_links(members.join(big, "root", "left_anti"), ["root"], limits, similarity)
+    if not big.isEmpty():  # blocks of a group in pairs, so that a task holds two at most
+        rows = members.join(big, "root").withColumn("blocks", F.ceil(F.col("c") / SETS).cast("int")).withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("at", "other"), "hi": F.greatest("at", "other")})
+        links = links.unionByName(jaccard_links(rows, ["root", "lo", "hi"], limits, similarity))
+    roots = components(stored(links.distinct(), "alike")).withColumnRenamed("root", "top")
+    tops = roots.select(F.col("top").alias("node"), "top").distinct()
+    named = classes.join(roots.unionByName(tops), "node", "left").withColumn("keep_id", F.coalesce("top", "node"))
+    named = named.filter((F.col("n") > 1) | F.col("top").isNotNull()).select(F.xxhash64(*columns, "w").alias("k"), "keep_id", "n", *(F.col(c).alias(f"{c}2") for c in (*columns, "w")))
+    out = dealt_join(fps.withColumn("key", F.xxhash64(*columns, "w")), "key", named, "k", "n").filter("fp = fp2 AND v0 = v02 AND v1 = v12 AND w = w2")
     return out.select(F.col("id").alias(id_col), "keep_id")
 
 

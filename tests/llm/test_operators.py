@@ -436,3 +436,22 @@ def test_decontamination(spark, docs, empty):
     left = decontamination.decontaminated(df, items)
     assert {r.doc_id for r in left.collect()} >= {5, 6, 8} and left.columns == df.columns
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0 and decontamination.contaminated(empty, items).count() == 0
+
+
+def test_near_duplicates_are_verified(spark, monkeypatch):
+    """Similarity decides, in blocks of a group too; nulls, blanks, repeated ids and clashing columns have their defined results."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(2000)]
+    base = [rng.choice(words) for _ in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:290])), (3, " ".join(base + [rng.choice(words) for _ in range(120)]))]
+    for i in range(40):
+        own = list(base)
+        own[7 * i] = f"other{i}"
+        rows.append((10 + i, "  ".join(own)))
+    rows += [(60, None), (61, " \n"), (62, ""), (None, " ".join(base)), (63, "one two"), (64, "One two"), (1, " ".join(base))]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, w int")
+    want = {1: 1, 2: 1, **{10 + i: 1 for i in range(40)}, 60: 60, 61: 60, 62: 60, 63: 63, 64: 63}
+    for sets in (2000, 10):
+        monkeypatch.setattr(simhash, "SETS", sets)
+        assert {r.doc_id: r.keep_id for r in simhash.near_duplicates(df).collect()} == want
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
