@@ -98,7 +98,7 @@ def char_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def explain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.explain(encode.encode(_docs(spark, sf_dir), V), encode.vocab_table(spark, V)).limit(100)
+    return encode.explain(encode.encode(_docs(spark, sf_dir), V), encode.vocab_table(spark, V))
 
 
 @query("SELECT doc_id, sha256(text) AS sha, true AS shorter FROM documents WHERE text <> ''")
