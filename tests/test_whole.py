@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
+from lexmill.llm import line_dedup
 from lexmill.operators import encode
 from lexmill.plans import QUERIES, tokens
 
@@ -12,3 +15,20 @@ def test_explain_tokens_has_every_token(spark, sf_dir):
     got = QUERIES["explain_tokens"](spark, sf_dir)
     want = encode.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokens.V).groupBy("doc_id").agg(F.sum(F.size("ids")).alias("n")).filter("n > 0")
     assert sorted(map(tuple, got.groupBy("doc_id").count().collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_lines_link_by_edit_similarity_alone(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randrange(2, 10)))
+    rows = []
+    for n in (10, 10, 10, 20, 20, 30, 50):  # one word of n is changed
+        for _ in range(10):
+            line = [word() for _ in range(n)]
+            other = [*line]
+            other[rng.randrange(n)] = word()
+            assert line_dedup.similar(" ".join(line), " ".join(other), 0.8)
+            rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(other))]
+    rows += [(len(rows), "abcde"), (len(rows) + 1, "abXde"), (len(rows) + 2, "zzzz")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id for r in line_dedup.op3_line_dedup(spark, str(tmp_path)).collect() if r.n_removed}
+    assert got == set(range(1, 142, 2))
