@@ -34,6 +34,8 @@ RUN, BLOCK = 20_000, 10_000
 GATHER = 200_000
 #: Shingle sets of a candidate group that one task compares; beyond, blocks of so many are compared in pairs.
 SETS = 2000
+#: Keys of a shingle set, of so many MinHash values each: sets alike to 0.8 share a key in 998 of 1,000 cases, wherever they differ.
+BANDS, ROWS = 16, 5
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -246,25 +248,56 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.frombuffer(made, ">u8").astype(np.uint64))
 
 
+def band_keys(own: np.ndarray) -> bytes:
+    """The keys (int32) of a set of hashes, of BANDS runs of ROWS MinHash values; none of an empty set."""
+    if not len(own):
+        return b""
+    with np.errstate(over="ignore"):
+        least = np.array([mix(own + np.uint64(k) * M).min() for k in range(1, BANDS * ROWS + 1)], np.uint64).reshape(BANDS, ROWS)
+        key = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for k in range(ROWS):
+            key = mix(key * M + least[:, k])
+    return (key >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def banded(nodes: DataFrame) -> DataFrame:
+    """(key, node) for each key of the column bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(1).to_pylist()
+            key = np.frombuffer(b"".join(own), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(b.column(0).to_numpy(), [len(x) // 4 for x in own]))], ["key", "node"])
+
+    return nodes.select("node", "bands").mapInArrow(run, "key int, node long")
+
+
+def band_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that join the nodes with a key of bands in common: each to the least of its key."""
+    rows = banded(nodes)
+    least = rows.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "k")
+    return dealt_join(rows, "key", least, "k", "n").filter("a <> node").select("a", F.col("node").alias("b"))
+
+
 def pair_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, fp, v0, v1, w): a 64-bit fingerprint of a text's word pairs, to search by, 128 bits of its set of word shingles, to look closer, and a hash of its words."""
+    """(id, fp, v0, v1, w, bands): a 64-bit fingerprint of a text's word pairs, to search by, 128 bits of its set of word shingles, to look closer, a hash of its words, and the keys of the set."""
 
-    def wide(text: str | None) -> list[int]:
+    def wide(text: str | None) -> list:
         own = shingle_set(text, shingle)
         if not len(own):
-            return [0, 0, 0]
+            return [0, 0, 0, b""]
         with np.errstate(over="ignore"):
             halves = (mix(own), mix(own + M))
         words = xxhash.xxh3_64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
-        return [*(int(np.packbits(majority(h.astype(">u8").view(np.uint8).reshape(-1, 8))).view(">i8")[0]) for h in halves), words - (1 << 63)]
+        return [*(int(np.packbits(majority(h.astype(">u8").view(np.uint8).reshape(-1, 8))).view(">i8")[0]) for h in halves), words - (1 << 63), band_keys(own)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             v = [wide(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, 2) for t in texts], pa.int64()), *(pa.array([x[k] for x in v], pa.int64()) for k in (0, 1, 2))], ["id", "fp", "v0", "v1", "w"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, 2) for t in texts], pa.int64()), *(pa.array([x[k] for x in v], pa.int64()) for k in (0, 1, 2)), pa.array([x[3] for x in v], pa.binary())], ["id", "fp", "v0", "v1", "w", "bands"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long, v0 long, v1 long, w long")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long, v0 long, v1 long, w long, bands binary")
 
 
 def jaccard_links(members: DataFrame, by: list[str], limits: list, least: float) -> DataFrame:
@@ -327,17 +360,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, keep_id) for each distinct id of df whose group has others: keep_id is the smallest id of the group.
 
     Texts link if their sets of five-word shingles have a Jaccard similarity of
-    0.8 or more, which is computed exactly. Candidates are found by the Golay
-    keys of a fingerprint of word pairs, in which so few words have changed that
-    two segments meet, and by 128 bits of the shingles (19 bits apart
-    on average at 0.8; verify_bits is two deviations more). Their groups are
-    then compared set by set. Rows with null ids are left out. Texts without
+    0.8 or more, which is computed exactly. Candidates share a MinHash key of
+    their sets, or are found by the Golay keys of a fingerprint of word pairs
+    (search_bits) and 128 bits of the shingles (verify_bits). Their groups are
+    then compared set by set, whatever their fingerprints. Rows with null ids are left out. Texts without
     words are copies of one another; of rows that share an id one text is compared.
     """
     fps = stored(pair_fingerprints(df.filter(F.col(id_col).isNotNull()), id_col, text_col, shingle), "fps")
     columns, limits = ["fp", "v0", "v1"], [search_bits, None, verify_bits]
-    classes = stored(fps.groupBy(*columns, "w").agg(F.min("id").alias("node"), F.count("*").alias("n")), "classes")
-    found = components(stored(golay_links(classes, "node", columns, limits).distinct(), "near"))
+    classes = stored(fps.groupBy(*columns, "w").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.min("bands").alias("bands")), "classes")
+    near = golay_links(classes.drop("bands"), "node", columns, limits).unionByName(band_links(classes))
+    classes, limits = classes.drop("bands"), [64, None, 128]
+    found = components(stored(near.distinct(), "near"))
     groups = stored(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "groups")
     members = stored(with_sets(df, classes.drop("n").join(groups, "node"), shingle, id_col, text_col), "sets")
     big = stored(members.groupBy("root").agg(F.count("*").alias("c")).filter(F.col("c") > SETS), "big")
@@ -350,7 +384,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tops = roots.select(F.col("top").alias("node"), "top").distinct()
     named = classes.join(roots.unionByName(tops), "node", "left").withColumn("keep_id", F.coalesce("top", "node"))
     named = named.filter((F.col("n") > 1) | F.col("top").isNotNull()).select(F.xxhash64(*columns, "w").alias("k"), "keep_id", "n", *(F.col(c).alias(f"{c}2") for c in (*columns, "w")))
-    out = dealt_join(fps.withColumn("key", F.xxhash64(*columns, "w")), "key", named, "k", "n").filter("fp = fp2 AND v0 = v02 AND v1 = v12 AND w = w2")
+    out = dealt_join(fps.drop("bands").withColumn("key", F.xxhash64(*columns, "w")), "key", named, "k", "n").filter("fp = fp2 AND v0 = v02 AND v1 = v12 AND w = w2")
     return out.select(F.col("id").alias(id_col), "keep_id")
 
 

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import line_dedup
+from lexmill.llm import line_dedup, simhash
 from lexmill.operators import encode
 from lexmill.plans import QUERIES, tokens
 
@@ -32,3 +32,16 @@ def test_lines_link_by_edit_similarity_alone(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id for r in line_dedup.op3_line_dedup(spark, str(tmp_path)).collect() if r.n_removed}
     assert got == set(range(1, 142, 2))
+
+
+def test_near_duplicates_finds_blocks_of_edits(spark):
+    rng = random.Random(3)
+    rows, want = [], set()
+    for share in (0.19, 0.17, 0.14, 0.1):  # a block at the end is appended: the Jaccard similarity is 1 - share
+        for _ in range(30):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+            cut = int((len(words) - 4) * (1 - share)) + 1
+            want.add(len(rows) + 1)
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: cut + 4]))]
+    got = {r.doc_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id != r.keep_id}
+    assert got <= want and len(got) >= len(want) - 2
