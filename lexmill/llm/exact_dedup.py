@@ -46,6 +46,12 @@ def _conf(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def only(path: str) -> str:
+    """A pattern that path alone matches: a stream then reads a single file as well as a folder. Patterns stay as they are."""
+    path = path.rstrip("/")
+    return path if path[-1] in "*?]}" else f"{path[:-1]}[{path[-1]}]"
+
+
 def digest_state(spark: SparkSession, path: str, schema, checkpoint: str, digest: Column, text_col: str = "text", id_col: str = "doc_id", max_bytes: int = 64 << 30, max_files: int | None = None) -> DataFrame:
     """Feed the files under path that checkpoint hasn't seen into the keyed state, and return the state: digest, keep_id, group_size, locator(id, file, row)."""
     reader = spark.readStream.schema(schema)
@@ -75,7 +81,7 @@ def streaming_exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id"
     text = one_space(F.col("t"))
     key = F.unhex(F.sha2(text, 256)) if digest is None else digest
     schema = batch.select(id_col, text_col).schema
-    state = digest_state(spark, path if path.endswith("*") else f"{path.rstrip('/')}*", schema, checkpoint or scratch(spark, "dedup-state"), (F.unhex(F.sha2(one_space(F.col(text_col)), 256)) if digest is None else digest), text_col, id_col, max_bytes, max_files)
+    state = digest_state(spark, only(path), schema, checkpoint or scratch(spark, "dedup-state"), (F.unhex(F.sha2(one_space(F.col(text_col)), 256)) if digest is None else digest), text_col, id_col, max_bytes, max_files)
 
     # docs to state: one state row a digest; hot digests are few by their definition, so their list is small enough to broadcast
     total = state.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
