@@ -21,10 +21,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, as in tests on one machine, a temporary one."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, as in tests on one machine, a temporary one; a cluster must set it."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="lexmill-")
@@ -44,6 +46,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """names, each with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of scratch() or stored() that no later step reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
