@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_fold, documents
+from .common import crc_fold, documents, stored
 
 LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 BLOCK = 4096
+#: Dictionaries that a task can hold.
+LANGUAGES = 1000
 
 
 def letters(text: str) -> bytes:
@@ -31,12 +33,15 @@ def letters(text: str) -> bytes:
     return OTHER.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
-def sample(df: DataFrame, per_language: int, lang_col: str, text_col: str) -> dict[str, list[str]]:
-    """At most per_language texts of each language, those with the smallest hash of their text. Counts come first, so that only about twice as many rows are ranked."""
+def sample(df: DataFrame, per_language: int, lang_col: str, text_col: str, size: int) -> dict[str, list[str]]:
+    """At most per_language texts of each language, those with the smallest hash of their text; of a text of over 4 size characters, so many from its middle. Counts come first, so that only about twice as many rows are ranked."""
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if counts.count() > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages to learn")
     draw = F.pmod(F.xxhash64("t"), F.lit(1 << 30)) / float(1 << 30)
-    near = rows.withColumn("draw", draw).join(F.broadcast(counts.limit(10_000)), "lang").filter(F.col("draw") * F.col("n") <= 2 * per_language + 20)
+    near = rows.withColumn("draw", draw).join(F.broadcast(counts), "lang").filter(F.col("draw") * F.col("n") <= 2 * per_language + 20)
+    near = near.withColumn("t", F.when(F.length("t") > 4 * size, F.substring("t", (F.length("t") / 2).cast("int") - 2 * size, F.lit(4 * size))).otherwise(F.col("t")))
     ranked = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("draw", "t"))).filter(F.col("k") <= per_language)
     found: dict[str, list[str]] = {}
     for r in ranked.select("lang", "t").orderBy("lang", "draw", "t").toLocalIterator():
@@ -88,6 +93,7 @@ class Classifier:
 def identify(df: DataFrame, train: DataFrame, per_language: int = 300, size: int = 262_144, level: int = 6, margin: float = 0.01, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang_pred, score, accepted) for each row of df, from dictionaries cut from rows of train.
 
+    Over LANGUAGES languages in train are an error.
     per_language bounds the texts that each dictionary (size bytes) is cut from;
     the whole of each text of df is compressed. A null text, or one without a
     letter, is `und` with score 0, as is every text if train has no labelled
@@ -96,7 +102,7 @@ def identify(df: DataFrame, train: DataFrame, per_language: int = 300, size: int
     Repeated rows each get a row; other columns are not read.
     """
     spark = df.sparkSession
-    content = dictionaries(sample(train, per_language, lang_col, text_col), size)
+    content = dictionaries(sample(train, per_language, lang_col, text_col, size), size)
     shared = spark.sparkContext.broadcast(content)  # size bytes a language
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
