@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, fresh, stored
 
-#: Sums that one pass may bring to the driver.
+#: Sums that one pass brings to the driver at most.
 SUMS = 50_000
 #: Cells for counting slots: CELLS ranges of the hash by SALTS parts of each.
 CELLS, SALTS = 256, 64
@@ -94,40 +94,27 @@ def _zones(sizes: list[int], single: list[bool], shards: int) -> list[int]:
     return sorted(found)
 
 
-def minimax_cuts(rows: DataFrame, shards: int, key: str = "h", size: str = "size", first_bits: int = 14) -> list[int]:
-    """Keys at which shards 1 to shards-1 begin, for rows with a 64-bit key and a size. A cut beyond the last key is 2**63."""
-    def sums(bits: int, within: DataFrame) -> list:
+def minimax_cuts(rows: DataFrame, shards: int, key: str = "h", size: str = "size", first_bits: int = 14, most: int = SUMS) -> list[int]:
+    """Keys at which shards 1 to shards-1 begin, for rows with a 64-bit key and a size. A cut beyond the last key is 2**63. No pass brings more than most sums to the driver."""
+
+    def sums(bits: int, within: DataFrame) -> list[tuple]:
         by = F.shiftright(key, 64 - bits).alias("p") if bits < 64 else F.col(key).alias("p")
-        return within.groupBy(by).agg(F.sum(size).alias("s"), F.min(key).alias("a"), F.max(key).alias("b"), F.count("*").alias("n")).collect()
+        found = within.groupBy(by).agg(F.sum(size).alias("s"), F.min(key).alias("a"), F.max(key).alias("b"), F.count("*").alias("n")).collect()
+        return [(r.a, r.b, r.s, r.n, bits) for r in found]
 
-    parts = sorted((r.a, r.b, r.s, r.n) for r in sums(first_bits, rows))
-    bits = first_bits
+    parts = sorted(sums(min(first_bits, most.bit_length() - 1), rows))
     while True:
         sizes, single = [p[2] for p in parts], [p[0] == p[1] for p in parts]
         zone = _zones(sizes, single, shards)
         if not zone:
             break
-        ranges: list[list[int]] = []
-        for i in zone:
-            if ranges and ranges[-1][2] == i - 1:
-                ranges[-1][1:] = [parts[i][1], i]
-            else:
-                ranges.append([parts[i][0], parts[i][1], i])
-        n = sum(parts[i][3] for i in zone)
-        bits = 64 if n <= SUMS else min(bits + 6, 64)
-        if len(ranges) <= 200:
-            inside = F.lit(False)
-            for a, b, _ in ranges:
-                inside = inside | F.col(key).between(a, b)
-        else:
-            inside = F.col(key).between(ranges[0][0], ranges[-1][1])
-        again = sorted((r.a, r.b, r.s, r.n) for r in sums(bits, rows.filter(inside)))
-        keep = set(zone)
-        low, high = parts[zone[0]][0], parts[zone[-1]][1]
-        if len(ranges) <= 200:
-            parts = sorted([p for i, p in enumerate(parts) if i not in keep] + again)
-        else:
-            parts = sorted([p for p in parts if not low <= p[0] <= high] + again)
+        # parts of equal depth, the largest first: they make the zones wide
+        bits = min(parts[i][4] for i in zone)
+        todo = sorted((i for i in zone if parts[i][4] == bits), key=lambda i: -sizes[i])[: max(1, most // 8)]
+        more = 64 if sum(parts[i][3] for i in todo) <= most else min(64, bits + (most // len(todo)).bit_length() - 1)
+        inside = f"shiftright({key}, {64 - bits}) IN ({', '.join(str(parts[i][0] >> (64 - bits)) for i in todo)})"
+        drop = set(todo)
+        parts = sorted([p for i, p in enumerate(parts) if i not in drop] + sums(more, rows.filter(inside)))
     cuts = even_cuts(sizes, shards, smallest_capacity(sizes, shards)) if parts else [0] * (shards - 1)
     return [parts[c][0] if c < len(parts) else 1 << 63 for c in cuts]
 
@@ -145,7 +132,8 @@ def minimax_shards(df: DataFrame, shards: int = 40, text_col: str = "text", id_c
     made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     kept = df.drop(*made)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = {c: f"_{c}" for c in ("h", "cell", "part", "before")}
+    names = ("h", "cell", "part", "before")
+    own = dict(zip(names, fresh([*kept.columns, *made], *(f"_{c}" for c in names)), strict=True))
     rows = kept.select("*", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias(own["h"]))
     sums = stored(rows.select(F.col(own["h"]).alias("h"), "size"), "sizes")
     cuts = minimax_cuts(sums, shards)
@@ -153,8 +141,8 @@ def minimax_shards(df: DataFrame, shards: int = 40, text_col: str = "text", id_c
     rows = rows.withColumns({"shard": shard.cast("int"), own["cell"]: F.shiftright(own["h"], 56).cast("int"), own["part"]: F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(SALTS)).cast("int")})
     cell = ["shard", own["cell"], own["part"]]
     # at most (CELLS + shards) * SALTS counts, whatever the input
-    counts = rows.groupBy(*cell).agg(F.count("*").alias("n"))
-    before = counts.select(*cell, (F.sum("n").over(W.partitionBy("shard").orderBy(*cell[1:])) - F.col("n")).alias(own["before"]))
+    counts = rows.groupBy(*cell).agg(F.count("*").alias(own["before"]))
+    before = counts.select(*cell, (F.sum(own["before"]).over(W.partitionBy("shard").orderBy(*cell[1:])) - F.col(own["before"])).alias(own["before"]))
     within = F.row_number().over(W.partitionBy(*cell).orderBy(own["h"], id_col))
     out = rows.withColumn("slot", within.cast("long")).join(F.broadcast(before), cell)
     out = out.withColumns({"slot": F.col("slot") - 1 + F.col(own["before"]), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
