@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, fresh, stored
 
 WINDOW = 8
 #: Share of an item's windows that a document must have with consistent slots.
@@ -34,9 +34,16 @@ minute minutes hour hours day days week weeks month months year years degree deg
 joules newton newtons hertz""".split()
 
 
+#: Capitalised words that open a question or sentence and aren't names.
+OPENERS = """A After All Also An And Are As At Because Before Both But By Calculate Can Could Did Do Does Each Every Find For From Give Given Had Has
+Have He Her His How However If In Is It Its Let Many More Most No Not Now Of On Once One Or Our She Should Since So Some Such Suppose That The Their
+Then There These They This Those To Under Was We Were What When Where Whether Which While Who Whose Why Will With Would You Your""".split()
+NAMED = r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}])(?!(?:" + "|".join(OPENERS) + r")(?![\p{L}\p{N}]))"
+
+
 def tokens(text: Column) -> Column:
-    """Words of a text: letters and digits, lower case; a name (a capitalised word that follows a lower-case word or a comma) keeps a mark before it, a number is one token however it is grouped."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll},;:] )", " " + NAME)
+    """Words of a text: letters and digits, lower case; a name (a capitalised word anywhere that isn't one of OPENERS) keeps a mark before it, a number is one token however it is grouped."""
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), NAMED, NAME)
     joined = F.regexp_replace(F.lower(marked), r"(\d)[.,](?=\d)", "$1")
     spaced = F.regexp_replace(joined, r"[^\p{L}\p{N}\x01]+", " ")
     return F.split(F.trim(spaced), " ")
@@ -55,9 +62,22 @@ def token_hash(token: Column) -> Column:
 
 
 def windows(hashes: Column, length: int) -> Column:
-    """Hashes of the runs of length elements; empty if there are fewer."""
-    n = F.size(hashes)
-    return F.when(n >= length, F.transform(F.sequence(F.lit(1), F.greatest(n - length + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, length)))).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of the runs of length elements, by doubling: the hash of a run is that of its parts of 1, 2, 4, ... elements. Empty if there are fewer."""
+
+    def joined(a: Column, b: Column, shift: int) -> Column:
+        """Hashes of a[i] and b[i + shift]; arrays are bound to variables so that each is made once."""
+        both = F.array(F.struct(a.alias("a"), b.alias("b")))
+        least = lambda x: F.greatest(F.least(F.size(x["a"]), F.size(x["b"]) - shift), F.lit(0))
+        return F.element_at(F.transform(both, lambda x: F.zip_with(F.slice(x["a"], F.lit(1), least(x)), F.slice(x["b"], F.lit(shift + 1), least(x)), lambda p, q: F.xxhash64(p, q))), 1)
+
+    out, done, block, step = None, 0, hashes, 1
+    while True:
+        if length & step:
+            out = block if out is None else joined(out, block, done)
+            done += step
+        if done == length:
+            return out
+        block, step = joined(block, block, step), 2 * step
 
 
 def benchmark_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -65,8 +85,9 @@ def benchmark_windows(items: DataFrame, window: int, id_col: str, text_col: str)
     t = items.select(F.col(id_col).alias("item"), tokens(F.col(text_col)).alias("t")).filter("t[0] <> ''")
     t = t.withColumns({"length": F.least(F.lit(window), F.size("t")), "h": F.transform("t", token_hash)})
     t = t.withColumn("total", F.size("t") - F.col("length") + 1)
-    t = t.withColumn("place", F.explode(F.sequence(F.lit(1), F.col("total"))))
-    return t.select("item", "length", F.xxhash64(F.slice("h", F.col("place"), F.col("length"))).alias("w"), "place", F.slice("t", F.col("place"), F.col("length")).alias("words"), "total")
+    at_length = F.coalesce(*(F.when(F.col("length") == n, windows(F.col("h"), n)) for n in range(1, window + 1)))
+    t = t.select("item", "length", "total", "t", F.posexplode(at_length).alias("place", "w"))
+    return t.select("item", "length", "w", (F.col("place") + 1).alias("place"), F.slice("t", F.col("place") + 1, F.col("length")).alias("words"), "total")
 
 
 def contaminated(df: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -94,9 +115,12 @@ def contaminated(df: DataFrame, items: DataFrame, window: int = WINDOW, share: f
     # the words of the hits, from the documents that have any
     own = found.groupBy("id").agg(F.collect_set(F.struct("at", "length", "w")).alias("hit"))
     few = found.limit(BROADCAST + 1).count() <= BROADCAST
-    own = docs.join(F.broadcast(own) if few else own, "id").select("id", tokens(F.col("text")).alias("t"), F.explode("hit").alias("hit"))
-    own = own.select("id", "hit.w", "hit.length", F.slice("t", F.col("hit.at") + 1, F.col("hit.length")).alias("own"))
-    own = own.filter(F.xxhash64(F.transform("own", token_hash)) == F.col("w")).distinct()
+    # the words are bound to a variable, so that a text is split once and no row carries all its words
+    cut = F.transform(F.array(tokens(F.col("text"))), lambda t: F.transform("hit", lambda x: F.struct(x["w"].alias("w"), x["length"].alias("length"), F.slice(t, x["at"] + 1, x["length"]).alias("own"))))
+    own = docs.join(F.broadcast(own) if few else own, "id").select("id", F.explode(F.element_at(cut, 1)).alias("x")).select("id", "x.*")
+    own = own.filter(F.size("own") == F.col("length")).distinct().withColumn("h", F.transform("own", token_hash))
+    again = F.coalesce(*(F.when(F.col("length") == r.length, F.element_at(windows(F.col("h"), r.length), 1)) for r in sizes)) if sizes else F.lit(None)
+    own = own.filter(again == F.col("w")).drop("h")
     hits = own.join(side(bench), ["w", "length"])
     # slots of a window: (kind and value of the item, value of the document)
     pairs = F.filter(F.arrays_zip(F.col("words").alias("theirs"), F.col("own").alias("ours")), lambda x: kind(x["theirs"]) > 0)
@@ -119,9 +143,10 @@ def contaminated(df: DataFrame, items: DataFrame, window: int = WINDOW, share: f
 def decontaminated(df: DataFrame, items: DataFrame, **options) -> DataFrame:
     """df without the rows whose id contaminated() finds; rows with a null id stay."""
     id_col = options.get("id_col", "doc_id")
-    found = stored(contaminated(df, items, **options).select(F.col(id_col).alias("_found")).distinct(), "contaminated")
+    (name,) = fresh(df.columns, "_found")
+    found = stored(contaminated(df, items, **options).select(F.col(id_col).alias(name)).distinct(), "contaminated")
     few = found.limit(BROADCAST + 1).count() <= BROADCAST  # else the join shuffles
-    return df.join(F.broadcast(found) if few else found, F.col(id_col) == F.col("_found"), "left_anti")
+    return df.join(F.broadcast(found) if few else found, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
