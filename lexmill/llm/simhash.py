@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import documents, stored
+from .common import documents, fresh, stored
 from .components import components
 from .windows import M, keyed_runs, mix
 
@@ -390,8 +390,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """df without the rows whose id isn't the one that stays of its group; repeated ids stay together."""
-    gone = stored(near_duplicates(df, id_col, **options).filter(F.col(id_col) != F.col("keep_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    (name,) = fresh(df.columns, "_gone")
+    gone = stored(near_duplicates(df, id_col, **options).filter(F.col(id_col) != F.col("keep_id")).select(F.col(id_col).alias(name)).distinct(), "gone")
+    return df.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

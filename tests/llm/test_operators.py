@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -66,6 +67,10 @@ def test_exact_dedup(spark, docs, rows, empty, tmp_path):
     assert exact_dedup.streaming_exact_dedup(spark, path, checkpoint=f"file://{check}").count() == len(rows)
     spark.createDataFrame([(-5, rows[4][1], *rows[4][2:])], SCHEMA).write.mode("append").parquet(path)
     assert exact_dedup.streaming_exact_dedup(spark, path, checkpoint=f"file://{check}").filter("keep_id = -5").count() == len(groups[norm(rows[4][1])]) + 1
+    # a folder beside it whose name begins alike is another table; a single file may be read too
+    spark.createDataFrame([(-9, rows[4][1], *rows[4][2:])], SCHEMA).write.parquet(f"{path}_old")
+    assert exact_dedup.streaming_exact_dedup(spark, path).filter("keep_id = -9").count() == 0
+    assert exact_dedup.streaming_exact_dedup(spark, str(next((tmp_path / "d.parquet_old").glob("*.parquet")))).count() == 1
     empty.write.parquet(str(tmp_path / "e.parquet"))
     assert exact_dedup.streaming_exact_dedup(spark, str(tmp_path / "e.parquet")).count() == 0
 
@@ -347,6 +352,17 @@ def test_smallest_capacity(spark):
     for h, s in order:
         sums[sum(h >= c for c in cuts)] += s
     assert len(shards) == 12 and max(sums.values()) == cap
+    # with one group of a third of everything, in passes of few sums
+    heavy = rows + [(rows[5][0], 1)] * 200 + [(rows[5][0], sum(s for _, s in rows) // 2)]
+    groups = Counter()
+    for h, s in heavy:
+        groups[h] += s
+    cap = sharding.smallest_capacity([groups[h] for h in sorted(groups)], 12)
+    cuts = sharding.minimax_cuts(spark.createDataFrame(heavy, "h long, size long"), 12, most=128)
+    sums = Counter()
+    for h, s in heavy:
+        sums[sum(h >= c for c in cuts)] += s
+    assert max(sums.values()) == cap
 
 
 def test_mixing(docs, rows, empty):
@@ -357,7 +373,7 @@ def test_mixing(docs, rows, empty):
         size[r.source] += r["size"]
         taken[r.source] += r.taken
         target[r.source] = r.target
-        assert 0 <= r.taken <= 2 * r["size"] and (r.taken == 0) == (r.finish is None)
+        assert 0 <= r.taken <= 2 * r["size"] and r.taken == sum(t.given for t in r.turns)
     budget = sum(size.values()) * 150 // 100
     level = None
     names = sorted(size, key=lambda s: (s is None, s))
@@ -372,9 +388,35 @@ def test_mixing(docs, rows, empty):
         capped |= more
     for s in names:
         want = 2 * size[s] if s in capped else weight[s] * level
-        assert abs(target[s] - want) < 1e-6 * max(1, want) and taken[s] == int(target[s] + 1e-9)
+        assert abs(target[s] - want) < 1e-6 * max(1, want)
+    # the queues, served one turn after another
+    queues = defaultdict(list)
+    for r in rows:
+        queues[r[3]].append((hashlib.sha256(str(r[0]).encode()).hexdigest(), len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")), r[0]))
+    turns = []
+    for s, q in queues.items():
+        at = 0
+        for k in range(2):
+            for _, n, i in sorted(q):
+                at += n
+                if n:
+                    turns.append((at / target[s], s is None, s or "", at, n, (s, i, n)))
+    want, left = Counter(), budget
+    for *_, n, who in sorted(turns):
+        want[who] += min(n, left)
+        left -= min(n, left)
+    for most in (mixing.CUT, 3):
+        found = Counter()
+        for r in mixing.fair_mix(docs, most=most).collect():
+            found[r.source, r.doc_id, r["size"]] += r.taken
+        assert +found == +want
+    served = [r.doc_id for r in mixing.mixed(docs).collect()]
+    order = sorted((f, w[1]) for f, *_, n, w in turns)
+    assert set(served) <= {i for _, i in order} and len(served) > 20
     assert mixing.fair_mix(empty).count() == 0
     assert mixing.mixed(docs).columns == docs.columns
+    clash = docs.withColumns({c: F.lit(1) for c in ("_id", "_size", "_turns", "_turn", "finish", "turn", "source_size")})
+    assert mixing.mixed(clash).count() == len(served) and sharding.minimax_shards(clash.withColumns({c: F.lit(1) for c in ("_h", "_cell", "_part", "_before")})).count() == len(rows)
 
 
 def test_language(spark, empty, docs):
@@ -438,6 +480,64 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0 and decontamination.contaminated(empty, items).count() == 0
 
 
+def templates(text):
+    """Words of a text and what stands for them in its template."""
+    marked = regex.sub(r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}[\p{L}\p{N}]*)", lambda m: m[0] if m[0] in decontamination.OPENERS else decontamination.NAME + m[0], text or "")
+    words = regex.sub(r"[^\p{L}\p{N}\x01]+", " ", regex.sub(r"(\d)[.,](?=\d)", r"\1", marked.lower())).split()
+    kind = lambda w: 1 if "0" <= w[0] <= "9" else 2 if w[0] == decontamination.NAME else 3 if w in decontamination.UNITS else 0
+    return words, [kind(w) or w for w in words], kind
+
+
+def brute_contaminated(docs, items, window=8, share=0.4):
+    out = {}
+    by_id = defaultdict(list)
+    for d, t in docs:
+        if d is not None:
+            by_id[d].append(t)
+    for item, text in items:
+        theirs, plan, kind = templates(text)
+        n = min(window, len(theirs))
+        for d, texts in by_id.items():
+            best = {}
+            for t in texts:
+                ours, mine, _ = templates(t)
+                for p in range(len(plan) - n + 1) if n else ():
+                    for q in range(len(mine) - n + 1):
+                        if plan[p : p + n] == mine[q : q + n]:
+                            slots = [(a, b) for a, b in zip(theirs[p : p + n], ours[q : q + n], strict=True) if kind(a)]
+                            case = (any(a != b for a, b in slots), slots)
+                            best[p] = min(best.get(p, case), case)
+            left, right = defaultdict(set), defaultdict(set)
+            for _, slots in best.values():
+                for a, b in slots:
+                    left[kind(a), a].add(b)
+                    right[kind(a), b].add(a)
+            good = [c for c in best.values() if all(len(left[kind(a), a]) == 1 and len(right[kind(a), b]) == 1 for a, b in c[1])]
+            total = len(plan) - n + 1
+            if good and len(good) / total >= share:
+                out[d, item] = (len(good), len(good) / total, not any(c[0] for c in good))
+    return out
+
+
+def test_decontamination_brute(spark):
+    """Against a direct version, with placeholders and slots; names that open sentences change as well."""
+    rng = random.Random(8)
+    names, verbs = ["Tom", "Mary", "Jo", "Anna", "Ben", "Eve"], ["has", "buys", "eats", "finds", "paints"]
+
+    def story():
+        a, b = rng.sample(names, 2)
+        return " ".join(f"{rng.choice([a, b])} {rng.choice(verbs)} {rng.randrange(2, 9)} {rng.choice(['apples', 'kg', 'miles'])}." for _ in range(rng.randrange(1, 6)))
+
+    items = [(i, story()) for i in range(15)] + [(20, None), (21, "one Two"), (22, "Tom has 5 apples. Mary has 3 apples. Tom gives Mary 2 apples, so Mary eats 1 apple.")]
+    docs = [(i, f"{story()} and then {items[i % 15][1]}" if i % 3 else story()) for i in range(60)]
+    docs += [(i, items[i % 15][1].replace("Tom", "Zoe").replace("Mary", "Kim").replace("3", "8")) for i in range(60, 80)]
+    docs += [(90, None), (91, ""), (None, story()), (3, story()), (92, "Bob has 5 apples. Anna has 4 apples. Bob gives Anna 2 apples, so Anna eats 1 apple."), (93, "a one Two b"), (94, " ".join(["word"] * 30000) + " " + items[0][1])]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_contaminated(docs, items)
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.share, r.exact) for r in got} == want
+    assert not want[92, 22][2] and want[93, 21][2] and (94, 0) in want
+
+
 def test_near_duplicates_are_verified(spark, monkeypatch):
     """Similarity decides, in blocks of a group too; nulls, blanks, repeated ids and clashing columns have their defined results."""
     rng = random.Random(3)
