@@ -7,9 +7,9 @@ depth. At each depth both shards list their classes of equal prefixes in
 order; a class is told by the merged ranks, one depth before, of its first and
 of its second part, so one merge of two ordered lists of classes gives the
 interleave at the next depth. Depths double, as a refinement symbol by symbol
-would take as many passes as the match length. Positions in one class at the
-last depth have a common prefix of that length: these are the repeated
-intervals.
+would take as many passes as the match length. The classes of all depths give
+the common prefixes of neighbours in the merged order; suffixes in one class
+at the last depth have that many symbols in common and form a repeated interval.
 """
 
 from __future__ import annotations
@@ -79,9 +79,37 @@ class Shard:
         return np.argsort(self.ranks[-1], kind="stable")
 
     def transform(self) -> np.ndarray:
-        """The symbol before each suffix, in suffix order."""
+        """The Burrows-Wheeler transform: the symbol before each suffix, in suffix order."""
         return np.roll(self.symbols, 1)[self.order()]
 
+    def common_prefixes(self) -> np.ndarray:
+        """Length of the common prefix, within their strings, of each suffix and the next in suffix order, up to length. The classes of the refinement's depths tell it; no text is compared but for the last symbols."""
+        order = self.order()
+        i, j = order[:-1].copy(), order[1:].copy()
+        n, out = len(self.symbols), np.zeros(max(len(order) - 1, 0), np.int64)
+        for rank, depth in zip(reversed(self.ranks), reversed(depths(self.length)), strict=True):
+            inside = (j < n) & (i < n) & (out + depth <= self.length)
+            same = np.zeros(len(out), bool)
+            same[inside] = rank[i[inside]] == rank[j[inside]]
+            for x in (i, j, out):
+                x[same] += depth
+        for _ in range(FIRST):
+            inside = (j < n) & (i < n) & (out < self.length)
+            same = np.zeros(len(out), bool)
+            same[inside] = self.symbols[i[inside]] == self.symbols[j[inside]]
+            if not same.any():
+                break
+            for x in (i, j, out):
+                x[same] += 1
+        ends = np.flatnonzero(self.symbols == 0)
+        left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+        return np.minimum(out, np.minimum(left[order[:-1]], left[order[1:]]))
+
+    def repeated(self) -> np.ndarray:
+        """Whether each position lies in a repeated interval: one of suffixes that have their first length symbols in common, and more than one of them."""
+        rank = self.ranks[-1]
+        return np.bincount(rank)[rank] > 1
+
     def merge(self, other: Shard) -> Shard:
         steps, n = depths(self.length), len(self.symbols)
         a, b, keys = _interleave(self.keys, other.keys)

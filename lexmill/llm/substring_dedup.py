@@ -1,13 +1,19 @@
 """Repeated word passages by relative Lempel-Ziv factors.
 
-The corpus is indexed as blocks: each 13-word window has an anchor, and the
-windows with one anchor form a block that is indexed by its hash with the
-smallest document that holds it. A document is parsed greedily against the
-index: a factor starts at the first block that a smaller document also holds
-and runs on over all following such blocks. Where a factor ends, and wherever
-a block's anchor occurs in unequal blocks, the windows are looked up one by
-one, so the spans end at the exact word. Windows are judged on the input,
-against every document with a smaller id.
+Every document is parsed into factors, each a run of words that stands in a
+reference: the documents with smaller ids. The references are indexed in
+blocks. A block is a run of words whose 13-word windows have one anchor (the
+six words with the least hash); it lies in the index under its anchor, so a
+document meets all blocks that can hold a window of its own.
+
+A block of a document that equals a reference block as a whole points to it.
+Where the anchor is known but the blocks differ, as they do where a copy
+begins and ends, the words themselves are compared: from each word on the
+factor runs on greedily as long as a reference block of that anchor, in a
+smaller document, has the same words. The parse then takes factors in the
+order of the document and runs on over block after block for as long as they
+point to consecutive words of one reference. Factors of 13 words or more are
+the duplicate spans. Windows are judged on the input.
 """
 
 from __future__ import annotations
@@ -22,23 +28,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, free, stored
-from .windows import NEEDS, RESOLVED, ROWS, Thinner, covered, keyed_documents, keyed_runs, packed, read_packed, resolved, run_hashes, segment_rows
+from .windows import NEEDS, RESOLVED, keyed_documents, read_lists, resolved, segment_rows, united
 
 WINDOW, GRAM = 13, 6
+#: Different blocks of an anchor that one task compares word by word; the windows of further ones are told apart by 128-bit hashes.
+BUCKET = 2000
 
 
 class WordHasher:
-    """Hashes of a text's words; those of up to limit words are kept."""
+    """Hashes of words; those of up to limit words are kept."""
 
     def __init__(self, limit: int = 500_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
-    def __call__(self, text: bytes) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         known, out = self.known, []
         if len(known) > self.limit:
             known.clear()
-        for w in text.split():
+        for w in words:
             x = known.get(w)
             if x is None:
                 x = known[w] = xxhash.xxh64_intdigest(w)
@@ -49,105 +57,154 @@ class WordHasher:
 class _Words:
     """Makes a WordHasher on first use, in the task."""
 
-    def __call__(self, text: bytes) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         own = getattr(self, "own", None)
         if own is None:
             own = self.own = WordHasher()
-        return own(text)
+        return own(words)
 
 
-def window_rows(docs: DataFrame, needs: DataFrame, window: int) -> DataFrame:
-    """(k, doc, th, a, st): hash and place of each window of the runs in needs. A window that this task has met in a smaller document is RESOLVED at once."""
+def block_words(docs: DataFrame, blocks: DataFrame, window: int) -> DataFrame:
+    """(k, doc, th, a, n, words) of the blocks (doc, th, a, n, k): their words joined by one space."""
+    by_doc = blocks.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "n", "k")).alias("blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        thin, hashes, held, size = Thinner(True), WordHasher(), [], 0
-
-        def out() -> pa.RecordBatch:
-            w, doc, th, at = (np.concatenate(x) for x in zip(*held, strict=True))
-            # the windows' own hashes stand for segment and anchor alike, so none is hot
-            k, st, *_ = thin(w ^ np.arange(len(w)).astype(np.uint64), w, doc)
-            st = np.where(st == NEEDS, 0, st).astype(np.int8)
-            k = np.where(st == RESOLVED, k, w)
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(doc), pa.array(th), pa.array(at.astype(np.int32)), pa.array(st)], ["k", "doc", "th", "a", "st"])
-
+        names, kinds = ["k", "doc", "th", "a", "n", "words"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for b in batches:
-            for doc, th, t, spans in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                w = run_hashes(hashes(t.encode("utf-8", "surrogatepass")), window)
-                first, count, _ = read_packed(spans)
-                at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                held.append((w[at], np.full(len(at), doc), np.full(len(at), th), at))
-                size += len(at)
-                if size >= ROWS:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+            rows, size = [], 0
+            for doc, th, t, (a, n, k) in zip(*(b.column(i).to_pylist() for i in range(3)), read_lists(b.column(3)), strict=True):
+                words = t.encode("utf-8", "surrogatepass").split()
+                for at, count, key in zip(a.tolist(), n.tolist(), k.tolist(), strict=True):
+                    rows.append((key, doc, th, at, count, b" ".join(words[at : at + count + window - 1])))
+                    size += len(rows[-1][5])
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.join(packed(needs), ["doc", "th"]).select("doc", "th", "t", "spans").mapInArrow(run, "k long, doc long, th long, a int, st byte")
+    return docs.join(by_doc, ["doc", "th"]).select("doc", "th", "t", "blocks").mapInArrow(run, "k long, doc long, th long, a int, n int, words binary")
 
 
-def repeated_windows(rows: DataFrame) -> DataFrame:
-    """The rows of window_rows whose window a smaller document has too, as runs of one window."""
+FACTOR = "doc long, th long, a int, n int, s long, k int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, doc, th, a, st in keyed_runs(batches):
-            open_ = np.flatnonzero(st != RESOLVED)
-            again = st == RESOLVED
-            if len(open_):
-                ko = k[open_]
-                new = np.concatenate([[True], ko[1:] != ko[:-1]])
-                again[open_] = doc[open_] > doc[open_][np.flatnonzero(new)][np.cumsum(new) - 1]
-            keep = np.flatnonzero(again)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(th[keep]), pa.array(a[keep]), pa.array(np.ones(len(keep), np.int32)), pa.array(np.ones(len(keep), np.int8))], ["doc", "th", "a", "n", "st"])
 
-    return rows.repartition("k").sortWithinPartitions("k", "doc").mapInArrow(run, "doc long, th long, a int, n int, st byte")
+def factors(texts: DataFrame, window: int) -> DataFrame:
+    """The factors of window or more words of the blocks (k, doc, th, a, n, words) in blocks of smaller documents with the same k: their first window a, number of windows n, and the document s and window k that they point to."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchor, index = None, {}
+        for b in batches:
+            out = []
+            for k, doc, th, a, n, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != anchor:
+                    anchor, index = k, {}
+                words, factor = text.split(b" "), None
+                for j in range(n):
+                    there = index.setdefault(b" ".join(words[j : j + window]), (doc, a + j))
+                    if there[0] == doc:  # rows come by document: no smaller one has it
+                        factor = None
+                    elif factor and factor[4] == there[0] and factor[5] + factor[3] == there[1]:
+                        factor[3] += 1
+                    else:
+                        factor = [doc, th, a + j, 1, *there]
+                        out.append(factor)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            cols = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds, strict=True)], ["doc", "th", "a", "n", "s", "k"])
+
+    return texts.repartition("k").sortWithinPartitions("k", "doc", "th", "a").mapInArrow(run, FACTOR)
+
+
+def factors_by_hash(texts: DataFrame, window: int) -> DataFrame:
+    """The same for anchors with too many blocks for one task: each window goes where its own 128-bit hash is dealt."""
 
-def drop_repeated_passages(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, hot: int | None = None) -> DataFrame:
-    """One row for each row of df: id, n_words, n_removed, kept_sha256 and, with keep_text, kept_text and spans [first word, end) that were removed.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc, th, a, n, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = text.split(b" ")
+                for j in range(n):
+                    h = xxhash.xxh3_128_intdigest(b" ".join(words[j : j + window]))
+                    rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), doc, th, a + j))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["h", "l", "doc", "th", "a"])
+
+    rows = stored(texts.select("doc", "th", "a", "n", "words").mapInArrow(run, "h long, l long, doc long, th long, a int"), "windows")
+    least = rows.groupBy("h", "l").agg(F.min(F.struct("doc", "a")).alias("least"), F.count("*").alias("c")).filter("c > 1").select("h", "l", "least")
+    return rows.join(least, ["h", "l"]).filter("doc > least.doc").select("doc", "th", "a", F.lit(1).alias("n"), F.col("least.doc").alias("s"), F.col("least.a").alias("k"))
+
+
+def parse(x: np.ndarray, ref: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy parse of a document's pieces (x = first window << 32 | windows, reference document, window there): pieces that go on in the same place of the same reference become one factor (first window, windows, ref, at)."""
+    order = np.argsort(x, kind="stable")
+    first, count, ref, at = x[order] >> 32, x[order] & 0xFFFFFFFF, ref[order], at[order].astype(np.int64)
+    once = np.concatenate([[True], first[1:] != first[:-1]])  # repeated rows bring their pieces twice
+    first, count, ref, at = first[once], count[once], ref[once], at[once]
+    new = np.concatenate([[True], (first[1:] != first[:-1] + count[:-1]) | (ref[1:] != ref[:-1]) | (at[1:] - first[1:] != at[:-1] - first[:-1])])
+    head = np.flatnonzero(new)
+    return first[head], np.add.reduceat(count, head), ref[head], at[head]
+
+
+def drop_repeated_passages(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, hot: int | None = None, bucket: int = BUCKET) -> DataFrame:
+    """One row for each row of df: id, n_words, n_removed, kept_sha256, n_factors (of window words or more) and, with keep_text, kept_text, spans [first word, end) that were removed, and factors (first word, end, the id and word they point to).
 
     A word goes if a window of 13 words around it also starts in a document
     with a smaller id. Words are unchanged runs of non-space characters; kept
     ones are joined by one space. Null and blank texts have no words; texts of
     fewer than 13 words lose none. Rows that share an id are never compared
     with each other, and repeated rows have equal results. A null id
-    is larger than all others. An empty table gives no rows. Windows are
-    compared by 64-bit hashes.
+    is larger than all others; ids must be integers, as their order decides, or
+    text that Spark casts to such. An empty table gives no rows. Whole blocks are
+    compared by 128 bits of hashes, parts of blocks by their words. A text is held
+    whole by one task, but looked at a piece at a time.
     """
     spark = df.sparkSession
     docs = keyed_documents(df, id_col, text_col)
-    blocks = stored(resolved(segment_rows(docs, _Words(), gram, window, True, hot), True).drop("s", "k"), "factors")
+    blocks = stored(resolved(segment_rows(docs, bytes.split, _Words(), gram, window, True, hot), True), "blocks")
+    free(spark)
+    open_ = blocks.filter(F.col("st") == NEEDS).select("doc", "th", "a", "n", "k")
+    texts = stored(block_words(docs, open_, window), "words")
     free(spark)
-    single = stored(repeated_windows(window_rows(docs, blocks.filter(F.col("st") == NEEDS), window)), "boundaries")
+    big = stored(texts.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") > bucket).select("k"), "big")
+    parts = [blocks.filter(F.col("st") == RESOLVED).select("doc", "th", "a", "n", "s", F.col("k").cast("int").alias("k"))]
+    parts.append(stored(factors(texts.join(big, "k", "left_anti").select(texts.columns), window), "factors"))
+    if not big.isEmpty():
+        parts.append(stored(factors_by_hash(texts.join(big, "k", "left_semi"), window), "factors"))
     free(spark)
-    spans = packed(blocks.filter(F.col("st") == RESOLVED).unionByName(single))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    piece = F.struct(F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("x"), "s", "k")
+    found = found.groupBy("doc", "th").agg(F.collect_list(piece).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, gone, sha, kept, cut = [], [], [], [], []
-            for t, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            n, gone, sha, many, kept, cut, all_factors = [], [], [], [], [], [], []
+            for t, pieces in zip(b.column(1).to_pylist(), read_lists(b.column(2)), strict=True):
                 words = t.encode("utf-8", "surrogatepass").split()
-                if runs:
-                    first, count, _ = read_packed(runs)
-                    out = covered(len(words), first, count, window)
-                    left = [words[i] for i in np.flatnonzero(~out)]
-                else:
-                    out, left = np.zeros(0, bool), words
+                starts, ends, own, left = [], [], (), words
+                if pieces:
+                    own = parse(*pieces)
+                    starts, ends = united(own[0], own[1], window)
+                    left = [w for i, j in zip([0, *ends], [*starts, len(words)], strict=True) for w in words[i:j]]
                 line = b" ".join(left)
                 n.append(len(words))
                 gone.append(len(words) - len(left))
                 sha.append(hashlib.sha256(line).hexdigest())
+                many.append(len(own[0]) if pieces else 0)
                 if keep_text:
                     kept.append(line.decode("utf-8", "surrogatepass"))
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], out, [0]]).astype(np.int8)))
-                    cut.append([{"first": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
-            cols = {"doc": b.column(0), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+                    cut.append([{"first": i, "end": j} for i, j in zip(starts, ends, strict=True)])
+                    all_factors.append([{"first": f, "end": f + c + window - 1, "ref": r, "ref_first": x} for f, c, r, x in zip(*(v.tolist() for v in own), strict=True)] if pieces else [])
+            cols = {"doc": b.column(0), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "n_factors": pa.array(many, pa.int64())}
             if keep_text:
-                cols |= {"kept_text": pa.array(kept, pa.string()), "spans": pa.array(cut, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))}
+                long = lambda *names: pa.list_(pa.struct([(x, pa.int64()) for x in names]))
+                cols |= {"kept_text": pa.array(kept, pa.string()), "spans": pa.array(cut, long("first", "end")), "factors": pa.array(all_factors, long("first", "end", "ref", "ref_first"))}
             yield pa.RecordBatch.from_pydict(cols)
 
-    schema = "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, spans array<struct<first: long, end: long>>" * keep_text
-    out = docs.join(spans, ["doc", "th"], "left").select("doc", "t", "spans").mapInArrow(run, schema)
+    schema = "doc long, n_words long, n_removed long, kept_sha256 string, n_factors long" + ", kept_text string, spans array<struct<first: long, end: long>>, factors array<struct<first: long, end: long, ref: long, ref_first: long>>" * keep_text
+    out = docs.join(found, ["doc", "th"], "left").select("doc", "t", "pieces").mapInArrow(run, schema)
     return out.select(F.when(F.col("doc") != (1 << 63) - 1, F.col("doc")).alias(id_col), *out.columns[1:])
 
 

@@ -1,13 +1,13 @@
 """Repeated byte strings by merged Burrows-Wheeler transforms of shards.
 
 Sorting all suffixes of a corpus by hundreds of bytes is out of reach, so
-suffixes are first told apart by the anchors of their 400-byte windows. A
-segment (the windows with one anchor) that occurs twice as a whole is repeated
-throughout. Left are segments whose anchor occurs in unequal segments: only
-there the order of suffixes is needed. They are dealt by anchor, so equal
-windows meet; each task builds the suffix orders of shards of them and merges
-these by interleave refinement. Windows that stand in one class at depth 400
-are repeated.
+suffixes are dealt by the anchors of their 400-byte windows: equal windows
+have equal anchors and meet. A segment (the windows with one anchor) that occurs
+twice as a whole is repeated throughout, and is kept once as a reference. All
+different segments of an anchor go into suffix orders: each task builds
+those of shards of them and merges these by interleave refinement. The windows
+in repeated intervals of the merged order, where neighbours have 400 bytes in
+common, are the repeated ones; no hash has a say in that.
 """
 
 from __future__ import annotations
@@ -22,15 +22,17 @@ from pyspark.sql import functions as F
 
 from . import bwt
 from .common import documents, free, stored
-from .windows import MARK, NEEDS, RESOLVED, ROWS, covered, keyed_documents, keyed_runs, mix, packed, read_packed, resolved, run_hashes, segment_rows
+from .windows import MARK, NEEDS, RESOLVED, keyed_documents, keyed_runs, mix, read_lists, resolved, run_hashes, segment_rows, united
 
 WINDOW, GRAM = 400, 200
 #: A hash for each byte value.
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Segments that a task looks at together.
 TOGETHER = 1500
-#: Segments of an anchor that one task orders at most; beyond, their windows are dealt by hash.
-BUCKET = 20_000
+#: Different segments of an anchor that one task orders at most (some 2 MB); beyond, their windows are dealt by 128-bit hashes.
+BUCKET = 4000
+#: A second hash for each byte value.
+OTHER = mix(BYTES + np.uint64(0x632BE59BD9B4E019))
 
 
 def byte_hashes(text: bytes) -> np.ndarray:
@@ -47,10 +49,10 @@ def segment_texts(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int8(), pa.binary()]
         for b in batches:
             rows, size = [], 0
-            for doc, th, t, own in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, th, t, own in zip(*(b.column(i).to_pylist() for i in range(3)), read_lists(b.column(3)), strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
-                for r in own:
-                    rows.append((r["k"], doc, th, r["a"], r["n"], r["st"], raw[r["a"] : r["a"] + r["n"] + window - 1]))
+                for a, n, st, k in zip(*(x.tolist() for x in own), strict=True):
+                    rows.append((k, doc, th, a, n, st, raw[a : a + n + window - 1]))
                     size += len(rows[-1][6])
                 if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -80,24 +82,12 @@ def repeated_by_order(texts: DataFrame, window: int, shard_bytes: int) -> DataFr
 
     def look(doc: np.ndarray, th: np.ndarray, a: np.ndarray, n: np.ndarray, st: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
         n = n.astype(np.int64)
-        sizes = np.array([len(x) for x in raw])
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        w = run_hashes(byte_hashes(b"".join(raw)), window)[np.repeat(np.cumsum(sizes) - sizes, n) + within]
-        # a window with a hash of its own has no equal: suffixes are ordered for the others
-        _, kind, count = np.unique(w, return_inverse=True, return_counts=True)
-        maybe = np.flatnonzero(count[kind] > 1)
-        again = np.zeros(len(w), bool)
-        if len(maybe):
-            own = np.repeat(np.arange(len(n)), n)
-            new = np.concatenate([[True], (np.diff(maybe) != 1) | (np.diff(own[maybe]) != 0)])
-            first = maybe[new]
-            runs = np.diff(np.append(np.flatnonzero(new), len(maybe)))
-            strings = [raw[own[i]][within[i] : within[i] + m + window - 1] for i, m in zip(first.tolist(), runs.tolist(), strict=True)]
-            index = bwt.merged(strings, window, shard_bytes)
-            starts = np.cumsum(runs + window) - (runs + window)
-            rank = index.ranks[-1][np.repeat(starts - (np.cumsum(runs) - runs), runs) + np.arange(len(maybe))]
-            again[maybe] = (np.bincount(rank)[rank] > 1) & (st[own[maybe]] == NEEDS)
-        return _runs(doc, th, a, n, again)
+        sizes = np.array([len(x) + 1 for x in raw])
+        own = np.repeat(np.arange(len(n)), n)
+        within = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(np.cumsum(sizes) - sizes, n) + within  # each window's suffix
+        again = bwt.merged(list(raw), window, shard_bytes).repeated()[at]
+        return _runs(doc, th, a, n, again & (st[own] == NEEDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, *cols in keyed_runs(batches, TOGETHER):
@@ -111,18 +101,18 @@ def repeated_by_order(texts: DataFrame, window: int, shard_bytes: int) -> DataFr
 
 
 def repeated_by_hash(texts: DataFrame, window: int) -> DataFrame:
-    """The same for segments whose anchor is too frequent to bring together: each window goes where its own hash is dealt."""
+    """The same for segments whose anchor is too frequent to bring together: each window goes where its own 128-bit hash is dealt."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, th, a, st, raw in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 5, 6)), strict=True):
-                w = run_hashes(byte_hashes(raw), window)
+                w, x = run_hashes(byte_hashes(raw), window), run_hashes(OTHER[np.frombuffer(raw, np.uint8)], window)
                 n = len(w)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(n, doc)), pa.array(np.full(n, th)), pa.array((a + np.arange(n)).astype(np.int32)), pa.array(np.full(n, st, np.int8))], ["k", "doc", "th", "a", "st"])
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(x.view(np.int64)), pa.array(np.full(n, doc)), pa.array(np.full(n, th)), pa.array((a + np.arange(n)).astype(np.int32)), pa.array(np.full(n, st, np.int8))], ["h", "l", "doc", "th", "a", "st"])
 
-    rows = stored(texts.mapInArrow(explode, "k long, doc long, th long, a int, st byte"), "hot")
-    twice = rows.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k")
-    return rows.filter(F.col("st") == NEEDS + 8).join(twice, "k").select("doc", "th", "a", F.lit(1).alias("n"), F.lit(1).cast("byte").alias("st"))
+    rows = stored(texts.mapInArrow(explode, "h long, l long, doc long, th long, a int, st byte"), "hot")
+    twice = rows.groupBy("h", "l").agg(F.count("*").alias("c")).filter("c > 1").select("h", "l")
+    return rows.filter(F.col("st") == NEEDS + 8).join(twice, ["h", "l"]).select("doc", "th", "a", F.lit(1).alias("n"), F.lit(1).cast("byte").alias("st"))
 
 
 def drop_repeated_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, shard_bytes: int = 1 << 18, hot: int | None = None, bucket: int = BUCKET) -> DataFrame:
@@ -133,48 +123,47 @@ def drop_repeated_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, i
     texts are empty; texts of fewer than 400 bytes lose nothing. Repeated rows
     count as texts of their own, so they remove each other. Cuts may
     fall inside a character, so what stays is bytes. An empty table gives no rows.
-    Whole segments are compared by 64-bit hashes.
+    Whole segments are compared by 128 bits of hashes, parts of them by their
+    bytes; past bucket different segments of an anchor, by 128-bit hashes too. Ids must
+    be integers, or text that Spark casts to such. A text is held whole by one
+    task, but looked at a piece at a time.
     """
     spark = df.sparkSession
     docs = keyed_documents(df, id_col, text_col)
-    segments = stored(resolved(segment_rows(docs, byte_hashes, gram, window, False, hot), False).drop("s"), "segments")
+    segments = stored(resolved(segment_rows(docs, bytes, byte_hashes, gram, window, False, hot), False).drop("s"), "segments")
     free(spark)
     normal = segments.filter(F.col("st").isin(NEEDS, MARK))
-    # anchors with over BUCKET segments are few by that count
-    big = F.broadcast(stored(normal.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") > bucket).select("k"), "big"))
+    big = stored(normal.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") > bucket).select("k"), "big")
     hot = segments.filter(F.col("st") >= 8).unionByName(normal.join(big, "k", "left_semi").withColumn("st", (F.col("st") + 8).cast("byte")).select(segments.columns))
     texts = segment_texts(docs, normal.join(big, "k", "left_anti"), window)
     spans = [segments.filter(F.col("st") == RESOLVED).drop("k"), stored(repeated_by_order(texts, window, shard_bytes), "intervals")]
     if not hot.isEmpty():
         spans.append(stored(repeated_by_hash(segment_texts(docs, hot, window), window), "intervals"))
     free(spark)
-    found = packed(spans[0].unionByName(spans[1]) if len(spans) == 2 else spans[0].unionByName(spans[1]).unionByName(spans[2]))
+    found = spans[0].unionByName(spans[1]) if len(spans) == 2 else spans[0].unionByName(spans[1]).unionByName(spans[2])
+    found = found.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, gone, pieces, sha, kept, cut = [], [], [], [], [], []
-            for t, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for t, runs in zip(b.column(1).to_pylist(), read_lists(b.column(2)), strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
-                left, edge = raw, np.zeros(0, np.int64)
-                if runs:
-                    first, count, _ = read_packed(runs)
-                    out = covered(len(raw), first, count, window)
-                    left = np.frombuffer(raw, np.uint8)[~out].tobytes()
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], out, [0]]).astype(np.int8)))
+                starts, ends = united(*runs, window) if runs else ([], [])
+                left = b"".join([raw[i:j] for i, j in zip([0, *ends], [*starts, len(raw)], strict=True)])
                 size.append(len(raw))
                 gone.append(len(raw) - len(left))
-                pieces.append(len(edge) // 2)
+                pieces.append(len(starts))
                 sha.append(hashlib.sha256(left).hexdigest())
                 if keep_bytes:
                     kept.append(left)
-                    cut.append([{"first": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
+                    cut.append([{"first": i, "end": j} for i, j in zip(starts, ends, strict=True)])
             cols = {"doc": b.column(0), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(pieces, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
             if keep_bytes:
                 cols |= {"kept": pa.array(kept, pa.binary()), "spans": pa.array(cut, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))}
             yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<first: long, end: long>>" * keep_bytes
-    out = docs.join(found, ["doc", "th"], "left").select("doc", "t", "spans").mapInArrow(run, schema)
+    out = docs.join(found, ["doc", "th"], "left").select("doc", "t", "runs").mapInArrow(run, schema)
     return out.select(F.when(F.col("doc") != (1 << 63) - 1, F.col("doc")).alias(id_col), *out.columns[1:])
 
 

@@ -86,6 +86,13 @@ NORMAL, RESOLVED, NEEDS, MARK = 0, 1, 2, 3
 #: Segments of an anchor that a task deals out normally; the anchor's further ones are hot. In unordered mode what is hot costs a row for each window.
 HOT_ANCHOR, HOT_UNORDERED = 64, 1000
 ROWS = 400_000
+#: Windows of a text that are looked at together; a segment that is cut there is compared window by window.
+TOGETHER = 1 << 19
+
+
+def both(g: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """A hash that, together with s, tells g too."""
+    return mix(s + g * M)
 
 
 class Thinner:
@@ -97,22 +104,27 @@ class Thinner:
     than HOT_ANCHOR (unordered: HOT_UNORDERED) times are marked NEEDS and dealt out at random; one MARK
     row tells the anchor's own task that there are more. So no anchor or
     segment, however frequent, sends more than a few rows from a task to one place.
+    Segments count as equal if the hashes of their anchor and of the whole agree, 128 bits.
+
+    In ordered mode a RESOLVED row holds the document it repeats in s, and the
+    first window there in the lower half of k; a NEEDS row holds its anchor in s.
     """
 
     def __init__(self, ordered: bool, most: int | None = None, slots: int = 1 << 20):
         self.ordered, self.mask, self.most = ordered, np.uint64(slots - 1), most or (HOT_ANCHOR if ordered else HOT_UNORDERED)
-        self.seen_s, self.seen_doc, self.told = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, bool)
+        self.seen_s, self.seen_of, self.seen_doc, self.told = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, bool)
+        self.seen_a = np.zeros(slots, np.int64)
         self.seen_g, self.count_g = np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
 
-    def __call__(self, g: np.ndarray, s: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(k, st) of each row, and (k, s) of further MARK rows."""
+    def __call__(self, g: np.ndarray, s: np.ndarray, doc: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(k, s, st) of each row, and (k, s) of further MARK rows."""
         n = len(g)
         slot = (s & self.mask).astype(np.int64)
-        order = np.lexsort((doc, s))
-        so, do = s[order], doc[order]
-        new = np.concatenate([[True], so[1:] != so[:-1]])
+        order = np.lexsort((doc, g, s))
+        so, go, do = s[order], g[order], doc[order]
+        new = np.concatenate([[True], (so[1:] != so[:-1]) | (go[1:] != go[:-1])])
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        known = self.seen_s[slot[order]] == so
+        known = (self.seen_s[slot[order]] == so) & (self.seen_of[slot[order]] == go)
         least = do[first]
         if self.ordered:
             hit = (do > least) | (known & (self.seen_doc[slot[order]] < do))
@@ -123,68 +135,83 @@ class Thinner:
         marks_k, marks_s = [], []
         if not self.ordered:  # the row that was dealt out normally must learn that it isn't alone
             again = np.flatnonzero(hit)
-            again = again[np.unique(so[again], return_index=True)[1]] if len(again) else again
+            again = again[np.unique(first[again], return_index=True)[1]] if len(again) else again
             fresh = again[~(known[again] & self.told[slot[order[again]]])]
-            marks_k += [g[order[fresh]], mix(so[fresh])]
+            marks_k += [go[fresh], both(go[fresh], so[fresh])]
             marks_s += [so[fresh], so[fresh]]
+        if self.ordered:  # where each row that repeats is repeated from
+            at = np.flatnonzero(hit)
+            stored = known[at] & (self.seen_doc[slot[order[at]]] < do[at]) & ~(least[at] < do[at])
+            from_doc = np.where(stored, self.seen_doc[slot[order[at]]], least[at])
+            from_a = np.where(stored, self.seen_a[slot[order[at]]], a[order[first[at]]])
         heads = np.flatnonzero(new)
         put = heads[~known[heads] | (self.seen_doc[slot[order[heads]]] > do[heads])] if self.ordered else heads[~known[heads]]
         self.seen_s[slot[order[put]]] = so[put]
+        self.seen_of[slot[order[put]]] = go[put]
         self.seen_doc[slot[order[put]]] = do[put]
+        self.seen_a[slot[order[put]]] = a[order[put]]
         self.told[slot[order[put]]] = False
         if not self.ordered and len(again):
-            mine = self.seen_s[slot[order[again]]] == so[again]
+            mine = (self.seen_s[slot[order[again]]] == so[again]) & (self.seen_of[slot[order[again]]] == go[again])
             self.told[slot[order[again[mine]]]] = True
 
         normal = np.flatnonzero(st == NORMAL)
         if len(normal):
             gn = g[normal]
-            order = np.argsort(gn, kind="stable")
-            go = gn[order]
-            new = np.concatenate([[True], go[1:] != go[:-1]])
+            by = np.argsort(gn, kind="stable")
+            ga = gn[by]
+            new = np.concatenate([[True], ga[1:] != ga[:-1]])
             start = np.flatnonzero(new)
-            rank = np.arange(len(go)) - start[np.cumsum(new) - 1]
-            sizes = np.diff(np.concatenate([start, [len(go)]]))
-            gslot = (go & self.mask).astype(np.int64)
-            before = np.where(self.seen_g[gslot] == go, self.count_g[gslot], 0)
+            rank = np.arange(len(ga)) - start[np.cumsum(new) - 1]
+            sizes = np.diff(np.concatenate([start, [len(ga)]]))
+            gslot = (ga & self.mask).astype(np.int64)
+            before = np.where(self.seen_g[gslot] == ga, self.count_g[gslot], 0)
             rank = rank + before
             hot = rank >= self.most
-            st[normal[order[hot]]] = NEEDS
+            st[normal[by[hot]]] = NEEDS
             told = np.flatnonzero(rank == self.most)
-            marks_k.append(go[told])
+            marks_k.append(ga[told])
             marks_s.append(np.zeros(len(told), np.uint64))
-            self.seen_g[gslot[start]] = go[start]
+            self.seen_g[gslot[start]] = ga[start]
             self.count_g[gslot[start]] = before[start] + sizes
         spread = mix(s ^ (doc.astype(np.uint64) << np.uint64(17)) ^ np.arange(n).astype(np.uint64))
-        k = np.where(st == NORMAL, g, spread if self.ordered else np.where(st == NEEDS, mix(s), spread))
-        return k, st, np.concatenate(marks_k) if marks_k else np.zeros(0, np.uint64), np.concatenate(marks_s) if marks_s else np.zeros(0, np.uint64)
+        if self.ordered:
+            k = np.where(st == NORMAL, g, spread)
+            s = np.where(st == NEEDS, g, s)
+            at = order[at]
+            s[at] = from_doc.view(np.uint64)
+            k[at] = k[at] & ~np.uint64(0xFFFFFFFF) | from_a.astype(np.uint64)
+        else:
+            k = np.where(st == NORMAL, g, np.where(st == NEEDS, both(g, s), spread))
+        return k, s, st, np.concatenate(marks_k) if marks_k else np.zeros(0, np.uint64), np.concatenate(marks_s) if marks_s else np.zeros(0, np.uint64)
 
 
-def segment_rows(docs: DataFrame, hashes, gram: int, window: int, ordered: bool, hot: int | None = None) -> DataFrame:
-    """Rows of all segments of docs (doc, th, t); hashes(bytes) gives the hashes of a document's units; hot is another bound than HOT_ANCHOR."""
+def segment_rows(docs: DataFrame, split, hashes, gram: int, window: int, ordered: bool, hot: int | None = None) -> DataFrame:
+    """Rows of all segments of docs (doc, th, t). split(bytes) gives the units of a document, hashes(units) their hashes, a piece of TOGETHER windows at a time; hot is another bound than HOT_ANCHOR."""
+    together = TOGETHER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         thin, held, size = Thinner(ordered, hot), [], 0
 
         def out() -> pa.RecordBatch:
             g, s, doc, th, a, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            k, st, mk, ms = thin(g, s, doc)
+            k, s, st, mk, ms = thin(g, s, doc, a)
             m = len(mk)
             cols = [np.concatenate(x) for x in ((k, mk), (s, ms), (doc, np.full(m, -1, np.int64)), (th, np.zeros(m, np.int64)), (a, np.zeros(m, np.int64)), (n, np.zeros(m, np.int64)), (st, np.full(m, MARK, np.int8)))]
             return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols[:4]] + [pa.array(cols[4].astype(np.int32)), pa.array(cols[5].astype(np.int32)), pa.array(cols[6])], ["k", "s", "doc", "th", "a", "n", "st"])
 
         for b in batches:
             for doc, th, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                h = hashes(t.encode("utf-8", "surrogatepass"))
-                if len(h) < window:
-                    continue
-                g = run_hashes(h, gram)
-                at, first, count = anchors(g, window - gram + 1)
-                held.append((g[at], segment_hashes(h, first, count, window, at), np.full(len(at), doc), np.full(len(at), th), first, count))
-                size += len(at)
-                if size >= ROWS:
-                    yield out()
-                    held, size = [], 0
+                units = split(t.encode("utf-8", "surrogatepass"))
+                for lo in range(0, len(units) - window + 1, together):
+                    h = hashes(units[lo : lo + together + window - 1])
+                    g = run_hashes(h, gram)
+                    at, first, count = anchors(g, window - gram + 1)
+                    held.append((g[at], segment_hashes(h, first, count, window, at), np.full(len(at), doc), np.full(len(at), th), first + lo, count))
+                    size += len(at)
+                    if size >= ROWS:
+                        yield out()
+                        held, size = [], 0
         if held:
             yield out()
 
@@ -212,7 +239,7 @@ def keyed_runs(batches: Iterator[pa.RecordBatch], rows: int = ROWS, key: int = 0
 
 
 def resolved(rows: DataFrame, ordered: bool) -> DataFrame:
-    """(doc, th, a, n, st, s, k) of the segments that matter: RESOLVED ones, whose windows all repeat (in ordered mode: in a document with a smaller id), and NEEDS ones, whose anchor occurs in unequal segments so that their windows must be compared one by one.
+    """(doc, th, a, n, st, s, k) of the segments that matter: RESOLVED ones, whose windows all repeat (in ordered mode: in the document s with a smaller id, from its window k on), and NEEDS ones, whose anchor k occurs in unequal segments so that their windows must be compared one by one.
 
     In unordered mode a segment that repeats is also kept once as a reference for the others of its anchor, with st MARK; where the anchor is hot, st is NEEDS + 8 or MARK + 8.
     """
@@ -238,6 +265,10 @@ def resolved(rows: DataFrame, ordered: bool) -> DataFrame:
                 again = body & (doc > first)
                 new[again] = RESOLVED
                 new[body & ~again] = np.where(multi, NEEDS, -1)[body & ~again]
+                first_a = np.zeros(len(k), np.int64)
+                first_a[at] = a[np.flatnonzero(news)][sid[at] - 1] if len(at) else []
+                k = np.where(again, first_a, np.where(st == RESOLVED, k & 0xFFFFFFFF, np.where(st == NEEDS, s, k)))
+                s = np.where(again, first, s)
             else:
                 rows_of = np.bincount(sid, weights=body)[sid]
                 again = body & (rows_of > 1)
@@ -259,23 +290,22 @@ def resolved(rows: DataFrame, ordered: bool) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, th long, a int, n int, st byte, s long, k long")
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """(doc, th, spans): the window runs (a, n) of a document with their states, as a << 32 | n << 8 | st."""
-    value = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 8)).bitwiseOR(F.col("st").cast("long"))
-    return rows.groupBy("doc", "th").agg(F.collect_list(value).alias("spans"))
-
-
-def read_packed(spans: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.asarray([] if spans is None else spans, np.int64)
-    return x >> 32, x >> 8 & 0xFFFFFF, x & 0xFF
+def read_lists(column: pa.ListArray) -> Iterator[list[np.ndarray] | None]:
+    """For each row of a column of lists of structs the arrays of their fields; None for a null."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    fields = [f.to_numpy(zero_copy_only=False) for f in column.values.flatten()]
+    ends = column.offsets.to_pylist()
+    for i, there in enumerate(column.is_valid().to_pylist()):
+        yield [f[ends[i] : ends[i + 1]] for f in fields] if there else None
 
 
-def covered(n_units: int, first: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
-    """Which units the windows of the runs cover."""
-    step = np.zeros(n_units + 1, np.int64)
-    np.add.at(step, first, 1)
-    np.add.at(step, first + count + window - 1, -1)
-    return np.cumsum(step[:-1]) > 0
+def united(first: np.ndarray, count: np.ndarray, window: int) -> tuple[list[int], list[int]]:
+    """Starts and ends of the maximal runs of units that the windows of some runs cover."""
+    order = np.argsort(first, kind="stable")
+    first = first[order].astype(np.int64)
+    end = np.maximum.accumulate(first + count[order] + window - 1)
+    new = np.flatnonzero(first[1:] > end[:-1]) + 1
+    return first[np.concatenate([[0], new])].tolist(), end[np.append(new - 1, len(end) - 1)].tolist()
 
 
 def keyed_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

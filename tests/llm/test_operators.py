@@ -161,7 +161,7 @@ def test_line_dedup(docs, rows, empty):
 
 
 @pytest.mark.parametrize("hot", [None, 1])
-def test_repeated_bytes(docs, rows, empty, hot):
+def test_repeated_bytes(docs, rows, empty, hot, monkeypatch):
     seen = Counter()
     for r in rows:
         b = (r[1] or "").encode()
@@ -178,6 +178,9 @@ def test_repeated_bytes(docs, rows, empty, hot):
         want.append((r[0], len(b), sum(out), len(re.findall(b"\1+", bytes(out))), hashlib.sha256(left).hexdigest()))
     got = suffix_dedup.drop_repeated_bytes(docs, window=40, gram=20, keep_bytes=False, hot=hot, bucket=3 if hot else 20_000, shard_bytes=300)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+    monkeypatch.setattr(windows, "TOGETHER", 333)  # long texts in pieces
+    got = suffix_dedup.drop_repeated_bytes(docs, window=40, gram=20, keep_bytes=False, hot=hot, shard_bytes=1 << 14)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
     assert suffix_dedup.drop_repeated_bytes(empty).count() == 0
     r = suffix_dedup.drop_repeated_bytes(docs, window=40, gram=20).filter("n_removed > 0").first()
     assert len(r.kept) == r.n_bytes - r.n_removed and sum(s.end - s.first for s in r.spans) == r.n_removed
@@ -198,10 +201,29 @@ def test_merged_order():
             assert (rank[i] < rank[j]) == (cut[i] < cut[j])
     assert sorted(got.order().tolist()) == list(range(len(whole)))
     assert sorted(got.transform().tolist()) == sorted(got.symbols.tolist())
+    order, raw = got.order(), got.symbols.tolist()
+    for i, j, n in zip(order[:-1].tolist(), order[1:].tolist(), got.common_prefixes().tolist(), strict=True):
+        assert n == next((k for k in range(30) if not raw[i + k] or not raw[j + k] or raw[i + k] != raw[j + k]), 30)
+    inside = [i for i in range(len(whole)) if len(cut[i]) == 30]
+    seen = Counter(cut[i] for i in inside)
+    assert [bool(got.repeated()[i]) for i in inside] == [seen[cut[i]] > 1 for i in inside]
+
+
+def test_merged_order_decides(spark):
+    """Where the segments of an anchor differ, what the merged order calls repeated goes, and nothing else does."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core = text(90)
+    df = spark.createDataFrame([(i, text(50) + core + text(50)) for i in range(6)], "doc_id long, text string").coalesce(1)
+    ask = lambda: [r.n_removed for r in suffix_dedup.drop_repeated_bytes(df, window=40, gram=20, keep_bytes=False).collect()]
+    assert min(ask()) >= 90
+    texts = spark.createDataFrame([(1, 10, 0, 0, 51, 2, bytearray(core.encode())), (1, 11, 0, 5, 41, 2, bytearray(core[10:].encode())), (1, 12, 0, 0, 11, 2, bytearray(text(50).encode()))], "k long, doc long, th long, a int, n int, st byte, bytes binary")
+    found = sorted(map(tuple, suffix_dedup.repeated_by_order(texts, 40, 60).select("doc", "a", "n").collect()))
+    assert found == [(10, 10, 41), (11, 5, 41)]
 
 
 @pytest.mark.parametrize("hot", [None, 1])
-def test_repeated_passages(docs, rows, empty, hot):
+def test_repeated_passages(docs, rows, empty, hot, monkeypatch):
     where = defaultdict(set)
     for r in rows:
         w = (r[1] or "").encode().split()
@@ -216,7 +238,19 @@ def test_repeated_passages(docs, rows, empty, hot):
                 out[i : i + 13] = [True] * 13
         left = b" ".join(x for x, g in zip(w, out, strict=True) if not g)
         want.append((r[0], len(w), sum(out), hashlib.sha256(left).hexdigest()))
-    assert sorted(map(tuple, substring_dedup.drop_repeated_passages(docs, keep_text=False, hot=hot).collect())) == sorted(want)
+    texts = defaultdict(list)
+    for r in rows:
+        texts[r[0]].append((r[1] or "").encode().split())
+    for bucket, together in ((substring_dedup.BUCKET, windows.TOGETHER), (2, 50)):
+        monkeypatch.setattr(windows, "TOGETHER", together)
+        got = substring_dedup.drop_repeated_passages(docs, hot=hot, bucket=bucket).collect()
+        assert sorted(tuple(r)[:4] for r in got) == sorted(want)
+        for r in got:  # each factor stands where it points to, in a smaller document
+            assert len(r.factors) == r.n_factors and (r.n_factors > 0) == (r.n_removed > 0)
+            for f in r.factors:
+                n = f.end - f.first
+                assert f.ref < r.doc_id and n >= 13
+                assert any(w[f.first : f.end] == x[f.ref_first : f.ref_first + n] for w in texts[r.doc_id] for x in texts[f.ref] if len(w) >= f.end)
     assert substring_dedup.drop_repeated_passages(empty).count() == 0
 
 
