@@ -1,8 +1,15 @@
 """Vocabulary training.
 
-What grows with the corpus is counted by Spark: pieces, pairs, substrings.
-The learning loops then run on the driver over distinct words, of which the
-most frequent up to a stated number are taken.
+What grows with the corpus stays in Spark: words, pairs, substrings, expected
+and actual uses of tokens. The driver holds what grows with the vocabulary
+alone. All distinct words count; none is left out.
+
+Merges are learned in rounds. The driver proposes the next merges, guided by
+what they would do to the HEAD most frequent words; Spark replays them over
+all words and returns by how much each step changes each pair's count. The
+driver then follows the steps with exact counts for as long as each proposed
+merge is indeed the best one. So the result is that of merging one by one,
+whatever was proposed, but a round settles many merges.
 """
 
 from __future__ import annotations
@@ -11,6 +18,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,122 +55,218 @@ def seed(words: DataFrame, longest: int, k: int) -> DataFrame:
     return s.orderBy((F.col("n") * F.length("piece")).desc(), F.length("piece").desc(), "piece").limit(k)
 
 
-def top_words(words: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """Up to most words for a driver loop, the most frequent first; a documented bound on what is learned from."""
-    return [(r.word.encode("utf-8", "surrogatepass"), r.n) for r in words.orderBy(F.desc("n"), "word").limit(most).collect()]
+#: Most frequent words that proposals are made from. They only decide how many merges a round settles.
+HEAD = 3000
+#: Merges that a round proposes.
+ROUND = 64
+#: A step of a plan that lets merges cross bounds.
+LIFT = (-1, -1, -1)
+
+
+class Sequences:
+    """Weighted sequences of token ids in one array. Tokens of a line are neighbours; tokens of a line's piece are so before bounds are lifted."""
+
+    def __init__(self, words: list[bytes], weights: list[int], cuts: list[list[int]] | None = None, marked: bool = False):
+        sizes = np.array([len(w) for w in words], np.int64)
+        self.ids = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        self.line = np.repeat(np.arange(len(words)), sizes)
+        self.weight = np.asarray(weights, np.int64)
+        first = np.cumsum(sizes) - sizes
+        heads = np.zeros(len(self.ids) + 1, np.int64)
+        heads[first] = 1
+        if cuts is not None:
+            for at, own in zip(first.tolist(), cuts, strict=True):
+                heads[[at + c for c in own]] = 1
+        self.piece = np.cumsum(heads[:-1])
+        self.lifted = cuts is None
+        if marked:  # bytes that don't open their word are tokens of their own
+            inner = np.ones(len(self.ids), bool)
+            inner[first[sizes > 0]] = False
+            self.ids += 256 * inner
+
+    def copy(self) -> Sequences:
+        other = Sequences([], [])
+        other.__dict__ = {k: v.copy() if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
+        return other
+
+    def pairs(self, only: np.ndarray | None = None) -> Counter:
+        """Counts of neighbours, as left << 32 | right, and of single tokens, as -1 - id; of the lines only."""
+        part = slice(None) if only is None else only[self.line]
+        ids, line, group = self.ids[part], self.line[part], (self.line if self.lifted else self.piece)[part]
+        near = np.flatnonzero(group[1:] == group[:-1])
+        keys = np.concatenate([ids[near] << 32 | ids[near + 1], -1 - ids])
+        weight = self.weight[np.concatenate([line[near], line])]
+        kinds, at = np.unique(keys, return_inverse=True)
+        total = np.zeros(len(kinds), np.int64)
+        np.add.at(total, at, weight)
+        return Counter(dict(zip(kinds.tolist(), total.tolist(), strict=True)))
+
+    def step(self, left: int, right: int, new: int, count: bool = True) -> Counter:
+        """Merge left and right to new, from the left; by how much counts change."""
+        if (left, right, new) == LIFT:
+            before = self.pairs() if count else Counter()
+            self.lifted = True
+            after = self.pairs() if count else Counter()
+        else:
+            group = self.line if self.lifted else self.piece
+            hit = np.flatnonzero((self.ids[:-1] == left) & (self.ids[1:] == right) & (group[:-1] == group[1:]))
+            if not len(hit):
+                return Counter()
+            if left == right:  # of a run of hits that overlap every second one counts
+                new_run = np.concatenate([[True], np.diff(hit) != 1])
+                start = np.flatnonzero(new_run)[np.cumsum(new_run) - 1]
+                hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
+            touched = np.zeros(len(self.weight), bool)
+            touched[self.line[hit]] = True
+            before = self.pairs(touched) if count else Counter()
+            self.ids[hit] = new
+            keep = np.ones(len(self.ids), bool)
+            keep[hit + 1] = False
+            self.ids, self.line, self.piece = self.ids[keep], self.line[keep], self.piece[keep]
+            after = self.pairs(touched) if count else Counter()
+        after.subtract(before)
+        return Counter({k: v for k, v in after.items() if v})
+
+
+class BestPair:
+    """The most frequent pair; of equals the one with the lower left, then right id. Pairs that would make a token with a pattern of avoid are barred."""
+
+    marked = False
+
+    def __init__(self, avoid: list[bytes] = ()):
+        self.avoid = avoid
+
+    def start(self, seen: set[int]) -> list[bytes]:
+        return [bytes([b]) for b in range(256)]
+
+    def made(self, a: bytes, b: bytes) -> bytes:
+        return a + b
+
+    def __call__(self, counts: Counter, tokens: dict[int, bytes]) -> tuple[int, int] | None:
+        best = None
+        for key, n in counts.items():
+            if key >= 0 and n > 0 and (best is None or (-n, key) < best):
+                if self.avoid and any(a in tokens[key >> 32] + tokens[key & 0xFFFFFFFF] for a in self.avoid):
+                    continue
+                best = (-n, key)
+        return best and (best[1] >> 32, best[1] & 0xFFFFFFFF)
 
 
-def learn_bpe(words: list[tuple[bytes, int]], size: int, avoid: list[bytes] = (), bounds: list[set[int]] | None = None, lift_at: int | None = None, progress: Callable[[int], None] | None = None) -> Vocab:
-    """256 bytes, then the most frequent pair (ties: the lower left, then right id) merged left to right until size or no pair is left.
+class BestScore:
+    """The pair with the highest count over the product of its tokens' counts; of equals the rarer pair, then by left and right token. Bytes inside a word have ids from 256 on and a mark."""
+
+    marked = True
+
+    def made(self, a: bytes, b: bytes) -> bytes:
+        return a + b[2:]
+
+    def __call__(self, counts: Counter, tokens: dict[int, bytes]) -> tuple[int, int] | None:
+        best = None
+        for key, n in counts.items():
+            if key >= 0 and n > 0:
+                a, b = key >> 32, key & 0xFFFFFFFF
+                d = counts[-1 - a] * counts[-1 - b]
+                if best is None or n * best[1] > best[0] * d or n * best[1] == best[0] * d and (n, tokens[a], tokens[b]) < (best[0], tokens[best[2][0]], tokens[best[2][1]]):
+                    best = (n, d, (a, b))
+        return best and best[2]
+
+
+def step_counts(words: DataFrame, plan: list[tuple[int, int, int]], settled: int, bound: str | None, marked: bool) -> list[Counter]:
+    """By how much each step of the plan from settled on changes the counts over all words (word binary, n); with settled -1, the counts before the first step. The rows that come back are bounded by the vocabulary: tokens and pairs of tokens."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [bytes(w) for w in b["word"]]
+            seq = Sequences(own, b["n"].tolist(), bound and cuts_of(own, bound), marked)
+            found = [(-1, seq.pairs())] if settled < 0 else []
+            found += [(i, seq.step(*p, count=i >= settled)) for i, p in enumerate(plan)]
+            rows = [(i, k, n) for i, c in found for k, n in c.items() if i >= settled]
+            yield pd.DataFrame(rows, columns=["i", "k", "n"]).astype({"i": "int32", "k": "int64", "n": "int64"})
+
+    sums = words.select("word", "n").mapInPandas(run, "i int, k long, n long").groupBy("i", "k").agg(F.sum("n").alias("n")).filter("n <> 0")
+    out = [Counter() for _ in range(len(plan) - settled)]
+    for r in sums.collect():
+        out[r.i - settled][r.k] = r.n
+    return out
+
+
+def cuts_of(lines: list[bytes], bound: str) -> list[list[int]]:
+    """Where pieces begin inside lines: before each bound character."""
+    return [[i for i, c in enumerate(w) if i and c == ord(bound)] for w in lines]
 
-    bounds are byte offsets in each word that no merge crosses until lift_at
-    tokens are learned, or until no other pair is left: pieces first, then
-    what spans them. Pair counts are kept up to date word by word.
+
+def merges(words: DataFrame, rule: BestPair | BestScore, size: Callable[[dict[int, bytes]], bool], bound: str | None = None, lift_at: int | None = None, first: dict[int, bytes] | None = None, progress: Callable[[int], None] | None = None, batch: int | None = None) -> dict[int, bytes]:
+    """Tokens by id, learned over all of words (word binary, n), starting from first, until size(tokens) or no pair is left.
+
+    Merges that cross bound come once lift_at tokens are learned, or when no other pair is left.
     """
-    tokens: list[bytes] = [bytes([b]) for b in range(256)]
-    seqs = [list(w) for w, _ in words]
-    lifted = bounds is None
-    counts: Counter = Counter()
-    where: defaultdict[tuple[int, int], set[int]] = defaultdict(set)
-
-    def pairs(i: int) -> Counter:
-        c, at = Counter(), 0
-        for a, b in zip(seqs[i], seqs[i][1:], strict=False):
-            at += len(tokens[a])
-            if lifted or at not in bounds[i]:
-                c[a, b] += 1
-        return c
-
-    def count_all() -> None:
-        counts.clear()
-        where.clear()
-        for i, (_, n) in enumerate(words):
-            for p, c in pairs(i).items():
-                counts[p] += c * n
-                where[p].add(i)
-
-    count_all()
-    barred: set[tuple[int, int]] = set()
-    while len(tokens) < size:
+    words = words.select(F.col("word").cast("binary").alias("word"), F.col("n").cast("long").alias("n"))
+    top = words.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    heads = [bytes(r.word) for r in top]
+    head = Sequences(heads, [r.n for r in top], bound and cuts_of(heads, bound), rule.marked)
+    tokens = dict(first or {i: bytes([i]) for i in range(256)})
+    ids = {t: i for i, t in tokens.items()}
+    plan: list[tuple[int, int, int]] = []
+    lifted = bound is None
+    counts = step_counts(words, [], -1, bound, rule.marked)[0]
+
+    def following(counts: Counter, tokens: dict[int, bytes], ids: dict[bytes, int], lifted: bool) -> tuple[int, int, int] | None:
         if not lifted and lift_at is not None and len(tokens) >= lift_at:
-            lifted = True
-            count_all()
-        best = min(((-n, p) for p, n in counts.items() if n > 0 and p not in barred), default=None)
-        if best is None:
-            if lifted:
+            return LIFT
+        pair = rule(counts, tokens)
+        if pair is None:
+            return None if lifted else LIFT
+        made = rule.made(tokens[pair[0]], tokens[pair[1]])
+        return (*pair, ids.get(made, max(tokens) + 1) if rule.marked else max(tokens) + 1)
+
+    def take(step: tuple[int, int, int], change: Counter, counts: Counter, tokens: dict[int, bytes], ids: dict[bytes, int]) -> None:
+        counts.update(change)
+        if step != LIFT and step[2] not in tokens:
+            tokens[step[2]] = rule.made(tokens[step[0]], tokens[step[1]])
+            ids.setdefault(tokens[step[2]], step[2])
+
+    while not size(tokens):
+        guess, ahead, names, places, crossed = counts.copy(), head.copy(), dict(tokens), dict(ids), lifted
+        steps = []
+        while len(steps) < (batch or ROUND) and not size(names) and (step := following(guess, names, places, crossed)):
+            steps.append(step)
+            take(step, ahead.step(*step), guess, names, places)
+            crossed |= step == LIFT
+        if not steps:
+            break
+        for step, change in zip(steps, step_counts(words, plan + steps, len(plan), bound, rule.marked), strict=True):
+            if following(counts, tokens, ids, lifted) != step:
                 break
-            lifted = True
-            count_all()
-            continue
-        pair = best[1]
-        made = tokens[pair[0]] + tokens[pair[1]]
-        if any(a in made for a in avoid):
-            barred.add(pair)
-            continue
-        new = len(tokens)
-        touched = sorted(where[pair])
-        before = {i: pairs(i) for i in touched}
-        tokens.append(made)
-        for i in touched:
-            s, out, k, at = seqs[i], [], 0, 0
-            while k < len(s):
-                at += len(tokens[s[k]])
-                if k + 1 < len(s) and (s[k], s[k + 1]) == pair and (lifted or at not in bounds[i]):
-                    out.append(new)
-                    at += len(tokens[s[k + 1]])
-                    k += 2
-                else:
-                    out.append(s[k])
-                    k += 1
-            seqs[i] = out
-            after, n = pairs(i), words[i][1]
-            for p in before[i].keys() | after.keys():
-                counts[p] += (after[p] - before[i][p]) * n
-                (where[p].add if after[p] else where[p].discard)(i)
+            take(step, change, counts, tokens, ids)
+            head.step(*step, count=False)
+            plan.append(step)
+            lifted |= step == LIFT
         if progress:
             progress(len(tokens))
-    return Vocab(tokens)
+    return tokens
+
+
+def learn_bpe(words: DataFrame, size: int, avoid: list[bytes] = (), bound: str | None = None, lift_at: int | None = None, progress: Callable[[int], None] | None = None) -> Vocab:
+    """256 bytes, then the most frequent pair (ties: the lower left, then right id) merged left to right until size or no pair is left.
+
+    Merges don't cross bound characters until lift_at tokens are learned, or until no other pair is left.
+    """
+    return Vocab(list(merges(words, BestPair(avoid), lambda t: len(t) >= size, bound, lift_at, progress=progress).values()))
 
 
-def learn_spanning(lines: list[tuple[bytes, int]], cuts: list[set[int]], size: int, share: float = 0.9) -> Vocab:
+def learn_spanning(lines: DataFrame, size: int, share: float = 0.9, bound: str = " ") -> Vocab:
     """Merges inside pieces for share of the merges, then across them; lines are hard bounds."""
-    return learn_bpe(lines, size, bounds=cuts, lift_at=256 + int((size - 256) * share))
+    return learn_bpe(lines, size, bound=bound, lift_at=256 + int((size - 256) * share))
 
 
-def learn_wordpiece(words: list[tuple[bytes, int]], size: int) -> Vocab:
+def learn_wordpiece(words: DataFrame, size: int) -> Vocab:
     """Seed: observed bytes in both forms. The pair with the highest count over the product of its parts' counts is joined (ties: rarer pair, left, right); what is missing from size is filled up with [PAD_n]."""
-    seqs = [[bytes([b]) if not i else b"##" + bytes([b]) for i, b in enumerate(w)] for w, _ in words]
-    seen = sorted({b for w, _ in words for b in w})
-    vocab = [b"[UNK]", *(bytes([b]) for b in seen), *(b"##" + bytes([b]) for b in seen)]
-    known = set(vocab)
-    while len(vocab) < size:
-        one: Counter = Counter()
-        two: Counter = Counter()
-        for s, (_, n) in zip(seqs, words, strict=True):
-            for x in s:
-                one[x] += n
-            for p in zip(s, s[1:], strict=False):
-                two[p] += n
-        best = None
-        for p, n in two.items():  # exact: a/b > c/d as a*d > c*b
-            d = one[p[0]] * one[p[1]]
-            if best is None or n * best[1] > best[0] * d or n * best[1] == best[0] * d and (n, *p) < (best[0], *best[2]):
-                best = (n, d, p)
-        if best is None:
-            break
-        a, b = best[2]
-        made = a + b[2:]
-        if made not in known:
-            vocab.append(made)
-            known.add(made)
-        for s in seqs:
-            k = 0
-            while k + 1 < len(s):
-                if (s[k], s[k + 1]) == (a, b):
-                    s[k : k + 2] = [made]
-                k += 1
-    vocab += [b"[PAD_%d]" % i for i in range(size - len(vocab))]
-    return Vocab(vocab)
+    hexes = words.select(F.explode(F.array_distinct(F.regexp_extract_all(F.hex(F.col("word").cast("binary")), F.lit(".."), F.lit(0)))).alias("h")).distinct()
+    seen = sorted(int(r.h, 16) for r in hexes.collect())
+    first = {b: bytes([b]) for b in range(256)} | {256 + b: b"##" + bytes([b]) for b in range(256)}
+    found = merges(words, BestScore(), lambda t: len(t) - 512 + 1 + 2 * len(seen) >= size, first=first)
+    vocab = [b"[UNK]", *(first[b] for b in seen), *(first[256 + b] for b in seen), *(t for i, t in found.items() if i >= 512)]
+    return Vocab(vocab + [b"[PAD_%d]" % i for i in range(size - len(vocab))])
 
 
 def expectations(words: DataFrame, v: Vocab) -> DataFrame:
@@ -230,19 +334,30 @@ def learn_unigram(words: DataFrame, size: int, longest: int = 6, start: int = 20
     return v
 
 
-def usage(words: list[tuple[bytes, int]], v: Vocab, kernel: Callable = models.fewest) -> Counter:
-    out: Counter = Counter()
-    for w, n in words:
-        for at in kernel(w, v):
-            out[at] += n
-    return out
+def uses(words: DataFrame, kernel: Callable[[bytes, int], Iterator[tuple[int, int]]]) -> Counter:
+    """Sum over all words (word, n) of what kernel says of each token."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()  # as long as the vocabulary
+        for b in batches:
+            for w, n in zip(b["word"], b["n"], strict=True):
+                for at, x in kernel(bytes(w), n):
+                    total[at] += x
+        yield pd.DataFrame({"id": list(total), "x": list(total.values())}).astype("int64")
+
+    rows = words.select(F.col("word").cast("binary").alias("word"), "n").mapInPandas(run, "id long, x long")
+    return Counter({r.id: r.x for r in rows.groupBy("id").agg(F.sum("x").alias("x")).collect()})
+
+
+def usage(words: DataFrame, v: Vocab, kernel: Callable = models.fewest) -> Counter:
+    return uses(words, lambda w, n: ((at, n) for at in kernel(w, v)))
 
 
 def without(v: Vocab, ids: set[int]) -> Vocab:
     return Vocab([t for i, t in enumerate(v.tokens) if i not in ids])
 
 
-def distill(words: list[tuple[bytes, int]], v: Vocab, size: int, fraction: float = 0.1) -> Vocab:
+def distill(words: DataFrame, v: Vocab, size: int, fraction: float = 0.1) -> Vocab:
     """Drop the tokens whose uses times what their bytes would cost otherwise, less one, are least, a fraction a round, until size."""
     while len(v.tokens) > size:
         used = usage(words, v, models.ungreedy)
@@ -256,33 +371,58 @@ def distill(words: list[tuple[bytes, int]], v: Vocab, size: int, fraction: float
     return v
 
 
-def path_pieces(words: list[tuple[bytes, int]], v: Vocab, size: int, batch: int = 16) -> Vocab:
+def losses(word: bytes, n: int, v: Vocab) -> Iterator[tuple[int, int]]:
+    """For each token of the shortest segmentation, by how much the word gets longer without it, times n."""
+    ids = models.fewest(word, v)
+    for at in set(ids):
+        t = v.tokens[at]
+        if len(t) > 1:
+            del v.by_bytes[t]
+            yield at, (len(models.fewest(word, v)) - len(ids)) * n
+            v.by_bytes[t] = at
+
+
+def path_pieces(words: DataFrame, v: Vocab, size: int, batch: int = 16) -> Vocab:
     """Shortest segmentations; the tokens whose loss makes the words least longer go first, batch by batch, then the rest are ordered by use."""
     while len(v.tokens) > size:
-        inside: defaultdict[int, list[tuple[bytes, int]]] = defaultdict(list)
-        base = {}
-        for w, n in words:
-            ids = models.fewest(w, v)
-            base[w] = len(ids)
-            for at in set(ids):
-                inside[at].append((w, n))
-        loss = []
-        for i, t in enumerate(v.tokens):
-            if len(t) > 1:
-                rest = without(v, {i}) if inside[i] else None
-                loss.append((sum((len(models.fewest(w, rest)) - base[w]) * n for w, n in inside[i]) if rest else 0, i))
-        drop = {i for _, i in sorted(loss)[: min(batch, len(v.tokens) - size)]}
-        v = without(v, drop)
+        loss = uses(words, lambda w, n, v=v: losses(w, n, v))
+        order = sorted((loss[i], i) for i, t in enumerate(v.tokens) if len(t) > 1)
+        v = without(v, {i for _, i in order[: min(batch, len(v.tokens) - size)]})
     used = usage(words, v)
     order = sorted((i for i in range(len(v.tokens)) if len(v.tokens[i]) > 1), key=lambda i: (-used[i], i))
     return Vocab([t for t in v.tokens if len(t) == 1] + [v.tokens[i] for i in order])
 
 
-def adapt(docs: list[bytes], v: Vocab, words_of: Callable[[bytes], list[bytes]], add: int, chunk: int = 256) -> list[bytes]:
-    """Up to add tokens for a domain: learned on the chunks that v takes most tokens for (bytes per token at the median or under), less what v has."""
-    chunks = [d[i : i + chunk] for d in docs for i in range(0, len(d), chunk)]
-    ratios = [len(c) / max(1, sum(len(models.bpe(w, v)) for w in words_of(c))) for c in chunks]
-    middle = sorted(ratios)[len(ratios) // 2] if ratios else 0
-    counts = Counter(w for c, r in zip(chunks, ratios, strict=True) if r <= middle for w in words_of(c))
-    learned = learn_bpe(sorted(counts.items()), 256 + add + len(v.tokens))
-    return [t for t in learned.tokens[256:] if t not in v.by_bytes][:add]
+def chunk_costs(docs: DataFrame, v: Vocab, words_of: Callable[[bytes], list[bytes]], chunk: int) -> DataFrame:
+    """(size, cost, words) of the chunks of docs (text): bytes, tokens of v, and pieces."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for t in b["text"]:
+                raw = (t or "").encode("utf-8", "surrogatepass")
+                for i in range(0, len(raw), chunk):
+                    own = words_of(raw[i : i + chunk])
+                    rows.append((len(raw[i : i + chunk]), max(1, sum(len(models.bpe(w, v)) for w in own)), own))
+            yield pd.DataFrame(rows, columns=["size", "cost", "words"])
+
+    return docs.select("text").mapInPandas(run, "size int, cost int, words array<binary>")
+
+
+def adapt(docs: DataFrame, v: Vocab, words_of: Callable[[bytes], list[bytes]], add: int, chunk: int = 256) -> tuple[list[bytes], dict[str, float]]:
+    """Up to add tokens for a domain, learned on the chunks of docs (text) that v takes most tokens for (bytes a token at the median or under), less what v has; and a report.
+
+    There are at most chunk * chunk kinds of (size, cost), so the median is exact.
+    """
+    chunks = chunk_costs(docs, v, words_of, chunk)
+    kinds = sorted((r["size"] / r.cost, r.n) for r in chunks.groupBy("size", "cost").agg(F.count("*").alias("n")).collect())
+    total, at, middle = sum(n for _, n in kinds), 0, 0.0
+    for ratio, n in kinds:
+        at += n
+        if at > total // 2:
+            middle = ratio
+            break
+    hard = chunks.filter(F.col("size") / F.col("cost") <= middle).select(F.explode("words").alias("word"))
+    learned = learn_bpe(hard.groupBy("word").agg(F.count("*").alias("n")), 256 + 2 * add)
+    new = [t for t in learned.tokens[256:] if t not in v.by_bytes][:add]
+    return new, {"chunks": total, "median_bytes_per_token": middle, "added": len(new)}

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators import training as TR
-from lexmill.operators.models import Vocab
+from lexmill.operators.models import LITERAL, Vocab, bpe
+from lexmill.operators.stored import stored
 
 from .registry import query, table
 
-#: Distinct words that the driver loops learn from at most.
-MOST = 2000
 WORDS = r"(SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\s\p{Z}]+')) AS word FROM documents) GROUP BY word)"
 
 
@@ -55,42 +57,59 @@ def _learned(spark: SparkSession, v: Vocab) -> DataFrame:
 
 @query()
 def train_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _learned(spark, TR.learn_bpe(TR.top_words(_words(spark, sf_dir), MOST), 320))
+    return _learned(spark, TR.learn_bpe(stored(_words(spark, sf_dir)), 320))
 
 
 @query()
 def train_spanning_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "conversations").select(F.col("text").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = TR.top_words(lines, 300)
-    cuts = []
-    for w, _ in top:
-        cuts.append({i for i in range(1, len(w)) if w[i] == 32})
-    return _learned(spark, TR.learn_spanning(top, cuts, 300))
+    lines = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select(F.col("text").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return _learned(spark, TR.learn_spanning(stored(lines), 300))
 
 
 @query()
 def train_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _learned(spark, TR.learn_wordpiece(TR.top_words(_words(spark, sf_dir), 500), 140))
+    return _learned(spark, TR.learn_wordpiece(stored(_words(spark, sf_dir)), 240))
 
 
 @query()
 def train_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _words(spark, sf_dir).orderBy(F.desc("n"), "word").limit(MOST)
-    return _learned(spark, TR.learn_unigram(words, 400, start=600))
+    return _learned(spark, TR.learn_unigram(stored(_words(spark, sf_dir)), 400, start=600))
 
 
 @query()
 def train_distilled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = TR.top_words(_words(spark, sf_dir), 300)
+    words = stored(_words(spark, sf_dir))
     return _learned(spark, TR.distill(words, TR.learn_bpe(words, 330), 290, 0.3))
 
 
 @query()
 def train_path_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = TR.top_words(_words(spark, sf_dir), 200)
+    words = stored(_words(spark, sf_dir))
     return _learned(spark, TR.path_pieces(words, TR.learn_bpe(words, 310), 290, 10))
 
 
+@query(f"""SELECT id, 'base' AS kind, true AS kept FROM range({len(LITERAL.tokens)}) t(id) UNION ALL SELECT {len(LITERAL.tokens)} + i, 'new', true FROM range(20) t(i)""")
+def adapt_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base vocabulary with 20 tokens for the words of web pages: ids of the base stay, new tokens follow and repeat none of it."""
+    new, _ = TR.adapt(table(spark, sf_dir, "pages").select(F.col("html").alias("text")), LITERAL, bytes.split, 20)
+    after = [*LITERAL.tokens, *new]
+    rows = [(i, "base" if i < len(LITERAL.tokens) else "new", t == LITERAL.tokens[i] if i < len(LITERAL.tokens) else t not in LITERAL.by_bytes) for i, t in enumerate(after)]
+    return spark.createDataFrame(rows, "id long, kind string, kept boolean")
+
+
+@query(f"SELECT word, n FROM {WORDS}")
+def train_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word, encoded with the vocabulary that was learned from all of them and decoded again."""
+    words = stored(_words(spark, sf_dir))
+    v = TR.learn_bpe(words, 300)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(word=[b"".join(v.tokens[i] for i in bpe(w.encode("utf-8", "surrogatepass"), v)).decode("utf-8", "surrogatepass") for w in b["word"]])
+
+    return words.mapInPandas(run, "word string, n long")
+
+
 @query(f"""SELECT CASE WHEN e < 0.5 AND i >= 3 THEN -1 ELSE i END AS id, round(ln(greatest(e, 0.5) / sum(greatest(e, 0.5)) OVER ()), 6) AS score
 FROM (SELECT i, (i * i + (SELECT count(*) FROM {WORDS})) % 7 / 4.0::DOUBLE AS e FROM range(40) t(i)) WHERE e >= 0.5 OR i < 3""")
 def train_m_step(spark: SparkSession, sf_dir: str) -> DataFrame:

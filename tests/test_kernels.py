@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import random
+from collections import Counter
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -165,13 +167,18 @@ def test_levenshtein(spark):
     assert [r.d for r in df.select(analytics.bounded_levenshtein(F.col("a"), F.col("b"), 5).alias("d")).collect()] == [1, 2, 1, 6]
 
 
-def test_training_golden():
-    v = training.learn_bpe([(b"ab", 4), (b"ac", 3), (b"bc", 2)], 259)
+def counted(spark, words):
+    return spark.createDataFrame([(bytearray(w), n) for w, n in words], "word binary, n long")
+
+
+def test_training_golden(spark):
+    v = training.learn_bpe(counted(spark, [(b"ab", 4), (b"ac", 3), (b"bc", 2)]), 259)
     assert v.tokens[256:] == [b"ab", b"ac", b"bc"]
-    assert training.learn_bpe([(b"ab", 4), (b"ac", 3)], 258, avoid=[b"ab"]).tokens[256:] == [b"ac"]
+    assert training.learn_bpe(counted(spark, [(b"ab", 4), (b"ac", 3)]), 258, avoid=[b"ab"]).tokens[256:] == [b"ac"]
     # what spans a bound is only learned once bounds are lifted
-    spanning = training.learn_bpe([(b"ab cd", 5)], 262, bounds=[{2}], lift_at=258)
+    spanning = training.learn_bpe(counted(spark, [(b"ab cd", 5)]), 262, bound=" ", lift_at=258)
     assert spanning.tokens[256:260] == [b" c", b"ab", b" cd", b"ab cd"]
+    assert training.learn_bpe(counted(spark, []), 300).tokens == [bytes([b]) for b in range(256)]
 
 
 def slow_learn(words, size):
@@ -195,25 +202,68 @@ def slow_learn(words, size):
     return tokens
 
 
-def test_training_is_exact():
+def slow_wordpiece(words, size):
+    seqs = [[w[:1], *(b"##" + bytes([b]) for b in w[1:])] for w, _ in words]
+    seen = sorted({b for w, _ in words for b in w})
+    vocab = [b"[UNK]", *(bytes([b]) for b in seen), *(b"##" + bytes([b]) for b in seen)]
+    while len(vocab) < size:
+        one, two = Counter(), Counter()
+        for s, (_, n) in zip(seqs, words, strict=True):
+            for x in s:
+                one[x] += n
+            for p in zip(s, s[1:], strict=False):
+                two[p] += n
+        if not two:
+            break
+        a, b = min(two, key=lambda p: (-Fraction(two[p], one[p[0]] * one[p[1]]), two[p], p))
+        if a + b[2:] not in vocab:
+            vocab.append(a + b[2:])
+        for s in seqs:
+            k = 0
+            while k + 1 < len(s):
+                if (s[k], s[k + 1]) == (a, b):
+                    s[k : k + 2] = [a + b[2:]]
+                k += 1
+    return vocab + [b"[PAD_%d]" % i for i in range(size - len(vocab))]
+
+
+def test_training_is_exact(spark, monkeypatch):
+    """The same as merging one by one, whatever the head of words proposes and however the words are dealt."""
     rng = random.Random(3)
-    for _ in range(20):
-        words = [("".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))).encode(), rng.randrange(1, 9)) for _ in range(12)]
+    for round_ in range(4):
+        words = [("".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))).encode(), rng.randrange(1, 9)) for _ in range(40)]
         words = list(dict(words).items())
-        assert training.learn_bpe(words, 275).tokens == slow_learn(words, 275)
+        df = counted(spark, words).repartition(1 + round_)
+        monkeypatch.setattr(training, "HEAD", (3000, 0, 5, 1)[round_])
+        assert training.learn_bpe(df, 280).tokens == slow_learn(words, 280)
+        assert training.learn_wordpiece(df, 30).tokens == slow_wordpiece(words, 30)
 
 
 def test_other_trainers(spark):
     words = [(b"lower", 5), (b"lowest", 2), (b"newer", 6), (b"wider", 3)]
-    wp = training.learn_wordpiece(words, 24)
+    table = counted(spark, words)
+    wp = training.learn_wordpiece(table, 24)
     assert len(wp.tokens) == 24 and all(models.wordpiece(w, wp) != [0] for w, _ in words)
-    big = training.learn_bpe(words, 270)
-    assert len(training.distill(words, big, 262, 0.3).tokens) == 262 and len(training.path_pieces(words, big, 262, 4).tokens) == 262
+    big = training.learn_bpe(table, 270)
+    assert len(training.distill(table, big, 262, 0.3).tokens) == 262
+    used = Counter()
+    for w, n in words:
+        for at in models.fewest(w, big):
+            used[at] += n
+    assert training.usage(table, big) == used
+    want = Counter()
+    for w, n in words:
+        for at in set(models.fewest(w, big)):
+            if len(big.tokens[at]) > 1:
+                want[at] += n * (len(models.fewest(w, training.without(big, {at}))) - len(models.fewest(w, big)))
+    assert +training.uses(table, lambda w, n: training.losses(w, n, big)) == +want
+    assert len(training.path_pieces(table, big, 262, 4).tokens) == 262
     p = training.posterior(b"ab", models.Vocab([b"a", b"b", b"ab"], scores=[-1.0, -1.0, -1.0]))
     assert abs(p[2] - 1 / (1 + 2.718281828**-1)) < 1e-6 and abs(p[0] - p[1]) < 1e-12
     df = spark.createDataFrame([(w.decode(), n) for w, n in words], "word string, n long")
     assert len(training.learn_unigram(df, 260, start=30).tokens) == 260
-    assert training.adapt([b"zzz zzz zzz aaa"], V, lambda b: b.split(), 3)
+    new, report = training.adapt(spark.createDataFrame([("zzz zzz zzz aaa",), (None,)], "text string"), V, bytes.split, 3)
+    assert new and not set(new) & set(V.tokens) and report["chunks"] == 1
 
 
 def test_formats():
