@@ -26,9 +26,9 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\t-\r ]+")).cast("long")
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, *more: Column) -> DataFrame:
     t = F.col("text")
-    return docs.agg(F.sum(F.octet_length(t)).alias("bytes"), F.sum(F.char_length(t)).alias("chars"), F.sum(lines(t)).alias("lines"), F.sum(words(t)).alias("words"))
+    return docs.agg(*more, F.sum(F.octet_length(t)).alias("bytes"), F.sum(F.char_length(t)).alias("chars"), F.sum(lines(t)).alias("lines"), F.sum(words(t)).alias("words"))
 
 
 def top(counts: DataFrame, k: int, ascending: bool = False) -> DataFrame:
@@ -43,36 +43,56 @@ def cost(tokens: Column, price: float, unit: int = 1_000_000) -> Column:
     return tokens / F.lit(float(unit)) * F.lit(price)
 
 
+#: Where each range of code points ends (exclusive) and its name.
 SCRIPTS = [
-    ("latin", [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)]), ("greek", [(0x370, 0x3FF), (0x1F00, 0x1FFF)]), ("cyrillic", [(0x400, 0x52F)]), ("armenian", [(0x530, 0x58F)]),
-    ("hebrew", [(0x590, 0x5FF)]), ("arabic", [(0x600, 0x6FF), (0x750, 0x77F)]), ("devanagari", [(0x900, 0x97F)]), ("bengali", [(0x980, 0x9FF)]), ("tamil", [(0xB80, 0xBFF)]), ("telugu", [(0xC00, 0xC7F)]),
-    ("thai", [(0xE00, 0xE7F)]), ("lao", [(0xE80, 0xEFF)]), ("georgian", [(0x10A0, 0x10FF)]), ("hangul", [(0x1100, 0x11FF), (0xAC00, 0xD7AF)]), ("ethiopic", [(0x1200, 0x137F)]), ("khmer", [(0x1780, 0x17FF)]),
-    ("mongolian", [(0x1800, 0x18AF)]), ("hiragana", [(0x3040, 0x309F)]), ("katakana", [(0x30A0, 0x30FF)]), ("han", [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)]),
-]
+    (0x0080, "Latin (ASCII)"),
+    (0x0100, "Latin (extended)"),
+    (0x0400, "Latin/Greek/Coptic/Cyrillic"),
+    (0x0500, "Cyrillic"),
+    (0x0600, "Armenian/Hebrew"),
+    (0x0700, "Arabic"),
+    (0x0900, "Other"),
+    (0x0A00, "Devanagari/Bengali"),
+    (0x1000, "Indic"),
+    (0x2000, "Other"),
+    (0x2E80, "Symbols/Punctuation"),
+    (0x3000, "CJK Radicals"),
+    (0x3040, "CJK Symbols"),
+    (0x30A0, "Hiragana"),
+    (0x3100, "Katakana"),
+    (0x4E00, "Bopomofo/Other"),
+    (0xA000, "CJK Unified Ideographs"),
+    (0xAC00, "Yi/Other"),
+    (0xD800, "Hangul"),
+    (0xE000, "Surrogates"),
+    (0xF900, "Private Use"),
+    (0x110000, "Other"),
+]
 
 
 def script(code: Column) -> Column:
-    """Script of a code point; common for what belongs to none."""
-    out = None
-    for name, ranges in SCRIPTS:
-        hit = None
-        for a, z in ranges:
-            r = (code >= a) & (code <= z)
-            hit = r if hit is None else hit | r
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("common")
+    """Script of a code point, by ranges."""
+    out = F.when(code < SCRIPTS[0][0], SCRIPTS[0][1])
+    for end, name in SCRIPTS[1:-1]:
+        out = out.when(code < end, name)
+    return out.otherwise(SCRIPTS[-1][1])
+
+
+def _run_pattern() -> str:
+    """A run: its first character, whatever it is, then letters of that character's script and characters that aren't letters."""
+    ranges: dict[str, str] = {}
+    first = 0
+    for end, name in SCRIPTS:
+        if name != "Surrogates":
+            ranges[name] = ranges.get(name, "") + rf"\x{{{first:X}}}-\x{{{end - 1:X}}}"
+        first = end
+    return "|".join(rf"[{r}](?:[{r}&&\p{{L}}]|\P{{L}})*+" for r in ranges.values())
 
 
 def script_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, run, script, chars, bytes): a run begins at a letter of another script than the last letter's; what isn't a letter belongs to the run it stands in."""
-    chars = docs.select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "c")).filter("c <> ''")
-    letter = F.col("c").rlike(r"\p{L}")
-    chars = chars.withColumn("own", F.when(letter, script(F.ascii("c"))))
-    w = W.partitionBy("doc_id").orderBy("pos")
-    chars = chars.withColumn("last", F.last("own", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
-    starts = F.col("own").isNotNull() & F.col("last").isNotNull() & (F.col("own") != F.col("last"))
-    chars = chars.withColumn("run", F.sum(starts.cast("int")).over(w).cast("long"))
-    return chars.groupBy("doc_id", "run").agg(F.coalesce(F.max("own"), F.lit("common")).alias("script"), F.count("*").alias("chars"), F.sum(F.octet_length("c")).alias("bytes"))
+    """(doc_id, run, script, chars, bytes): a run has the script of its first character and ends before a letter of another script; what isn't a letter belongs to the run it stands in. One pattern finds the runs of a text."""
+    runs = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_run_pattern()), F.lit(0))).alias("run", "t"))
+    return runs.select("doc_id", F.col("run").cast("long").alias("run"), script(F.ascii("t")).alias("script"), F.char_length("t").cast("long").alias("chars"), F.octet_length("t").cast("long").alias("bytes"))
 
 
 def fairness(rows: DataFrame) -> DataFrame:
@@ -89,18 +109,20 @@ def buckets(distance: Column) -> Column:
 
 
 def bounded_levenshtein(a: Column, b: Column, cap: int) -> Column:
-    """Edit distance of two id arrays (ids under 0xD7FF) if it is at most cap, else cap + 1."""
-    chars = lambda ids: F.array_join(F.transform(ids, lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 1), 4, "0")), "UTF-16BE")), "")
+    """Edit distance of two id arrays (ids under 1,112,063) if it is at most cap, else cap + 1. Ids become code points, past the surrogates from 0xD7FF on."""
+    point = lambda i: F.when(i < 0xD7FF, i + 1).otherwise(i + 0x801)
+    chars = lambda ids: F.array_join(F.transform(ids, lambda i: F.decode(F.unhex(F.lpad(F.hex(point(i)), 8, "0")), "UTF-32")), "")
     empty = (F.size(a) == 0) | (F.size(b) == 0)
     d = F.levenshtein(chars(a), chars(b), cap)
     return F.when(empty, F.least(F.greatest(F.size(a), F.size(b)), F.lit(cap + 1))).otherwise(F.when(d < 0, cap + 1).otherwise(d)).cast("int")
 
 
 def ngram_hashes(ids: Column, n: int, heads: int):
-    """ARRAY<LONG> of (size - n + 1) * heads hashes, position by position: a splitmix fold that minds order and length. 64-bit wrap-around is done by numpy."""
+    """ARRAY<LONG> of (size - n + 1) * heads hashes, position by position: a splitmix fold of the ids from a head's salt, with the length folded in last. 64-bit wrap-around is done by numpy."""
+    step = np.uint64(0x9E3779B97F4A7C15)
 
     def mix(x: np.ndarray) -> np.ndarray:
-        x = x + np.uint64(0x9E3779B97F4A7C15)
+        x = x + step
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
@@ -115,10 +137,11 @@ def ngram_hashes(ids: Column, n: int, heads: int):
                 if n <= 0 or heads <= 0 or m <= 0:
                     out.append([])
                     continue
-                h = mix(np.arange(heads, dtype=np.uint64) + np.uint64(n))[None, :] + np.zeros((m, 1), np.uint64)
+                salts = mix(step ^ np.arange(heads, dtype=np.uint64) * step)
+                h = (salts ^ step)[None, :] + np.zeros((m, 1), np.uint64)
                 for j in range(n):
                     h = mix(h ^ x[j : j + m, None])
-                out.append(h.reshape(-1).view(np.int64).tolist())
+                out.append(mix(h ^ np.uint64(n)).reshape(-1).view(np.int64).tolist())
         return pd.Series(out)
 
     return run(ids)

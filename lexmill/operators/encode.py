@@ -1,15 +1,19 @@
 """Encoding: documents to tokens.
 
-Ids of a piece depend on its bytes alone, so each distinct piece is encoded
-once, in an Arrow batch, and joined back. Consumers of counts never
-see documents again.
+Ids of a piece depend on its bytes alone. Pieces are split off in the JVM and
+coded in Arrow batches without a shuffle: a worker encodes each distinct piece
+once and keeps it, and a batch's tokens are gathered by columns. Tokens stay in
+one array a document; vocabularies are small and go to the workers whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,35 @@ def byte_rows(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.explode(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0))).alias("hex"))
 
 
+def byte_counts(docs: DataFrame) -> DataFrame:
+    """(id, n) of the bytes of all texts, counted in Arrow buffers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for b in batches:
+            text = b.column(0).drop_null()
+            if len(text):
+                ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+                total += np.bincount(np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]], minlength=256)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
+
+    return docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def byte_lists(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, ids) under the byte model; a null text has no bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = pc.fill_null(b.column(1), "")
+            ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int32)
+            raw = np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] else np.zeros(0, np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(raw.astype(np.int32)))], [id_col, "ids"])
+
+    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+
+
 def hex_id(h: Column) -> Column:
     return F.conv(h, 16, 10).cast("long")
 
@@ -47,10 +80,107 @@ def piece_rows(docs: DataFrame, scheme: str, id_col: str = "doc_id", text: Colum
     return docs.select(id_col, F.posexplode(pretok.pieces(F.col("text") if text is None else text, scheme)).alias("pos", "piece"))
 
 
+class Coder:
+    """Ids of pieces; those of up to limit pieces are kept."""
+
+    def __init__(self, v: Vocab, kernel: str, limit: int = 500_000):
+        self.v, self.f, self.limit = v, models.KERNELS[kernel], limit
+        self.known: dict[str, list[int]] = {}
+
+    def __call__(self, pieces: pa.Array) -> pa.ListArray:
+        """A list of ids for each piece."""
+        coded = pieces.dictionary_encode()
+        if len(self.known) > self.limit:
+            self.known.clear()
+        lists = []
+        for p in coded.dictionary.to_pylist():
+            ids = self.known.get(p)
+            if ids is None:
+                ids = self.known[p] = self.f(p.encode("utf-8", "surrogatepass"), self.v)
+            lists.append(ids)
+        return pa.array(lists, pa.list_(pa.int64())).take(coded.indices)
+
+
+def _ends(lists: pa.ListArray) -> np.ndarray:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def encode_lists(docs: DataFrame, v: Vocab, kernel: str = "bpe", scheme: str = "cl100k", id_col: str = "doc_id") -> DataFrame:
+    """(id, ids) of each document with any pieces."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Coder(shared.value, kernel)
+        for b in batches:
+            ids = code(b.column(1).flatten())
+            ends = _ends(ids)[_ends(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), ids.flatten())], [id_col, "ids"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(id_col, pretok.pieces(F.col("text"), scheme).alias("pieces")).filter(F.size("pieces") > 0)
+    return rows.mapInArrow(run, f"{id_col} {kind}, ids array<long>")
+
+
+def decode_lists(rows: DataFrame, v: Vocab, id_col: str = "doc_id", kind: str = "concat") -> DataFrame:
+    """(id, text) of (id, ids). Ids without a token add nothing; kind wordpiece puts a space before tokens that don't carry on a word."""
+    shared = rows.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = [t or b"" for t in shared.value.tokens] + [b""]
+        if kind == "wordpiece":
+            tokens = [t[2:] if t.startswith(b"##") else b" " + t for t in tokens[:-1]] + [b""]
+        names = pa.array(tokens, pa.binary())
+        for b in batches:
+            ids = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            ids = np.where((ids >= 0) & (ids < len(tokens) - 1), ids, len(tokens) - 1)
+            parts = pa.ListArray.from_arrays(pa.array(_ends(b.column(1))), names.take(pa.array(ids)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_join(parts, pa.scalar(b"", pa.binary()))], [id_col, "raw"])
+
+    made = rows.select(id_col, "ids").mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, raw binary")
+    text = F.decode("raw", "UTF-8")
+    return made.select(id_col, (F.substring(text, 2, 1 << 30) if kind == "wordpiece" else text).alias("text"))
+
+
+def transcoded(rows: DataFrame, before: Vocab, after: Vocab, kernel: str = "bpe", scheme: str = "cl100k", id_col: str = "doc_id", most: int | None = None) -> DataFrame:
+    """(id, text, n_before, ids) of (id, ids): the bytes of ids under one vocabulary, encoded under another.
+
+    Negative ids, ids past the end of before, or over most, are an error.
+    """
+    last = F.lit(min(len(before.tokens) - 1, most if most is not None else len(before.tokens)))
+    bad = F.exists("ids", lambda x: (x < 0) | (x > last))
+    guarded = rows.select(id_col, F.when(bad, F.raise_error(F.concat(F.lit("an id is not in the vocabulary: "), F.col(id_col).cast("string"))).cast("array<bigint>")).otherwise(F.col("ids")).alias("ids"), F.size("ids").alias("n_before"))
+    shared = rows.sparkSession.sparkContext.broadcast((before, after))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array([t or b"" for t in shared.value[0].tokens], pa.binary())
+        for b in batches:
+            parts = pa.ListArray.from_arrays(pa.array(_ends(b.column(1))), names.take(b.column(1).flatten()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_join(parts, pa.scalar(b"", pa.binary())), b.column(2)], [id_col, "raw", "n_before"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    text = guarded.mapInArrow(run, f"{id_col} {kind}, raw binary, n_before int").select(id_col, F.decode("raw", "UTF-8").alias("text"), "n_before")
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = Coder(shared.value[1], kernel)
+        for b in batches:
+            ids = ask(b.column(3).flatten())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(_ends(ids)[_ends(b.column(3))]), ids.flatten())], [id_col, "text", "n_before", "ids"])
+
+    return text.select("*", pretok.pieces(F.col("text"), scheme).alias("pieces")).mapInArrow(code, f"{id_col} {kind}, text string, n_before int, ids array<long>")
+
+
 def encode(docs: DataFrame, v: Vocab, kernel: str = "bpe", scheme: str = "cl100k", id_col: str = "doc_id") -> DataFrame:
-    """(id, pos, piece, ids) for each piece of each document. The join is by piece; frequent pieces are dealt out by adaptive execution."""
-    rows = piece_rows(docs, scheme, id_col)
-    return rows.join(encode_pieces(rows.select("piece").distinct(), v, kernel), "piece").select(id_col, "pos", "piece", "ids")
+    """(id, pos, piece, ids) for each piece of each document."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Coder(shared.value, kernel)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, code(b.column(2))], [id_col, "pos", "piece", "ids"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return piece_rows(docs, scheme, id_col).mapInArrow(run, f"{id_col} {kind}, pos int, piece string, ids array<long>")
 
 
 def encode_whole(docs: DataFrame, v: Vocab, kernel: str, id_col: str = "doc_id") -> DataFrame:
@@ -66,17 +196,18 @@ def encode_whole(docs: DataFrame, v: Vocab, kernel: str, id_col: str = "doc_id")
     return docs.select(id_col, "text").mapInPandas(run, f"{id_col} {kind}, ids array<long>")
 
 
-def document_ids(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids) of the tokens of encode(), in order."""
-    parts = F.sort_array(F.collect_list(F.struct("pos", "ids")))
-    return tokens.groupBy(id_col).agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))
+def token_counts(docs: DataFrame, v: Vocab, kernel: str = "bpe", scheme: str = "cl100k") -> DataFrame:
+    """(id, n) over all documents: tokens are counted where they are made, and only sums by id are shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Coder(shared.value, kernel)
+        for b in batches:
+            n = pc.value_counts(code(b.column(0).flatten()).flatten())
+            yield pa.RecordBatch.from_arrays([n.field("values"), n.field("counts")], ["id", "n"])
 
-def token_counts(docs: DataFrame, v: Vocab, kernel: str = "bpe", scheme: str = "cl100k") -> DataFrame:
-    """(id, n): counts of pieces are encoded, not the pieces of documents."""
-    counts = docs.select(F.explode(pretok.pieces(F.col("text"), scheme)).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
-    coded = counts.join(encode_pieces(counts.select("piece"), v, kernel), "piece")
-    return coded.select("n", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("n").alias("n"))
+    rows = docs.select(pretok.pieces(F.col("text"), scheme).alias("pieces")).filter(F.size("pieces") > 0)
+    return rows.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def vocab_table(spark, v: Vocab) -> DataFrame:
@@ -85,15 +216,6 @@ def vocab_table(spark, v: Vocab) -> DataFrame:
     return spark.createDataFrame(rows, "id long, hex string, length int")
 
 
-def decode(tokens: DataFrame, vocab: DataFrame, id_col: str = "doc_id", kind: str = "concat") -> DataFrame:
-    """(id, text) of (id, pos, token): a vocabulary join and an ordered collect."""
-    named = tokens.join(F.broadcast(vocab.select(F.col("id").alias("token"), "hex")), "token")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "hex"))), lambda x: x["hex"])
-    if kind == "wordpiece":
-        parts = F.transform(parts, lambda h, i: F.when(h.startswith("2323"), F.substring(h, 5, 1 << 30)).otherwise(F.when(i > 0, F.concat(F.lit("20"), h)).otherwise(h)))
-    return named.groupBy(id_col).agg(F.decode(F.unhex(F.array_join(parts, "")), "UTF-8").alias("text"))
-
-
 def overlays(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Byte tokens with their typed channels: start, end, boundary bits (1: chunk start, 2: code point start) and provenance."""
     rows = docs.select(id_col, F.posexplode(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0))).alias("byte_start", "hex"))
@@ -105,7 +227,7 @@ def overlays(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def explain(pieces: DataFrame, vocab: DataFrame) -> DataFrame:
     """Tokens of encode() with their bytes, the least efficient first: shortest, then in order."""
     rows = pieces.select("doc_id", "pos", "piece", F.posexplode("ids").alias("k", "token"))
-    return rows.join(F.broadcast(vocab), F.col("token") == F.col("id")).select("doc_id", "pos", "k", "piece", "token", "hex", "length").orderBy("length", "doc_id", "pos", "k")
+    return rows.join(vocab, F.col("token") == F.col("id")).select("doc_id", "pos", "k", "piece", "token", "hex", "length").orderBy("length", "doc_id", "pos", "k")
 
 
 def wrapped(ids: Column, pair: Column | None = None, cls: int = 101, sep: int = 102, doubled: bool = False) -> tuple[Column, Column]:

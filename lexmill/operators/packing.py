@@ -29,9 +29,9 @@ def late_windows(n: Column, window: int, stride: int) -> Column:
     return F.when(n > 0, made).otherwise(F.array().cast("array<struct<start: bigint, end: bigint>>"))
 
 
-def offsets(sizes: DataFrame, order: str, size: str, parts: int = 64) -> DataFrame:
-    """sizes with the column before: the sum of all sizes earlier in order. Two levels: order is cut into ranges, ranges are summed, and only the ranges' sums pass through one task."""
-    ranged = sizes.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+def offsets(sizes: DataFrame, order: str, size: str) -> DataFrame:
+    """sizes with the column before: the sum of all sizes earlier in order. Two levels: order is cut into ranges, as many as shuffles have partitions, ranges are summed, and only the ranges' sums pass through one task."""
+    ranged = sizes.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
     within = F.sum(size).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
     ranged = ranged.withColumn("_within", F.coalesce(within, F.lit(0)))
     from .stored import stored
@@ -44,18 +44,19 @@ def offsets(sizes: DataFrame, order: str, size: str, parts: int = 64) -> DataFra
 
 def pack(docs: DataFrame, ids: str, length: int, bos: int | None = None, eos: int | None = None, pad: int | None = None, order: str = "doc_id") -> DataFrame:
     """(seq, ids): documents one after the other, with bos and eos around each, cut to length. The tail is dropped, or filled with pad."""
-    around = [F.array(F.lit(bos).cast("long"))] * (bos is not None) + [F.col(ids).cast("array<bigint>")] + [F.array(F.lit(eos).cast("long"))] * (eos is not None)
+    around = [F.array(F.lit(bos).cast("int"))] * (bos is not None) + [F.col(ids).cast("array<int>")] + [F.array(F.lit(eos).cast("int"))] * (eos is not None)
     rows = docs.select(order, F.concat(*around).alias("ids")).withColumn("n", F.size("ids").cast("long"))
     at = offsets(rows, order, "n")
     # a document is cut into the sequences that it reaches, so arrays and not tokens are moved
     first, last = F.floor(F.col("before") / length), F.floor((F.col("before") + F.col("n") - 1) / length)
-    parts = at.filter("n > 0").select("before", "ids", "n", F.explode(F.sequence(first, last)).alias("seq"))
-    lo, hi = F.greatest(F.col("before"), F.col("seq") * length), F.least(F.col("before") + F.col("n"), (F.col("seq") + 1) * length)
-    parts = parts.select("seq", lo.alias("lo"), F.slice("ids", (lo - F.col("before") + 1).cast("int"), (hi - lo).cast("int")).alias("own"))
+    lo = lambda q: F.greatest(F.col("before"), q * length)
+    hi = lambda q: F.least(F.col("before") + F.col("n"), (q + 1) * length)
+    cut = F.transform(F.sequence(first, last), lambda q: F.struct(q.alias("seq"), lo(q).alias("lo"), F.slice("ids", (lo(q) - F.col("before") + 1).cast("int"), (hi(q) - lo(q)).cast("int")).alias("own")))
+    parts = at.filter("n > 0").select(F.explode(cut).alias("x")).select("x.*")
     made = parts.groupBy("seq").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("lo", "own"))), lambda x: x["own"])).alias("ids"))
     if pad is None:
         return made.filter(F.size("ids") == length)
-    return made.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(pad).cast("long"), F.lit(length) - F.size("ids"))))
+    return made.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(pad).cast("int"), F.lit(length) - F.size("ids"))))
 
 
 def id_dtype(n: Column) -> Column:

@@ -25,8 +25,7 @@ def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = encode.byte_rows(_docs(spark, sf_dir)).groupBy("hex").agg(F.count("*").alias("n"))
-    return c.select(encode.hex_id(F.col("hex")).alias("id"), "n")
+    return encode.byte_counts(_docs(spark, sf_dir))
 
 
 H = f"(SELECT {HEX_ID} AS id, count(*) AS n FROM {BYTES} GROUP BY h)"
@@ -52,20 +51,22 @@ def bottom_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT sum(strlen(text))::DOUBLE AS tokens, sum(strlen(text))::DOUBLE AS bytes, sum(length(text))::DOUBLE AS chars, sum({LINES_SQL})::DOUBLE AS lines, sum({WORDS_SQL})::DOUBLE AS words FROM documents),
      (SELECT sum(n)::DOUBLE AS fallback FROM {H} WHERE id < 128)""")
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = A.scan(_docs(spark, sf_dir)).withColumn("tokens", F.col("bytes").cast("double"))
-    low = _counts(spark, sf_dir).filter("id < 128").agg(F.sum("n").alias("low"))
-    s = s.crossJoin(low)  # one row each
+    low = F.sum(F.length(F.regexp_replace("text", r"[^\x00-\x7F]+", ""))).alias("low")
+    s = A.scan(_docs(spark, sf_dir), low).withColumn("tokens", F.col("bytes").cast("double"))
     t = F.col("tokens")
     r = lambda a, b: F.round(A.ratio(a, b), 9)
     return s.select("tokens", r(F.col("bytes"), t).alias("bytes_per_token"), r(F.col("chars"), t).alias("chars_per_token"), r(t, F.col("words")).alias("tokens_per_word"), r(t, F.col("lines")).alias("tokens_per_line"), r(F.col("low"), t).alias("fallback_rate"), A.kv_bytes(F.col("bytes"), 8, 32, 128, 2).alias("kv_bytes"), F.round(A.cost(t, 0.5), 9).alias("cost"))
 
 
-SCRIPT_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"u BETWEEN {a} AND {z}" for a, z in r) + f" THEN '{n}'" for n, r in A.SCRIPTS) + " ELSE 'common' END"
+SCRIPT_SQL = """CASE WHEN u <= 127 THEN 'Latin (ASCII)' WHEN u <= 255 THEN 'Latin (extended)' WHEN u <= 1023 THEN 'Latin/Greek/Coptic/Cyrillic' WHEN u <= 1279 THEN 'Cyrillic' WHEN u <= 1535 THEN 'Armenian/Hebrew'
+WHEN u <= 1791 THEN 'Arabic' WHEN u <= 2303 THEN 'Other' WHEN u <= 2559 THEN 'Devanagari/Bengali' WHEN u <= 4095 THEN 'Indic' WHEN u <= 8191 THEN 'Other' WHEN u <= 11903 THEN 'Symbols/Punctuation'
+WHEN u <= 12287 THEN 'CJK Radicals' WHEN u <= 12351 THEN 'CJK Symbols' WHEN u <= 12447 THEN 'Hiragana' WHEN u <= 12543 THEN 'Katakana' WHEN u <= 19967 THEN 'Bopomofo/Other' WHEN u <= 40959 THEN 'CJK Unified Ideographs'
+WHEN u <= 44031 THEN 'Yi/Other' WHEN u <= 55295 THEN 'Hangul' WHEN u <= 57343 THEN 'Surrogates' WHEN u <= 63743 THEN 'Private Use' ELSE 'Other' END"""
 CHARS_SQL = "(SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS c FROM (SELECT doc_id, string_split(text, '') AS l FROM documents WHERE text <> ''))"
-RUNS_SQL = f"""(WITH c AS (SELECT *, CASE WHEN regexp_matches(c, '\\p{{L}}') THEN (SELECT {SCRIPT_SQL} FROM (SELECT unicode(c) AS u)) END AS own FROM {CHARS_SQL}),
+RUNS_SQL = f"""(WITH c AS (SELECT *, CASE WHEN pos = 0 OR regexp_matches(c, '\\p{{L}}') THEN (SELECT {SCRIPT_SQL} FROM (SELECT unicode(c) AS u)) END AS own FROM {CHARS_SQL}),
 l AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
 r AS (SELECT *, sum(CASE WHEN own <> before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS run FROM l)
-SELECT doc_id, run, coalesce(max(own), 'common') AS script, count(*) AS chars, sum(strlen(c))::BIGINT AS bytes FROM r GROUP BY doc_id, run)"""
+SELECT doc_id, run, max(own) AS script, count(*) AS chars, sum(strlen(c))::BIGINT AS bytes FROM r GROUP BY doc_id, run)"""
 
 
 @query(f"SELECT * FROM {RUNS_SQL}")
@@ -136,8 +137,8 @@ def diff_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT unnest(list_filter(list_distinct(b), lambda x: NOT list_contains(a, x))), 'b' FROM {DIFF} WHERE a <> b) GROUP BY ALL""")
 def symmetric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _diff(spark, sf_dir).filter("a <> b")
-    side = lambda x, y, n: d.select(F.explode(F.array_except(x, y)).alias("token"), F.lit(n).alias("side"))
-    return side("a", "b", "a").unionByName(side("b", "a", "b")).groupBy("token", "side").agg(F.count("*").alias("n"))
+    side = lambda x, y, n: F.transform(F.array_except(x, y), lambda t: F.struct(t.alias("token"), F.lit(n).alias("side")))
+    return d.select(F.explode(F.concat(side("a", "b", "a"), side("b", "a", "b"))).alias("x")).groupBy("x.token", "x.side").agg(F.count("*").alias("n"))
 
 
 @query(rf"SELECT doc_id, {WORDS_SQL}::BIGINT AS words FROM documents")
@@ -145,12 +146,43 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", A.words(F.col("text")).alias("words"))
 
 
-@query()
+STEP, TWO_64 = 0x9E3779B97F4A7C15, 1 << 64
+
+
+def _smix(x: int) -> int:
+    z = (x + STEP) % TWO_64
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % TWO_64
+    z = (z ^ z >> 27) * 0x94D049BB133111EB % TWO_64
+    return z ^ z >> 31
+
+
+def _smix_sql(rows: str) -> str:
+    """rows with the column x mixed; products are taken with 128 bits."""
+    rows = f"(SELECT * REPLACE (((x::UHUGEINT + {STEP}) % {TWO_64})::UBIGINT AS x) FROM {rows})"
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        rows = f"(SELECT * REPLACE ((xor(x, x >> {shift})::UHUGEINT * {factor}::UHUGEINT % {TWO_64}::UHUGEINT)::UBIGINT AS x) FROM {rows})"
+    return f"(SELECT * REPLACE (xor(x, x >> 31) AS x) FROM {rows})"
+
+
+def _bigram_sql() -> str:
+    pair = lambda at, head: f"SELECT conv_id, turn, n, {head} AS head, b[{at}] AS i, b[{at} + 1] AS j, xor({_smix(STEP ^ (head * STEP) % TWO_64) ^ STEP}::UBIGINT, b[{at}]) AS x FROM b WHERE n > 1"
+    rows = _smix_sql(f"({pair('1', 0)} UNION ALL {pair('n - 1', 2)})")
+    rows = _smix_sql(f"(SELECT * REPLACE (xor(x, j) AS x) FROM {rows})")
+    rows = _smix_sql(f"(SELECT * REPLACE (xor(x, 2::UBIGINT) AS x) FROM {rows})")
+    code = "(strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1"
+    return f"""WITH b AS (SELECT conv_id, turn, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ({code})::UBIGINT) AS b, len(b) AS n FROM conversations),
+h AS (SELECT conv_id, turn, head, CASE WHEN x >= {1 << 63} THEN (x::HUGEINT - {TWO_64})::BIGINT ELSE x::BIGINT END AS x FROM {rows})
+SELECT b.conv_id, b.turn, n::INT AS n_ids, (greatest(n - 1, 0) * 3)::BIGINT AS n_hashes, f.x AS first, l.x AS last
+FROM b LEFT JOIN h f ON f.conv_id = b.conv_id AND f.turn = b.turn AND f.head = 0 LEFT JOIN h l ON l.conv_id = b.conv_id AND l.turn = b.turn AND l.head = 2"""
+
+
+@query(_bigram_sql())
 def ngram_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram hashes of the turns of conversations; held against pure integers in tests."""
+    """Bigram hashes of the bytes of each turn under three heads: how many, the first and the last."""
     ids = table(spark, sf_dir, "conversations").select("conv_id", "turn", encode.byte_ids(F.col("text")).alias("ids"))
     h = A.ngram_hashes(F.col("ids"), 2, 3)
-    return ids.select("conv_id", "turn", F.size("ids").alias("n_ids"), h.alias("h")).select("conv_id", "turn", F.size("h").cast("long").alias("n_hashes"), F.col("h")[0].alias("first"), F.element_at("h", -1).alias("last"))
+    rows = ids.select("conv_id", "turn", F.size("ids").alias("n_ids"), h.alias("h"))
+    return rows.select("conv_id", "turn", "n_ids", F.size("h").cast("long").alias("n_hashes"), F.get("h", F.lit(0)).alias("first"), F.try_element_at("h", F.lit(-1)).alias("last"))
 
 
 @query(f"SELECT h AS hex, count(DISTINCT id) AS n_tokens FROM (SELECT id, unnest(regexp_extract_all(hex, '..')) AS h FROM {VOCAB}) GROUP BY h")

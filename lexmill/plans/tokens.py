@@ -20,13 +20,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {HEX_ID} AS id, count(*) AS n FROM {BYTES} GROUP BY h")
 def byte_histogram_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = encode.byte_rows(_docs(spark, sf_dir)).groupBy("hex").agg(F.count("*").alias("n"))
-    return counts.select(encode.hex_id(F.col("hex")).alias("id"), "n")
+    return encode.byte_counts(_docs(spark, sf_dir))
 
 
 @query(f"SELECT doc_id, count(*) AS n_tokens, sum(({HEX_ID}) * (pos % 97 + 1))::BIGINT AS check_sum FROM {BYTES} GROUP BY doc_id")
 def byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _docs(spark, sf_dir).select("doc_id", encode.byte_ids(F.col("text")).alias("ids")).filter(F.size("ids") > 0)
+    ids = encode.byte_lists(_docs(spark, sf_dir)).filter(F.size("ids") > 0)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.aggregate(F.transform("ids", lambda x, i: x * (i % 97 + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("check_sum"))
 
 
@@ -40,9 +39,8 @@ def _roundtrip(name: str, kernel: str, scheme: str):
     """decode(encode(text)) per document; its digest must be that of the text."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = encode.encode(_docs(spark, sf_dir), V, kernel, scheme).select("doc_id", "pos", F.posexplode("ids").alias("k", "token"))
-        rows = rows.select("doc_id", (F.col("pos").cast("long") * (1 << 20) + F.col("k")).alias("pos"), "token")
-        return encode.decode(rows, encode.vocab_table(spark, V)).select("doc_id", F.sha2("text", 256).alias("sha"))
+        rows = encode.encode_lists(_docs(spark, sf_dir), V, kernel, scheme)
+        return encode.decode_lists(rows, V).select("doc_id", F.sha2("text", 256).alias("sha"))
 
     run.__name__ = name
     query("SELECT doc_id, sha256(text) AS sha FROM documents WHERE text <> ''")(run)
@@ -105,10 +103,9 @@ def explain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transcode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids of one vocabulary to bytes to ids of another: bytes and merged tokens."""
     bytes_only = models.Vocab(V.tokens[:256])
-    a = encode.document_ids(encode.encode(_docs(spark, sf_dir), bytes_only)).withColumnRenamed("ids", "a")
-    text = encode.decode(a.select("doc_id", F.posexplode("a").alias("pos", "token")), encode.vocab_table(spark, V))
-    b = encode.document_ids(encode.encode(text, V)).withColumnRenamed("ids", "b")
-    return text.join(a, "doc_id").join(b, "doc_id").select("doc_id", F.sha2("text", 256).alias("sha"), (F.size("b") <= F.size("a")).alias("shorter"))
+    a = encode.encode_lists(_docs(spark, sf_dir), bytes_only)
+    made = encode.transcoded(a, bytes_only, V)
+    return made.select("doc_id", F.sha2("text", 256).alias("sha"), (F.size("ids") <= F.col("n_before")).alias("shorter"))
 
 
 @query()
@@ -180,7 +177,7 @@ _windows("late_chunks_gap", 256, 320, False)
 t AS (SELECT sum(n) AS total FROM d)
 SELECT s AS seq, 1024 AS n_ids, (SELECT count(*) FROM d WHERE before >= s * 1024 AND before < (s + 1) * 1024) AS n_bos FROM (SELECT unnest(range(0, (total // 1024)::BIGINT)) AS s FROM t)""")
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("doc_id", encode.byte_ids(F.col("text")).alias("ids"))
+    docs = encode.byte_lists(_docs(spark, sf_dir))
     made = packing.pack(docs, "ids", 1024, bos=1000, eos=1001)
     return made.select("seq", F.size("ids").alias("n_ids"), F.size(F.filter("ids", lambda x: x == 1000)).cast("long").alias("n_bos"))
 

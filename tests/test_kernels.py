@@ -139,14 +139,16 @@ def slow_ngrams(ids, n, heads):
     out = []
     for i in range(len(ids) - n + 1 if n > 0 else 0):
         for h in range(heads):
-            x = mix(h + n)
+            x = mix(0x9E3779B97F4A7C15 ^ (h * 0x9E3779B97F4A7C15 & m)) ^ 0x9E3779B97F4A7C15
             for t in ids[i : i + n]:
                 x = mix(x ^ t)
+            x = mix(x ^ n)
             out.append(x - (1 << 64) if x >= 1 << 63 else x)
     return out
 
 
 def test_ngrams(spark):
+    assert slow_ngrams([1, 2], 2, 1) == [6839856135582511566]
     df = spark.createDataFrame([([1, 2, 3, 4, 5],), ([7],), ([],)], "ids array<int>")
     for n, heads in ((2, 3), (1, 1), (6, 2), (0, 3), (2, 0)):
         for r in df.select("ids", analytics.ngram_hashes(F.col("ids"), n, heads).alias("h")).collect():
@@ -163,8 +165,8 @@ def test_fairness_and_cost(spark):
 
 
 def test_levenshtein(spark):
-    df = spark.createDataFrame([([1, 2, 3], [1, 3]), ([], [1, 2]), ([1], [2]), (list(range(20)), list(range(20, 40)))], "a array<int>, b array<int>")
-    assert [r.d for r in df.select(analytics.bounded_levenshtein(F.col("a"), F.col("b"), 5).alias("d")).collect()] == [1, 2, 1, 6]
+    df = spark.createDataFrame([([1, 2, 3], [1, 3]), ([], [1, 2]), ([1], [2]), (list(range(20)), list(range(20, 40))), ([0xD7FF, 200_000, 5], [0xD7FE, 200_000, 0xDFFF]), ([0xD800, 1_000_000], [0xD800])], "a array<int>, b array<int>")
+    assert [r.d for r in df.select(analytics.bounded_levenshtein(F.col("a"), F.col("b"), 5).alias("d")).collect()] == [1, 2, 1, 6, 2, 1]
 
 
 def counted(spark, words):
