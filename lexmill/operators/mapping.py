@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,18 +21,115 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / n)))
 
 
-def evaluated(spans: DataFrame, least_cosine: float, least_score: float) -> DataFrame:
-    """All pairs (a < b) of spans with one image: cosine, score and the first reason against, in a fixed order. Spans meet by image only."""
-    a = spans.select(F.col("image_id"), *(F.col(c).alias(f"{c}_a") for c in spans.columns if c != "image_id"))
-    b = spans.select(F.col("image_id"), *(F.col(c).alias(f"{c}_b") for c in spans.columns if c != "image_id"))
-    p = a.join(b, "image_id").filter("span_id_a < span_id_b").withColumn("cosine", cosine(F.col("embedding_a"), F.col("embedding_b")))
-    same = F.col("entity_id_a") == F.col("entity_id_b")
-    score = 0.7 * F.col("cosine") + 0.2 * F.when(same, 1.0).otherwise(0.0) + 0.1 * F.least("confidence_a", "confidence_b")
+#: Shares of a pair's score: cosine, equal role, equal entity; and what a contradiction of strength 1 takes off.
+WEIGHTS = (0.7, 0.1, 0.2, 0.5)
+
+
+def evaluated(spans: DataFrame, least_cosine: float, least_score: float, contradictions: DataFrame | None = None, block_at: float = 0.5, protected: tuple = (), weights: tuple[float, float, float, float] = WEIGHTS) -> DataFrame:
+    """All pairs (a < b) of spans with one image: cosine, score and the first reason against, in a fixed order. Spans meet by image only.
+
+    Unknown roles and entities match anything and add nothing. Spans with a
+    protected role are never joined. contradictions (image_id, a, b, strength)
+    lower the score, and from block_at on reject.
+    """
+    side = lambda x: spans.select("image_id", *(F.col(c).alias(f"{c}_{x}") for c in spans.columns if c != "image_id"))
+    p = side("a").join(side("b"), "image_id").filter("span_id_a < span_id_b")
+    if contradictions is not None:
+        p = p.join(contradictions.select("image_id", F.col("a").alias("span_id_a"), F.col("b").alias("span_id_b"), "strength"), ["image_id", "span_id_a", "span_id_b"], "left")
+    p = p.withColumn("against", F.coalesce("strength", F.lit(0.0)) if contradictions is not None else F.lit(0.0)).withColumn("cosine", cosine(F.col("embedding_a"), F.col("embedding_b")))
+    equal = lambda c: F.coalesce((F.col(f"{c}_a") == F.col(f"{c}_b")).cast("double"), F.lit(0.0))
+    score = weights[0] * F.col("cosine") + weights[1] * equal("role") + weights[2] * equal("entity_id") - weights[3] * F.col("against")
     p = p.withColumn("score", F.round(score, 6)).withColumn("cosine", F.round("cosine", 6))
-    why = F.when(F.col("caption_id_a") == F.col("caption_id_b"), "same_caption").when(F.col("role_a") != F.col("role_b"), "role").when(~same, "entity").when(F.col("cosine") < least_cosine, "cosine").when(F.col("score") < least_score, "score")
+    why = F.when(F.col("caption_id_a") == F.col("caption_id_b"), "same_caption").when(F.col("role_a") != F.col("role_b"), "role").when(F.col("entity_id_a") != F.col("entity_id_b"), "entity")
+    if protected:
+        why = why.when(F.col("role_a").isin(*protected) | F.col("role_b").isin(*protected), "protected")
+    why = why.when(F.col("against") >= block_at, "contradiction").when(F.col("cosine") < least_cosine, "cosine").when(F.col("score") < least_score, "score")
     return p.select("image_id", F.col("span_id_a").alias("a"), F.col("span_id_b").alias("b"), "cosine", "score", why.alias("rejected"))
 
 
+#: The usual names of entity types, whose spans only join with themselves, word for word.
+IDENTITIES = ("CARDINAL", "DATE", "EVENT", "FAC", "GPE", "LANGUAGE", "LAW", "LOC", "MONEY", "NORP", "ORDINAL", "ORG", "PERCENT", "PERSON", "PRODUCT", "QUANTITY", "TIME", "WORK_OF_ART")
+
+
+def decided(spans: DataFrame, allowed: DataFrame, least_cosine: float, signed: bool = True) -> DataFrame:
+    """(a, b, cosine, reason) of the pairs of spans whose examples (left, right) are allowed: compatible, or the first of the reasons against.
+
+    spans: span (a number), example, protected, source (array of ids), entity,
+    grammatical, role, value, binding, signature, embedding. Nulls match anything.
+    Spans meet through the allowed pairs alone.
+    """
+    side = lambda x: spans.select(*(F.col(c).alias(f"{c}_{x}") for c in spans.columns))
+    pairs = allowed.select(F.least("left", "right").alias("example_a"), F.greatest("left", "right").alias("example_b")).distinct()
+    p = pairs.join(side("a"), "example_a").join(side("b"), "example_b").filter("example_a <> example_b OR span_a < span_b")
+    same = F.coalesce(F.col("source_a") == F.col("source_b"), F.lit(False))
+    exact = F.col("protected_a") & F.col("protected_b") & same
+    p = p.withColumn("cosine", F.when(exact, 1.0).otherwise(F.round(cosine(F.col("embedding_a"), F.col("embedding_b")), 6)))
+    differ = lambda c: F.coalesce(F.col(f"{c}_a") != F.col(f"{c}_b"), F.lit(False))
+    named = F.coalesce(F.col("entity_a").isin(*IDENTITIES), F.lit(False)) | F.coalesce(F.col("entity_b").isin(*IDENTITIES), F.lit(False))
+    why = F.when(F.col("example_a") == F.col("example_b"), "same_example").when((F.col("protected_a") | F.col("protected_b")) & ~exact, "protected_span").when(named & ~same, "protected_entity_identity")
+    for c, name in (("grammatical", "grammatical_role_mismatch"), ("role", "semantic_role_mismatch"), ("value", "semantic_value_mismatch"), ("entity", "entity_type_mismatch"), ("binding", "binding_type_mismatch")):
+        why = why.when(differ(c), name)
+    if signed:
+        why = why.when(F.col("signature_a") != F.col("signature_b"), "relation_signature_mismatch")
+    why = why.when(F.col("cosine") < least_cosine, "cosine_below_threshold").otherwise("compatible")
+    return p.select(F.col("span_a").alias("a"), F.col("span_b").alias("b"), "cosine", why.alias("reason"))
+
+
+def linked_groups(pairs: DataFrame, stored: Callable, rounds: int = 100) -> DataFrame:
+    """(node, root): the smallest node that links (a, b) reach from each node. Labels spread along links and to the labels' own labels, so paths halve a round."""
+    both = stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    now = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
+    for _ in range(rounds):
+        near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = now.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
+        after = step.join(now.select(F.col("node").alias("low"), F.col("root").alias("far")), "low").select("node", F.least("low", "far").alias("next"), "root")
+        after = stored(after, "labels")
+        if after.filter("next <> root").isEmpty():
+            return now
+        now = after.select("node", F.col("next").alias("root"))
+    raise RuntimeError(f"no fixed point in {rounds} rounds")
+
+
+def example_clusters(decisions: DataFrame, most: int, stored: Callable) -> DataFrame:
+    """(node, cluster) of clusters of two or more: compatible pairs joined by their cosine, best first, if all pairs across are compatible. Each group of linked spans is one task's work."""
+    good = stored(decisions.filter("reason = 'compatible'").select("a", "b", "cosine"), "compatible")
+    home = linked_groups(good, stored)
+    pairs = good.join(home.select(F.col("node").alias("a"), "root"), "a").select("root", "a", "b", F.col("cosine").alias("score"), F.lit(True).alias("ok"))
+    made = complete_link(home.select("root", "node"), pairs, "root", most)
+    return made.join(made.groupBy("root", "cluster").agg(F.count("*").alias("n")).filter("n > 1").select("root", "cluster"), ["root", "cluster"], "left_semi").select("node", "cluster")
+
+
+def units(spans: DataFrame, groups: DataFrame, contradictions: DataFrame | None = None, block_at: float = 0.5) -> DataFrame:
+    """(image_id, unit_id, kind, order_class, first, role, alternatives): what an image's spans come down to, in order.
+
+    spans: image_id, span_id, role, kind, order_class. Members of a group
+    (image_id, cluster, node) are one unit of kind consensus, with the least class
+    and span of its members; other spans are units of their own. Units stand by class,
+    first span and role (unknown last). For each pair of units that spans with a contradiction
+    (image_id, a, b, strength) of block_at or more belong to, a unit of kind
+    uncertainty follows with the two as alternatives.
+    """
+    m = spans.join(groups.select("image_id", F.col("node").alias("span_id"), "cluster"), ["image_id", "span_id"], "left")
+    key = F.when(F.col("cluster").isNull(), F.col("span_id")).otherwise(F.col("cluster"))
+    m = m.select("image_id", "span_id", "role", "order_class", F.when(F.col("cluster").isNull(), F.col("kind")).otherwise("consensus").alias("kind"), F.col("cluster").isNotNull().alias("joint"), key.alias("key"))
+    u = m.groupBy("image_id", "joint", "key", "kind").agg(F.min("order_class").alias("order_class"), F.min("span_id").alias("first"), F.min_by("role", "span_id").alias("role"))
+    rank = F.row_number().over(W.partitionBy("image_id").orderBy("order_class", "first", F.col("role").asc_nulls_last())) - 1
+    u = u.withColumn("unit_id", rank.cast("long"))
+    out = u.select("image_id", "unit_id", "kind", "order_class", "first", "role", F.array().cast("array<bigint>").alias("alternatives"))
+    if contradictions is None:
+        return out
+    home = m.select("image_id", "span_id", "joint", "key", "role").join(u.select("image_id", "joint", "key", "unit_id"), ["image_id", "joint", "key"])
+    end = lambda x: home.select("image_id", F.col("span_id").alias(x), F.col("unit_id").alias(f"u{x}"), F.col("role").alias(f"r{x}"))
+    c = contradictions.filter(F.col("strength") >= block_at).join(end("a"), ["image_id", "a"]).join(end("b"), ["image_id", "b"]).filter("ua <> ub")
+    c = c.select("image_id", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.array(F.least("ua", "ub"), F.greatest("ua", "ub")).alias("alternatives"), F.when(F.col("ra") == F.col("rb"), F.col("ra")).alias("role"))
+    c = c.groupBy("image_id", "alternatives").agg(F.min(F.struct("x", "y")).alias("at"), F.min_by("role", F.struct("x", "y")).alias("role"))
+    n = u.groupBy("image_id").agg(F.count("*").alias("n"))
+    last = u.groupBy().agg(F.max("order_class")).first()[0]
+    at = F.row_number().over(W.partitionBy("image_id").orderBy("at")) - 1
+    c = c.join(n, "image_id").select("image_id", (F.col("n") + at).cast("long").alias("unit_id"), F.lit("uncertainty").alias("kind"), F.lit(last).alias("order_class"), F.col("at.x").alias("first"), "role", "alternatives")
+    return out.unionByName(c)
+
+
 def complete_link(members: DataFrame, pairs: DataFrame, group: str, most: int) -> DataFrame:
     """(group, node, cluster): pairs (a, b, score, ok) of a group joined best first, if all pairs across are ok and none exceeds most. Greedy, so group by group."""
 
@@ -71,13 +169,30 @@ def signatures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("example_id", "span_id").join(made, ["example_id", "span_id"], "left").select("example_id", "span_id", F.coalesce("signature", F.lit("")).alias("signature"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: str = "label") -> DataFrame:
-    """(a, b, cosine): for each query the k nearest others in its block, ties by id. Blocks keep the join from being a cross join; a large block is dealt out by the queries."""
-    q = queries.select(block, F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    v = vectors.select(block, F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    p = q.join(v, block).filter("a <> b").select("a", "b", cosine(F.col("x"), F.col("y")).alias("cosine"))
-    best = F.row_number().over(W.partitionBy("a").orderBy(F.round("cosine", 6).desc(), "b"))
-    return p.withColumn("r", best).filter(F.col("r") <= k).select("a", "b", F.round("cosine", 6).alias("cosine"))
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024, part: int = 16_384) -> DataFrame:
+    """(a, b, cosine): for each query the k nearest of all others, ties by id. Queries are dealt out in blocks and vectors in parts; a task multiplies one block with one part and keeps the k best."""
+    n_blocks, n_parts = (max(1, -(-x.count() // size)) for x, size in ((queries, block), (vectors, part)))
+    own = lambda df, n: df.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("_own"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = own(queries, n_blocks).select("vec_id", "embedding", F.col("_own").alias("block"), each(n_parts).alias("part"))
+    v = own(vectors, n_parts).select("vec_id", "embedding", F.col("_own").alias("part"), each(n_blocks).alias("block"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            at, y = right["vec_id"].to_numpy(), np.array(right["embedding"].tolist(), float)
+            size = np.sqrt((y * y).sum(1))
+            for i, x in zip(left["vec_id"].tolist(), left["embedding"], strict=True):
+                x = np.asarray(x, float)
+                norm = size * np.sqrt((x * x).sum())
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    c = np.where((norm > 0) & (at != i), np.clip(y @ x / norm, -1, 1).round(6), -np.inf)
+                out += [(i, int(at[j]), float(c[j])) for j in np.lexsort((at, -c))[:k] if c[j] > -np.inf]
+        return pd.DataFrame(out, columns=["a", "b", "cosine"])
+
+    found = q.groupBy("block", "part").cogroup(v.groupBy("block", "part")).applyInPandas(run, "a long, b long, cosine double")
+    best = F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b"))
+    return found.withColumn("r", best).filter(F.col("r") <= k).select("a", "b", "cosine")
 
 
 def weighted_jaccard(features: DataFrame, least: float) -> DataFrame:
@@ -89,7 +204,7 @@ def weighted_jaccard(features: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", F.round(F.col("m") / (F.col("ta") + F.col("tb") - F.col("m")), 6).alias("similarity")).filter(F.col("similarity") >= least)
 
 
-def disjoint_pairs(pairs: DataFrame, score: str, most: int, stored: Callable) -> DataFrame:
+def disjoint_pairs(pairs: DataFrame, score: str, stored: Callable) -> DataFrame:
     """The greedy matching: best pair first (ties by a, b), both its ends taken out. A pair is taken in the round in which it is the best of both its ends, so rounds run in parallel."""
     left, taken = stored(pairs, "pairs"), None
     while not left.isEmpty():
@@ -99,7 +214,7 @@ def disjoint_pairs(pairs: DataFrame, score: str, most: int, stored: Callable) ->
         taken = now if taken is None else taken.unionByName(now)
         gone = now.select(F.col("a").alias("e")).unionByName(now.select(F.col("b").alias("e")))
         left = stored(left.join(gone.withColumnRenamed("e", "a"), "a", "left_anti").join(gone.withColumnRenamed("e", "b"), "b", "left_anti"), "left")
-    return (pairs.limit(0) if taken is None else taken).orderBy(F.desc(score), "a", "b").limit(most)
+    return pairs.limit(0) if taken is None else taken.select(pairs.columns)
 
 
 def fused(vectors: DataFrame, by: str, weight: str | None = None, keep_norm: bool = False) -> DataFrame:
@@ -123,8 +238,6 @@ def one_slot(branches: DataFrame) -> DataFrame:
 
 def sparse_clusters(rows: DataFrame, group: str, most_distance: float, least_mass: float) -> DataFrame:
     """(group, node, cluster) of (group, node, mass, embedding): heaviest first, each to the first cluster whose members are all near; clusters under least_mass of the mass are dropped."""
-    import numpy as np
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["mass", "node"], ascending=[False, True])
         x = np.array(pdf["embedding"].tolist(), float)
@@ -144,9 +257,26 @@ def sparse_clusters(rows: DataFrame, group: str, most_distance: float, least_mas
     return rows.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, node {kinds['node']}, cluster int")
 
 
-def superbatches(aligned: DataFrame, least_coverage: float = 0.75, least: int = 2) -> DataFrame:
-    """(a, b, n_aligned, coverage) of pairs with arrays (left, right) of aligned places: in equal order, enough of them and of the shorter example (n)."""
-    ordered = F.col("left") == F.array_sort("left")
-    both = ordered & (F.col("right") == F.array_sort("right"))
-    cover = F.size("left") / F.col("n")
-    return aligned.filter(both & (F.size("left") >= least) & (cover >= least_coverage)).select("a", "b", F.size("left").alias("n_aligned"), F.round(cover, 6).alias("coverage"))
+def aligned_examples(spans: DataFrame, clusters: DataFrame, least_coverage: float = 0.75, least: int = 2) -> DataFrame:
+    """(a, b, n_aligned, coverage) of pairs of examples that hold members of the same clusters in the same order.
+
+    spans: span, example, start, end, protected. clusters (node, cluster) have at
+    most one member of an example. coverage is the share of clusters with
+    an unprotected member of the two in the unprotected spans of the longer
+    example; least clusters are needed.
+    """
+    m = spans.join(clusters.withColumnRenamed("node", "span"), "span").select("example", "cluster", F.struct("start", "end", "span").alias("place"), "protected")
+    side = lambda x: m.select(F.col("example").alias(x), "cluster", F.col("place").alias(f"p{x}"), F.col("protected").alias(f"k{x}"))
+    p = side("a").join(side("b"), "cluster").filter("a < b")
+    order = lambda x: F.transform(F.sort_array(F.collect_list(F.struct(f"p{x}", "cluster"))), lambda e: e["cluster"])
+    p = p.groupBy("a", "b").agg(order("a").alias("one"), order("b").alias("other"), F.count("*").alias("n_aligned"), F.sum((~F.col("ka") | ~F.col("kb")).cast("int")).alias("content"))
+    open_ = spans.groupBy("example").agg(F.sum((~F.col("protected")).cast("int")).alias("n"))
+    p = p.filter("one = other").join(open_.select(F.col("example").alias("a"), F.col("n").alias("na")), "a").join(open_.select(F.col("example").alias("b"), F.col("n").alias("nb")), "b")
+    p = p.withColumn("coverage", F.when(F.greatest("na", "nb") > 0, F.col("content") / F.greatest("na", "nb")).otherwise(0.0))
+    return p.filter((F.col("n_aligned") >= least) & (F.col("coverage") >= least_coverage)).select("a", "b", "n_aligned", F.round("coverage", 6).alias("coverage"))
+
+
+def superbatches(spans: DataFrame, clusters: DataFrame, stored: Callable, least_coverage: float = 0.75, least: int = 2) -> DataFrame:
+    """(a, b, n_aligned, coverage): aligned examples taken two by two, the best coverage first, then the most aligned, then by number; each example goes into one batch."""
+    pairs = aligned_examples(spans, clusters, least_coverage, least).withColumn("score", F.struct("coverage", "n_aligned"))
+    return disjoint_pairs(pairs, "score", stored).drop("score")
