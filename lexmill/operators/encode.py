@@ -14,11 +14,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import models, pretok
 from .models import Vocab
+from .stored import stored
 
 
 def byte_ids(text: Column) -> Column:
@@ -210,6 +212,23 @@ def token_counts(docs: DataFrame, v: Vocab, kernel: str = "bpe", scheme: str = "
     return rows.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def cached(docs: DataFrame, v: Vocab, path: str, kernel: str = "bpe", scheme: str = "cl100k", id_col: str = "doc_id") -> DataFrame:
+    """(id, ids, hit) of documents with any pieces. Encodings are kept under path by the SHA-256 of their text, for this vocabulary, model and scheme; only texts that aren't there are encoded, each once, and added."""
+    spark = docs.sparkSession
+    model = f"{kernel}-{scheme}-{models.fingerprint(kernel, v, lambda t: models.KERNELS[kernel](t.encode(), v))[:16]}"
+    rows = docs.select(id_col, "text", F.sha2("text", 256).alias("sha"))
+    schema = "sha string, ids array<long>"
+    try:
+        known = spark.read.schema(schema).parquet(f"{path}/{model}")
+        have = stored(known.select("sha").distinct(), "known")
+    except AnalysisException:
+        have = spark.createDataFrame([], "sha string")
+    new = rows.join(have, "sha", "left_anti").groupBy("sha").agg(F.first("text").alias("text"))
+    encode_lists(new, v, kernel, scheme, "sha").write.mode("append").parquet(f"{path}/{model}")
+    all_ = spark.read.schema(schema).parquet(f"{path}/{model}")
+    return rows.join(all_, "sha").join(have.withColumn("hit", F.lit(True)), "sha", "left").select(id_col, "ids", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
 def vocab_table(spark, v: Vocab) -> DataFrame:
     """(id, hex, bytes) of a vocabulary."""
     rows = [(i, t.hex().upper(), len(t)) for i, t in enumerate(v.tokens) if t is not None]
@@ -240,9 +259,10 @@ def wrapped(ids: Column, pair: Column | None = None, cls: int = 101, sep: int =
 
 
 def template(parts: list, ids: dict[str, Column]) -> tuple[Column, Column]:
-    """parts: ("special", id, type) and ("text", name, type)."""
-    cols = [F.array(F.lit(x)) if kind == "special" else ids[x] for kind, x, _ in parts]
-    return F.concat(*cols), F.concat(*(F.array_repeat(F.lit(t), F.size(c)) for c, (_, _, t) in zip(cols, parts, strict=True)))
+    """parts: ("special", id, type), ("text", name, type), and ("typed", name, None) for what an earlier processor made, whose types are under "name types"."""
+    cols = [F.array(F.lit(x).cast("long")) if kind == "special" else ids[x] for kind, x, _ in parts]
+    types = [ids[f"{x} types"] if kind == "typed" else F.array_repeat(F.lit(t), F.size(c)) for c, (kind, x, t) in zip(cols, parts, strict=True)]
+    return F.concat(*cols), F.concat(*types)
 
 
 def image_tokens(width: Column, height: Column, patch: int = 16, most: int = 1024) -> dict[str, Column]:
@@ -254,6 +274,17 @@ def image_tokens(width: Column, height: Column, patch: int = 16, most: int = 102
     return {"n_cols": cols.cast("long"), "n_rows": rows.cast("long"), "n_tokens": ((cols + 1) * rows).cast("long")}
 
 
+def multimodal(parts: DataFrame, by: str, order: str, image: int = 10, row_end: int = 12, image_end: int = 13, audio: int = 24) -> DataFrame:
+    """(by, ids, n_texts): the tokens of parts of kind 0 (text, its ids), 1 (image of width and height: patches, a break after each row, an end after the last) and 2 (audio of samples), in order."""
+    grid = image_tokens(F.col("width"), F.col("height"))
+    row = F.array_repeat(F.lit(image), grid["n_cols"].cast("int"))
+    rows = F.flatten(F.transform(F.sequence(F.lit(1), grid["n_rows"].cast("int")), lambda i: F.concat(row, F.array(F.when(i == grid["n_rows"], image_end).otherwise(row_end)))))
+    ids = F.when(F.col("kind") == 0, F.col("text")).when(F.col("kind") == 1, rows).otherwise(F.array_repeat(F.lit(audio), audio_tokens(F.col("samples")).cast("int")))
+    made = parts.select(by, order, ids.alias("ids"), (F.col("kind") == 0).cast("long").alias("is_text"))
+    x = F.sort_array(F.collect_list(F.struct(order, "ids")))
+    return made.groupBy(by).agg(F.flatten(F.transform(x, lambda r: r["ids"])).alias("ids"), F.sum("is_text").alias("n_texts"))
+
+
 def audio_tokens(samples: Column, hop: int = 160, per_token: int = 8) -> Column:
     frames = F.floor((samples + hop - 1) / hop)
     return F.floor((frames + per_token - 1) / per_token).cast("long")

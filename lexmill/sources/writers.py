@@ -8,7 +8,6 @@ import io
 import json
 import struct
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 from lexmill.operators.models import Vocab
@@ -83,18 +82,16 @@ def parse_binary(data: bytes) -> Vocab:
     return Vocab(tokens)
 
 
-def flat_ids(ids: list[int], dtype: str = "uint16") -> bytes:
-    """Little-endian ids; one that doesn't fit is an error."""
-    a = np.asarray(ids, np.int64)
-    if len(a) and (a.min() < 0 or a.max() > np.iinfo(dtype).max):
-        raise OverflowError(f"id {a.max()} in {dtype}")
-    return a.astype(np.dtype(dtype).newbyteorder("<")).tobytes()
+def world_text(v: Vocab) -> bytes:
+    """Lines of id, Python literal and byte length."""
+    return b"".join(b"%d %s %d\n" % (i, repr(t).encode(), len(t)) for i, t in enumerate(v.tokens) if t is not None)
 
 
-def packed_npy(sequences: list[list[int]], dtype: str = "uint16") -> bytes:
-    out = io.BytesIO()
-    np.save(out, np.asarray(sequences, dtype))
-    return out.getvalue()
+def tekken_json(v: Vocab, special: int = 0, pattern: str = "") -> bytes:
+    """Ranked byte tokens after special tokens, whose names aren't kept."""
+    tokens = [t for t in v.tokens[special:] if t is not None]
+    rows = [{"rank": r, "token_bytes": base64.b64encode(t).decode(), "token_str": None} for r, t in enumerate(tokens)]
+    return json.dumps({"config": {"pattern": pattern, "default_vocab_size": len(tokens) + special, "default_num_special_tokens": special}, "vocab": rows}).encode()
 
 
 def write_shards(packed: DataFrame, path: str, by: list[str]) -> None:
