@@ -64,6 +64,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table of stored() that no later step reads."""
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
 def one_space(text: Column) -> Column:
     """text with each run of white space replaced by one space; null counts as empty. Lone spaces are left as they are, so the pattern matches rarely."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*", " ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, stored
+from .common import discard, stored
 
 
 def _distinct(df: DataFrame) -> DataFrame:
@@ -33,7 +33,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     summed before it is shuffled and its join is split by adaptive execution.
     Each round is written to the shared folder; links halve in depth a round.
     """
-    spark = edges.sparkSession
     now = stored(_distinct(edges.select("a", "b")), "links")
     seen = None
     for _ in range(rounds):
@@ -42,8 +41,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         seen = sums
         after = stored(_small_star(_large_star(now)), "links")
-        for path in {p.rsplit("/", 1)[0] for p in now.inputFiles()}:
-            remove(spark, path)
+        discard(now)
         now = after
     else:
         raise RuntimeError(f"no fixed point in {rounds} rounds")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import documents, fresh, stored
+from .common import discard, documents, fresh, stored
 from .components import components
 from .windows import M, keyed_runs, mix
 
@@ -34,6 +34,8 @@ RUN, BLOCK = 20_000, 10_000
 GATHER = 200_000
 #: Shingle sets of a candidate group that one task compares; beyond, blocks of so many are compared in pairs.
 SETS = 2000
+#: Bytes of the shingle sets of a block.
+SET_BYTES = 16 << 20
 #: Keys of a shingle set, of so many MinHash values each: sets alike to 0.8 share a key in 998 of 1,000 cases, wherever they differ.
 BANDS, ROWS = 16, 5
 
@@ -210,7 +212,7 @@ def golay_links(nodes: DataFrame, node: str, columns: list[str], limits: list) -
 
 
 def simhash_components(df: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of df: id, fingerprint (16 hex digits), component_id, n_links of its fingerprint in the kept forest.
+    """One row for each row of df: id, fingerprint (16 hex digits), component_id.
 
     Fingerprints link at 4 bits or fewer. component_id is the smallest id
     that can be reached over links, its own included. Null and blank texts have
@@ -363,8 +365,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     0.8 or more, which is computed exactly. Candidates share a MinHash key of
     their sets, or are found by the Golay keys of a fingerprint of word pairs
     (search_bits) and 128 bits of the shingles (verify_bits). Their groups are
-    then compared set by set, whatever their fingerprints. Rows with null ids are left out. Texts without
-    words are copies of one another; of rows that share an id one text is compared.
+    then compared set by set, whatever their fingerprints. Rows with null ids are left out; ids must be
+    integers, or text that Spark casts to such. Texts without words are copies of one another; of rows that share an id one text is compared.
     """
     fps = stored(pair_fingerprints(df.filter(F.col(id_col).isNotNull()), id_col, text_col, shingle), "fps")
     columns, limits = ["fp", "v0", "v1"], [search_bits, None, verify_bits]
@@ -374,13 +376,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = components(stored(near.distinct(), "near"))
     groups = stored(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "groups")
     members = stored(with_sets(df, classes.drop("n").join(groups, "node"), shingle, id_col, text_col), "sets")
-    big = stored(members.groupBy("root").agg(F.count("*").alias("c")).filter(F.col("c") > SETS), "big")
+    blocks = F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum(F.octet_length("own")) / SET_BYTES)).cast("int")
+    big = stored(members.groupBy("root").agg(blocks.alias("blocks")).filter("blocks > 1"), "big")
     links = jaccard_links(members.join(big, "root", "left_anti"), ["root"], limits, similarity)
     if not big.isEmpty():  # blocks of a group in pairs, so that a task holds two at most
-        rows = members.join(big, "root").withColumn("blocks", F.ceil(F.col("c") / SETS).cast("int")).withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = members.join(big, "root").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("at", "other"), "hi": F.greatest("at", "other")})
         links = links.unionByName(jaccard_links(rows, ["root", "lo", "hi"], limits, similarity))
-    roots = components(stored(links.distinct(), "alike")).withColumnRenamed("root", "top")
+    links = stored(links.distinct(), "alike")
+    discard(members)
+    roots = components(links).withColumnRenamed("root", "top")
     tops = roots.select(F.col("top").alias("node"), "top").distinct()
     named = classes.join(roots.unionByName(tops), "node", "left").withColumn("keep_id", F.coalesce("top", "node"))
     named = named.filter((F.col("n") > 1) | F.col("top").isNotNull()).select(F.xxhash64(*columns, "w").alias("k"), "keep_id", "n", *(F.col(c).alias(f"{c}2") for c in (*columns, "w")))

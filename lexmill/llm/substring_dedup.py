@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, free, stored
+from .common import discard, documents, free, stored
 from .windows import NEEDS, RESOLVED, keyed_documents, read_lists, resolved, segment_rows, united
 
 WINDOW, GRAM = 13, 6
@@ -171,6 +171,7 @@ def drop_repeated_passages(df: DataFrame, window: int = WINDOW, gram: int = GRAM
     parts.append(stored(factors(texts.join(big, "k", "left_anti").select(texts.columns), window), "factors"))
     if not big.isEmpty():
         parts.append(stored(factors_by_hash(texts.join(big, "k", "left_semi"), window), "factors"))
+    discard(texts)
     free(spark)
     found = parts[0]
     for p in parts[1:]:

@@ -39,6 +39,8 @@ class Settings:
     #: The training sample: so many toxic rows at most, and so many others for each toxic one.
     toxic_rows: int = 1000
     clean_for_each: int = 4
+    #: Of a text of the sample, so many characters at most: those at its beginning and its end.
+    sample_chars: int = 1 << 18
 
 
 def grams(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str = "d
     ids = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     draw = F.xxhash64("id", F.lit(3))
     sample = ids.filter("y = 1").orderBy(draw, "id").limit(settings.toxic_rows).unionByName(ids.filter("y = 0").orderBy(draw, "id").limit(settings.toxic_rows * settings.clean_for_each))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "id").filter("t IS NOT NULL").select("y", "t").repartition(1).sortWithinPartitions(F.xxhash64("t", F.lit(3)), "t")
+    half = settings.sample_chars // 2
+    part = F.when(F.length("t") > 2 * half, F.concat(F.substring("t", 1, half), F.lit(" "), F.substring("t", -half, half))).otherwise(F.col("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "id").filter("t IS NOT NULL").select("y", part.alias("t")).repartition(1).sortWithinPartitions(F.xxhash64("t", F.lit(3)), "t")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts, labels = [], []
@@ -224,8 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str = "d
 def toxicity(df: DataFrame, docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """df with score and predicted added, learned from the texts of docs that labels (id, label) covers.
 
-    A bounded sample is learned from (Settings.toxic_rows and clean_for_each);
-    every text of df is scored whole. A null or blank text has no words and gets
+    A bounded sample is learned from (Settings.toxic_rows, clean_for_each and
+    sample_chars; of words that one text of it has alone, one in rare_words); every text of df is scored whole. A null or blank text has no words and gets
     the score of the bias alone. With no labelled rows, or one class only, all
     texts get one score. Labels other than 0 and 1 are passed over; of several
     labels of an id the largest counts. Columns score and predicted of df itself

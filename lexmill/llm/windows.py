@@ -86,6 +86,8 @@ NORMAL, RESOLVED, NEEDS, MARK = 0, 1, 2, 3
 #: Segments of an anchor that a task deals out normally; the anchor's further ones are hot. In unordered mode what is hot costs a row for each window.
 HOT_ANCHOR, HOT_UNORDERED = 64, 1000
 ROWS = 400_000
+#: Bytes of rows that a task gathers at a time.
+PIECE = 64 << 20
 #: Windows of a text that are looked at together; a segment that is cut there is compared window by window.
 TOGETHER = 1 << 19
 
@@ -219,21 +221,22 @@ def segment_rows(docs: DataFrame, split, hashes, gram: int, window: int, ordered
 
 
 def keyed_runs(batches: Iterator[pa.RecordBatch], rows: int = ROWS, key: int = 0) -> Iterator[list[np.ndarray]]:
-    """Columns of a sorted partition in pieces of some rows that don't cut through a key."""
-    held, size = [], 0
+    """Columns of a sorted partition in pieces of some rows, or some MB, that don't cut through a key."""
+    held, size, weight = [], 0, 0
     for b in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         if not len(cols[0]):
             continue
         held.append(cols)
         size += len(cols[0])
-        if size < rows:
+        weight += b.nbytes
+        if size < rows and weight < PIECE:
             continue
         cols = [np.concatenate(x) for x in zip(*held, strict=True)]
         cut = int(np.searchsorted(cols[key], cols[key][-1]))
         if cut:
             yield [c[:cut] for c in cols]
-        held, size = [[c[cut:] for c in cols]], len(cols[0]) - cut
+        held, size, weight = [[c[cut:] for c in cols]], len(cols[0]) - cut, weight if not cut else 0
     if size:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 

@@ -68,7 +68,7 @@ def test_exact_dedup(spark, docs, rows, empty, tmp_path):
     spark.createDataFrame([(-5, rows[4][1], *rows[4][2:])], SCHEMA).write.mode("append").parquet(path)
     assert exact_dedup.streaming_exact_dedup(spark, path, checkpoint=f"file://{check}").filter("keep_id = -5").count() == len(groups[norm(rows[4][1])]) + 1
     # a folder beside it whose name begins alike is another table; a single file may be read too
-    spark.createDataFrame([(-9, rows[4][1], *rows[4][2:])], SCHEMA).write.parquet(f"{path}_old")
+    spark.createDataFrame([(-9, rows[4][1], *rows[4][2:])], SCHEMA).coalesce(1).write.parquet(f"{path}_old")
     assert exact_dedup.streaming_exact_dedup(spark, path).filter("keep_id = -9").count() == 0
     assert exact_dedup.streaming_exact_dedup(spark, str(next((tmp_path / "d.parquet_old").glob("*.parquet")))).count() == 1
     empty.write.parquet(str(tmp_path / "e.parquet"))

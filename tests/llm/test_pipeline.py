@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexmill.llm.common import documents, stored
@@ -106,3 +107,26 @@ def test_run_agrees(spark, sf_dir, stages):
     got = corpus_pipeline.run(spark, sf_dir)
     key = lambda df: sorted((r.doc_id, r.shard, r.slot) for r in df.select("doc_id", "shard", "slot").collect())
     assert key(got) == key(stages["sharding"])
+
+
+def test_stages_take_any_rows(spark, tmp_path):
+    """Nulls in any column, blanks, ties, repeated rows, a long text, columns with clashing names, and empty tables."""
+    spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "how many apples are left for the two of them after a week"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = " ".join(f"w{i % 977}" for i in range(40_000))
+    rows = [(1, "dreadful words here"), (2, "kind words there"), (3, None), (4, ""), (5, " \n"), (None, "no id"), (6, "same text again"), (7, "same text again"), (6, "same text again"), (8, long), (9, "so how many apples are left for the two of them after a week then")]
+    names = ["score", "predicted", "keep_id", "item", "item_id", "w", "taken", "size", "finish", "_turn", "_id", "_h", "shard", "slot", "key", "fp", "_gone", "_found", "t"]
+    df = spark.createDataFrame([(*r, None, "s" if i % 3 else None, i) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    wide = df.select("*", *(F.lit(1).alias(c) for c in names if c not in ("shard", "slot", "size")))
+    kept = {}
+    for name, f in corpus_pipeline.STAGES:
+        got = f(spark, wide, str(tmp_path))
+        kept[name] = sorted((r.doc_id is None, r.doc_id or 0) for r in got.select("doc_id").collect())
+        if name != "sharding":
+            assert got.columns == wide.columns
+        assert f(spark, wide.limit(0), str(tmp_path)).count() == 0
+    ids = lambda name: [None if n else i for n, i in kept[name]]
+    assert ids("near_duplicates") == [1, 2, 3, 6, 6, 8, 9, None]
+    assert ids("decontamination") == [1, 2, 3, 4, 5, 6, 6, 7, 8, None]
+    assert ids("sharding") == [1, 2, 3, 4, 5, 6, 6, 7, 8, 9, None]
+    assert not set(ids("mixing")) & {3, 4, 5} and 8 in ids("mixing")
