@@ -6,6 +6,7 @@ import heapq
 import math
 import random
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 #: Stands for a byte that no token covers.
 NONE = (1 << 32) - 1
@@ -240,8 +241,57 @@ def wordpiece(word: bytes, v: Vocab) -> list[int]:
     return out
 
 
+@dataclass(frozen=True)
+class Traits:
+    """What a token looks like: words that begin in it, and what it opens and closes with."""
+
+    words: int
+    opens_letter: bool
+    closes_letter: bool
+    opens_space: bool
+    opens_marker: bool
+    closes_marker: bool
+    uniform: bool
+
+
+#: The bytes that mark capitals and deleted spaces.
+MARKERS = (0x0E, 0x0F, 0x11, 0x7F)
+
+
+def _kind(c: str) -> str:
+    return "marker" if ord(c) in MARKERS else "letter" if c.isalpha() else "number" if c.isnumeric() else "space" if c == " " else "other"
+
+
+@lru_cache(1 << 17)
+def traits(token: bytes) -> Traits:
+    kinds = [_kind(c) for c in token.decode("utf-8", "replace")]
+    words = sum(a == "space" and b in ("letter", "number") for a, b in zip(kinds, kinds[1:], strict=False))
+    first, last = (kinds[0], kinds[-1]) if kinds else ("", "")
+    inner = set(kinds[1:] if first == "space" and len(kinds) > 1 else kinds)
+    uniform = inner <= {"letter"} or inner <= {"other"} or inner <= {"number", "space"}
+    return Traits(words, first == "letter", last == "letter", first == "space", first == "marker", last == "marker", bool(kinds) and uniform)
+
+
+#: What counts for and against two tokens in a row.
+WORD, SPLIT_WORD, SPLIT_MARKER, CUT_WORD, SHORTER, NO_FURTHER = 100, 103, 100, 3, 100, 10_000
+
+
+def pair_score(first: bytes, second: bytes, after: bytes, longest: int | None = None) -> int:
+    """How good it is to take first and then second, with after behind them. For an alternative, longest is the length of the longest first token."""
+    a, b = traits(first), traits(second)
+    ahead = _kind(after[:1].decode("latin-1")) if after else ""
+    reach = len(first) + len(second)
+    score = reach + a.uniform + (b.uniform if second else 0) + max(0, a.words - 1) + max(0, b.words - 1) + b.opens_space + (ahead == "space")
+    score += WORD * (a.words + b.words + (ahead not in ("", "letter")))
+    score -= SPLIT_WORD * (a.closes_letter and b.opens_letter) + SPLIT_MARKER * (a.closes_marker and b.opens_marker) + CUT_WORD * (b.closes_letter and ahead == "letter")
+    if longest is not None:
+        score -= SHORTER * (reach < longest) + NO_FURTHER * (reach == longest)
+    return score
+
+
 def ungreedy(piece: bytes, v: Vocab, alternates: int = 5) -> list[int]:
-    """Longest match with a look ahead: the longest token and up to some shorter ones are scored by how far they and the best next token reach, by word starts, and a penalty for not being the longest."""
+    """Longest match with a look ahead: the longest token and up to some shorter ones are scored together with the longest token that follows each; the first of the best wins. Markers are ordinary bytes: no token is put in that deletes a space."""
+
     def matches(i: int) -> list[tuple[int, int]]:
         return [(size, at) for size in range(min(v.longest, len(piece) - i), 0, -1) if (at := v.by_bytes.get(piece[i : i + size])) is not None]
 
@@ -254,9 +304,9 @@ def ungreedy(piece: bytes, v: Vocab, alternates: int = 5) -> list[int]:
             continue
         best, choice = -math.inf, found[0]
         for k, (size, at) in enumerate(found):
-            after = matches(i + size)[:1]
-            reach = size + (after[0][0] if after else 0)
-            score = reach + (0.5 if piece[i + size : i + size + 1] == b" " else 0) - (1 if k else 0) - (1 if i + size < len(piece) and not after else 0)
+            end = i + size
+            then = next(iter(matches(end)), (0, 0))[0]
+            score = pair_score(piece[i:end], piece[end : end + then], piece[end + then : end + then + 1], found[0][0] if k else None)
             if score > best:
                 best, choice = score, (size, at)
         out.append(choice[1])

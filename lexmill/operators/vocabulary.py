@@ -61,6 +61,45 @@ def doctor(v: DataFrame, special: list[str] = ()) -> DataFrame:
     return missing.unionByName(unreachable).unionByName(issue(twice, "error", "duplicate")).unionByName(empty).unionByName(spaces).unionByName(shadow)
 
 
+#: Scores of log probabilities beyond it are out of range.
+SANE = 1000.0
+
+
+def doctor_scores(v: DataFrame) -> DataFrame:
+    """(severity, check, id) of a unigram vocabulary (id, hex, length, score): scores that are no numbers, infinite or out of range, and bytes that neither a token of their own nor a <0x..> token covers (their number)."""
+    bad = F.when(F.isnan("score") | F.col("score").isNull() | (F.abs("score") == float("inf")), "error").when(F.abs("score") > SANE, "warning")
+    scores = v.withColumn("severity", bad).filter("severity IS NOT NULL").select("severity", F.lit("score_sanity").alias("check"), F.col("id").cast("long").alias("id"))
+    named = F.upper(F.decode(F.unhex(F.regexp_extract("hex", "^3C3078((?:3[0-9]|[46][1-6]){2})3E$", 1)), "UTF-8"))
+    reached = v.select(F.when(F.col("length") == 1, F.col("hex")).otherwise(named).alias("hex")).filter("hex <> ''").distinct()
+    missing = v.sparkSession.range(256).select(F.lpad(F.hex("id"), 2, "0").alias("hex")).join(reached, "hex", "left_anti")
+    cover = missing.agg(F.count("*").alias("id")).filter("id > 0").select(F.lit("info").alias("severity"), F.lit("unk_coverage").alias("check"), "id")
+    return scores.unionByName(cover)
+
+
+def doctor_continuations(v: DataFrame, prefix_hex: str = "2323") -> DataFrame:
+    """Tokens that carry on a word, by their prefix, and whose rest is no token itself."""
+    rest = v.filter(F.col("hex").startswith(prefix_hex) & (F.length("hex") > len(prefix_hex))).select("id", F.expr(f"substring(hex, {len(prefix_hex) + 1})").alias("hex"))
+    return rest.join(v.select("hex"), "hex", "left_anti").select(F.lit("info").alias("severity"), F.lit("continuation_consistency").alias("check"), F.col("id").cast("long").alias("id"))
+
+
+def doctor_branches(v: DataFrame) -> DataFrame:
+    """For a model that weighs shorter tokens: lengths 1 to 6 and over (as far as tokens reach) that no token has, an error if there are single bytes alone, and how many tokens begin with a deleted space."""
+    spark = v.sparkSession
+    sizes = v.select(F.least(F.lit(6), F.col("length")).alias("n"))
+    most = sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    single = most.filter("most = 1").select(F.lit("error").alias("severity"), F.lit("branch_coverage").alias("check"), F.lit(1).cast("long").alias("id"))
+    wanted = spark.range(1, 7).join(most.filter("most > 1"), F.col("id") <= F.col("most")).select(F.col("id").alias("n"))
+    dead = wanted.join(sizes.distinct(), "n", "left_anti").select(F.lit("warning").alias("severity"), F.lit("branch_coverage").alias("check"), F.col("n").cast("long").alias("id"))
+    marked = v.agg(F.count(F.when(F.col("hex").startswith("7F20"), 1)).alias("id")).select(F.lit("info").alias("severity"), F.lit("lilbuf_prefix_count").alias("check"), "id")
+    return single.unionByName(dead).unionByName(marked)
+
+
+def doctor_roundtrip(texts: DataFrame, decoded: DataFrame, check: str) -> DataFrame:
+    """Texts (id, text) that don't come back from their tokens, decoded being (id, text); one without tokens counts as empty."""
+    both = texts.join(decoded.withColumnRenamed("text", "back"), "id", "left").filter(F.coalesce("back", F.lit("")) != F.coalesce("text", F.lit("")))
+    return both.select(F.lit("error").alias("severity"), F.lit(check).alias("check"), F.col("id").cast("long").alias("id"))
+
+
 def extended(v: DataFrame, new: DataFrame, encode_new: DataFrame) -> DataFrame:
     """(id, hex, source, weight): how to start the embedding of each appended token: the mean of the tokens it is now encoded to (encode_new: piece_hex, ids)."""
     base = v.agg(F.max("id").alias("m")).first().m

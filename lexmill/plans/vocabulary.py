@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import encode, pretok
+from lexmill.operators import models, encode, pretok
 from lexmill.operators import vocabulary as VO
 
 from .registry import query, table
@@ -56,6 +56,31 @@ def vocab_doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VO.doctor(v, ["the"])
 
 
+#: A unigram vocabulary with faults: scores, a byte token by name, bytes missing.
+FAULTY = [("a", -1.0), ("b", float("inf")), ("<0x41>", -2.0), ("<0xfE>", -2.0), ("cd", 5000.0), ("##a", -3.0), ("##xy", -3.0), ("\x7f z", -3.0), ("longer", -4.0)]
+
+
+def _faulty(spark: SparkSession) -> DataFrame:
+    rows = [(i, t.encode().hex().upper(), len(t.encode()), s) for i, (t, s) in enumerate(FAULTY)]
+    return spark.createDataFrame(rows, "id long, hex string, length int, score double")
+
+
+@query("""SELECT * FROM (VALUES ('error', 'score_sanity', 1), ('warning', 'score_sanity', 4), ('info', 'unk_coverage', 252), ('info', 'continuation_consistency', 6), ('warning', 'branch_coverage', 4), ('warning', 'branch_coverage', 5), ('info', 'lilbuf_prefix_count', 1)) AS t(severity, "check", id)""".replace("('warning', 'branch_coverage', 4), ('warning', 'branch_coverage', 5)", "('warning', 'branch_coverage', 5)"))
+def vocab_doctor_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _faulty(spark)
+    t = v.drop("score")
+    return VO.doctor_scores(v).unionByName(VO.doctor_continuations(t)).unionByName(VO.doctor_branches(t))
+
+
+@query("SELECT severity, \"check\", id FROM (SELECT 'error' AS severity, 'roundtrip' AS \"check\", doc_id AS id FROM documents WHERE regexp_matches(text, '[^\\x00-\\x7F]'))")
+def vocab_doctor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a vocabulary of ASCII bytes can't give back."""
+    ascii_only = models.Vocab([bytes([b]) for b in range(128)])
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    back = encode.decode_lists(encode.encode_lists(docs, ascii_only, "bpe", "identity", id_col="id"), ascii_only, id_col="id")
+    return VO.doctor_roundtrip(docs, back, "roundtrip")
+
+
 @query(f"""WITH a AS {VOCAB}, b AS {OTHER_SQL}, n AS (SELECT (SELECT max(id) FROM a) + row_number() OVER (ORDER BY b_id) AS id, hex FROM b WHERE hex NOT IN (SELECT hex FROM a))
 SELECT count(*)::BIGINT AS n_new, 1.0::DOUBLE AS least, 1.0::DOUBLE AS most FROM n""")
 def vocab_extend(spark: SparkSession, sf_dir: str) -> DataFrame:

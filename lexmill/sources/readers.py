@@ -215,7 +215,59 @@ def harmony(ranks: Vocab, special: dict[str, int]) -> Vocab:
     return Vocab(tokens, ranks.ranks)
 
 
-MAGIC = b"LXV1"
+#: How a binary vocabulary begins; a byte with its version, 1 to 3, follows.
+MAGIC = b"ZTM"
+#: The header's capcode byte.
+CAPCODES = ("none", "forward_delete", "full", "full_printable")
+#: Bits of the header's normalizer byte.
+NORMALIZERS = {1: "nfd", 2: "lowercase", 4: "accents", 8: "quotemarks", 16: "collapse", 32: "trim", 64: "leading_space", 128: "unix_lines"}
+
+
+class _Bytes:
+    """Little-endian numbers and runs of bytes, one after the other."""
+
+    def __init__(self, data: bytes, at: int = 0):
+        self.data, self.at = data, at
+
+    def take(self, n: int) -> bytes:
+        if self.at + n > len(self.data):
+            raise ValueError("the file ends too early")
+        self.at += n
+        return self.data[self.at - n : self.at]
+
+    def number(self, size: int = 4) -> int:
+        return int.from_bytes(self.take(size), "little")
+
+
+def parse_binary(data: bytes) -> dict:
+    """A binary vocabulary: vocab, version, capcode, normalizer (names), aliases [(id, bytes)] from version 2, twins [(id, key, [(id, bytes consumed)])] from version 3."""
+    f = _Bytes(data)
+    if f.take(3) != MAGIC:
+        raise ValueError("not a binary vocabulary")
+    version, again, capcode, _, norm = (f.number(1) for _ in range(5))
+    if version != again or not 1 <= version <= 3 or capcode >= len(CAPCODES):
+        raise ValueError("version or capcode of a binary vocabulary")
+    count, unk, total = (f.number() for _ in range(3))
+    raw = f.take(total)
+    ends = struct.unpack(f"<{count + 1}I", f.take(4 * (count + 1)))
+    if ends[0] or (count and ends[-1] != total) or any(a > b for a, b in zip(ends, ends[1:], strict=False)) or (count and unk >= count):
+        raise ValueError("offsets of a binary vocabulary")
+    f.take(count)  # words of each token, which the bytes tell as well
+
+    def known(i: int) -> int:
+        if i >= count:
+            raise ValueError(f"id {i} of a binary vocabulary")
+        return i
+
+    aliases = [(known(f.number()), f.take(f.number())) for _ in range(f.number())] if version >= 2 else []
+    twins = [(known(f.number()), f.take(f.number()), [(known(f.number()), f.number()) for _ in range(f.number(1))]) for _ in range(f.number())] if version == 3 else []
+    if any(not x for _, x in aliases) or any(not k or len(a) > 2 for _, k, a in twins):
+        raise ValueError("an alias without bytes, or too many alternatives")
+    v = Vocab([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], unk=unk)
+    for i, x in aliases:
+        v.by_bytes.setdefault(x, i)
+        v.longest = max(v.longest, len(x))
+    return {"vocab": v, "version": version, "capcode": CAPCODES[capcode], "normalizer": [n for bit, n in NORMALIZERS.items() if norm & bit], "aliases": aliases, "twins": twins}
 
 
 def detect(head: bytes, name: str = "") -> str:
@@ -246,9 +298,5 @@ def load(data: bytes, name: str = "") -> Vocab:
     kind = detect(data, name)
     if kind == "unknown":
         raise ValueError("unknown vocabulary format")
-    if kind == "binary":
-        from .writers import parse_binary
-
-        return parse_binary(data)
-    got = {"tekken": parse_tekken, "tokenizer_json": parse_tokenizer_json, "ranks": parse_ranks, "world": parse_world_vocab, "piece_model": parse_piece_model}[kind](data)
+    got = {"binary": parse_binary, "tekken": parse_tekken, "tokenizer_json": parse_tokenizer_json, "ranks": parse_ranks, "world": parse_world_vocab, "piece_model": parse_piece_model}[kind](data)
     return got if isinstance(got, Vocab) else got["vocab"]

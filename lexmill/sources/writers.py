@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import html
-import io
 import json
 import struct
 
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from lexmill.operators.models import Vocab
 
-from .readers import MAGIC
+from .readers import CAPCODES, MAGIC, NORMALIZERS
 
 
 def ranks_text(v: Vocab) -> bytes:
@@ -63,23 +62,23 @@ def piece_model(v: Vocab, types: list[int] | None = None, kind: int = 1) -> byte
     return body + field(2, varint(3 << 3) + varint(kind))
 
 
-def binary(v: Vocab) -> bytes:
-    """Magic, count, then length and bytes of each token; a gap has length 2^32-1."""
-    out = io.BytesIO()
-    out.write(MAGIC + struct.pack("<I", len(v.tokens)))
-    for t in v.tokens:
-        out.write(struct.pack("<I", 0xFFFFFFFF if t is None else len(t)) + (t or b""))
-    return out.getvalue()
-
-
-def parse_binary(data: bytes) -> Vocab:
-    (n,), at, tokens = struct.unpack_from("<I", data, 4), 8, []
-    for _ in range(n):
-        (size,) = struct.unpack_from("<I", data, at)
-        at += 4
-        tokens.append(None if size == 0xFFFFFFFF else data[at : at + size])
-        at += 0 if size == 0xFFFFFFFF else size
-    return Vocab(tokens)
+def binary(v: Vocab, version: int = 3, capcode: str = "none", normalizer: list[str] = (), aliases: list[tuple[int, bytes]] = (), twins: list[tuple[int, bytes, list[tuple[int, int]]]] = ()) -> bytes:
+    """A header, the bytes of all tokens, where each ends, the words in each; then aliases from version 2 and twins with their alternatives from version 3."""
+    from lexmill.operators.models import traits
+
+    tokens = [t or b"" for t in v.tokens]
+    number = lambda n, size=4: n.to_bytes(size, "little")
+    ends = [0]
+    for t in tokens:
+        ends.append(ends[-1] + len(t))
+    norm = sum(bit for bit, n in NORMALIZERS.items() if n in normalizer)
+    head = MAGIC + bytes([version, version, CAPCODES.index(capcode), min(255, max(map(len, tokens), default=0)), norm])
+    out = [head, number(len(tokens)), number(v.unk), number(ends[-1]), *tokens, *map(number, ends), bytes(min(255, traits(t).words) for t in tokens)]
+    if version >= 2:
+        out += [number(len(aliases)), *(number(i) + number(len(x)) + x for i, x in aliases)]
+    if version >= 3:
+        out += [number(len(twins)), *(number(i) + number(len(k)) + k + number(len(a), 1) + b"".join(number(x) + number(n) for x, n in a) for i, k, a in twins)]
+    return b"".join(out)
 
 
 def world_text(v: Vocab) -> bytes:

@@ -268,6 +268,18 @@ def test_other_trainers(spark):
     assert new and not set(new) & set(V.tokens) and report["chunks"] == 1
 
 
+def test_ungreedy():
+    """Cases that the score decides."""
+    ids = lambda tokens, text: models.ungreedy(text, models.Vocab(tokens))
+    assert ids([b"a", b"ab", b"c", b"abc"], b"abc") == [3]
+    assert ids([b"<unk>", b" the", b"the", b" quick", b"quick"], b" the quick") == [1, 3]
+    assert ids([b" a", b" ab", b"b c", b" cat", b"c", b"b", b"a", b"t", b" "], b" ab cat") == [1, 3]
+    t = models.traits(b" the big")
+    assert t.words == 2 and t.opens_space and t.closes_letter and not t.opens_letter
+    assert models.pair_score(b" in", b"side", b"") == 7 + 2 + 100 - 103
+    assert models.pair_score(b" a", b" b", b" ", 2) - models.pair_score(b" a", b" b", b" ") == 0
+
+
 def test_formats():
     small = models.Vocab([b"a", b"b", b"c", b"ab", b"abc"])
     data = writers.ranks_text(small)
@@ -281,8 +293,16 @@ def test_formats():
     m = writers.piece_model(sp, [2, 1, 1])
     back = readers.parse_piece_model(m)
     assert readers.detect(m) == "piece_model" and back["vocab"].tokens == sp.tokens and back["vocab"].scores == sp.scores and back["types"] == [2, 1, 1]
-    gap = models.Vocab([b"a", None, b"bc"])
-    assert readers.load(writers.binary(gap)).tokens == gap.tokens
+    for version in (1, 2, 3):
+        own = models.Vocab([b"a", b"bc", b" the", b""], unk=1)
+        raw = writers.binary(own, version, "full", ["nfd", "trim"], [(1, b"BC")], [(2, b"D the", [(0, 1), (1, 2)])])
+        got = readers.parse_binary(raw)
+        assert raw[:4] == b"ZTM" + bytes([version]) and got["vocab"].tokens == own.tokens and got["vocab"].unk == 1 and got["capcode"] == "full" and got["normalizer"] == ["nfd", "trim"]
+        assert got["aliases"] == ([(1, b"BC")] if version > 1 else []) and got["twins"] == ([(2, b"D the", [(0, 1), (1, 2)])] if version > 2 else [])
+        assert readers.detect(raw) == "binary" and readers.load(raw).by_bytes.get(b"BC") == (1 if version > 1 else None)
+        for cut in (3, 15, len(raw) - 1):
+            with pytest.raises(ValueError):
+                readers.parse_binary(raw[:cut])
     assert readers.load(b"1 'a' 1\n3 b'\\xff\\xfe' 2\n").tokens == [None, b"a", None, b"\xff\xfe"]
     tk = json.dumps({"config": {"pattern": "x", "default_vocab_size": 4, "default_num_special_tokens": 2}, "vocab": [{"rank": 1, "token_bytes": "Yg=="}, {"rank": 0, "token_bytes": "YQ=="}, {"rank": 2, "token_bytes": "Yw=="}]}).encode()
     assert readers.detect(tk) == "tekken" and readers.load(tk).tokens == [None, None, b"a", b"b"]
