@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, documents, free, stored
+from .simhash import dealt_join
 from .windows import NEEDS, RESOLVED, keyed_documents, read_lists, resolved, segment_rows, united
 
 WINDOW, GRAM = 13, 6
@@ -131,8 +132,10 @@ def factors_by_hash(texts: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["h", "l", "doc", "th", "a"])
 
     rows = stored(texts.select("doc", "th", "a", "n", "words").mapInArrow(run, "h long, l long, doc long, th long, a int"), "windows")
-    least = rows.groupBy("h", "l").agg(F.min(F.struct("doc", "a")).alias("least"), F.count("*").alias("c")).filter("c > 1").select("h", "l", "least")
-    return rows.join(least, ["h", "l"]).filter("doc > least.doc").select("doc", "th", "a", F.lit(1).alias("n"), F.col("least.doc").alias("s"), F.col("least.a").alias("k"))
+    rows = rows.select(F.struct("h", "l").alias("w"), "doc", "th", "a")
+    least = rows.groupBy("w").agg(F.min(F.struct("doc", "a")).alias("least"), F.count("*").alias("c")).filter("c > 1").withColumnRenamed("w", "w2")
+    found = dealt_join(rows, "w", least, "w2", "c").filter("doc > least.doc")
+    return found.select("doc", "th", "a", F.lit(1).alias("n"), F.col("least.doc").alias("s"), F.col("least.a").alias("k"))
 
 
 def parse(x: np.ndarray, ref: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

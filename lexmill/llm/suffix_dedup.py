@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import bwt
 from .common import documents, free, stored
+from .simhash import dealt_join
 from .windows import MARK, NEEDS, RESOLVED, keyed_documents, keyed_runs, mix, read_lists, resolved, run_hashes, segment_rows, united
 
 WINDOW, GRAM = 400, 200
@@ -111,8 +112,9 @@ def repeated_by_hash(texts: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(x.view(np.int64)), pa.array(np.full(n, doc)), pa.array(np.full(n, th)), pa.array((a + np.arange(n)).astype(np.int32)), pa.array(np.full(n, st, np.int8))], ["h", "l", "doc", "th", "a", "st"])
 
     rows = stored(texts.mapInArrow(explode, "h long, l long, doc long, th long, a int, st byte"), "hot")
-    twice = rows.groupBy("h", "l").agg(F.count("*").alias("c")).filter("c > 1").select("h", "l")
-    return rows.filter(F.col("st") == NEEDS + 8).join(twice, ["h", "l"]).select("doc", "th", "a", F.lit(1).alias("n"), F.lit(1).cast("byte").alias("st"))
+    rows = rows.select(F.struct("h", "l").alias("w"), "doc", "th", "a", "st")
+    twice = rows.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").withColumnRenamed("w", "w2")
+    return dealt_join(rows.filter(F.col("st") == NEEDS + 8), "w", twice, "w2", "c").select("doc", "th", "a", F.lit(1).alias("n"), F.lit(1).cast("byte").alias("st"))
 
 
 def drop_repeated_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, shard_bytes: int = 1 << 18, hot: int | None = None, bucket: int = BUCKET) -> DataFrame:
