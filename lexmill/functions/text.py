@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 from functools import cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +36,14 @@ def identity(c: Column) -> Column:
 
 
 def unicode_form(form: str) -> Callable[[Column], Column]:
-    """NFC, NFD, NFKC or NFKD."""
-    return lift(lambda t: unicodedata.normalize(form, t))
+    """NFC, NFD, NFKC or NFKD; texts of ASCII are so already."""
+    normal = unicodedata.normalize
+
+    @F.arrow_udf(T.StringType())
+    def run(a: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or t.isascii() else normal(form, t) for t in a.to_pylist()], pa.string())
+
+    return run
 
 
 def replace_literal(c: Column, old: str, new: str) -> Column:
@@ -103,9 +110,12 @@ byte_level_encode, byte_level_decode = lift(to_byte_level), lift(from_byte_level
 # --- BERT and SentencePiece --------------------------------------------------
 
 
+#: The blocks of CJK ideographs.
+CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
+
+
 def is_cjk(c: str) -> bool:
-    x = ord(c)
-    return any(a <= x <= b for a, b in ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F)))
+    return any(a <= ord(c) <= b for a, b in CJK)
 
 
 def bert_text(text: str, clean: bool = True, cjk: bool = True, strip_accents: bool | None = None, lower: bool = True) -> str:
@@ -153,6 +163,7 @@ def charsmap(rules: dict[str, str]) -> Callable[[Column], Column]:
 
 # --- capitals as marks -------------------------------------------------------
 
+#: The marks of a capital, a word of capitals and a deleted space. Texts that hold them don't come back as they were.
 CAP, WORD, DEL = "\x0e", "\x0f", "\x11"
 
 
@@ -270,6 +281,7 @@ def project_span(origin: list[int], start: int, end: int, source_bytes: int) ->
 
 # --- machine code ---------------------------------------------------------------
 
+#: Prefix bytes of instructions.
 PREFIXES = {0x66, 0x67, 0xF0, 0xF2, 0xF3, 0x2E, 0x36, 0x3E, 0x26, 0x64, 0x65, *range(0x40, 0x50)}
 
 

@@ -16,14 +16,11 @@ from pyspark.sql import types as T
 
 from lexmill.functions.text import byte_level_encode
 
-_CON = r"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])"
-_UP, _LOW = r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]", r"[\p{Ll}\p{Lm}\p{Lo}\p{M}]"
-_PRE, _TAIL = r"[^\r\n\p{L}\p{N}]?", r"\s*[\r\n]+|\s+(?!\S)|\s+"
-
+#: The published splitting grammars.
 PATTERNS = {
-    "cl100k": rf"(?U){_CON}|{_PRE}\p{{L}}+|\p{{N}}{{1,3}}| ?[^\s\p{{L}}\p{{N}}]+[\r\n]*|{_TAIL}",
-    "o200k": rf"(?U){_PRE}{_UP}*{_LOW}+(?:{_CON})?|{_PRE}{_UP}+{_LOW}*(?:{_CON})?|\p{{N}}{{1,3}}| ?[^\s\p{{L}}\p{{N}}]+[\r\n/]*|{_TAIL}",
-    "tekken": rf"(?U){_PRE}{_UP}*{_LOW}+|{_PRE}{_UP}+{_LOW}*|\p{{N}}| ?[^\s\p{{L}}\p{{N}}]+[\r\n/]*|{_TAIL}",
+    "cl100k": r"(?U)'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",
+    "o200k": r"(?U)[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?:'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL]))?|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?:'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL]))?|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)|\s+",
+    "tekken": r"(?U)[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)|\s+",
     "gpt2": r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     "digits": r"(?U)\p{N}+|\P{N}+",
     "digits_each": r"(?U)\p{N}|\P{N}+",
@@ -106,6 +103,14 @@ def split_text(text: str, pattern: str, behaviour: str, invert: bool = False) ->
 
 
 def split_pieces(pattern: str, behaviour: str, invert: bool = False) -> Callable[[Column], Column]:
+    """split_text() as a function on columns: one pattern in the JVM, unless matches may be empty or are inverted."""
+    if not invert and regex.fullmatch(pattern, "") is None:
+        gap = rf"(?:(?!{pattern})[\s\S])+"
+        if behaviour == "removed":
+            return lambda c: F.filter(F.regexp_extract_all(c, F.lit(rf"(?U)(?:{pattern})|({gap})"), F.lit(1)), lambda x: x != "")
+        whole = {"isolated": rf"(?:{pattern})|{gap}", "contiguous": rf"(?:{pattern})+|{gap}", "merged_with_previous": rf"(?:{gap})?(?:{pattern})|{gap}", "merged_with_next": rf"(?:{pattern})(?:{gap})?|{gap}"}
+        return lambda c: F.regexp_extract_all(c, F.lit("(?U)" + whole[behaviour]), F.lit(0))
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: split_text(t, pattern, behaviour, invert), na_action="ignore")

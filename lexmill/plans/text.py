@@ -45,18 +45,27 @@ _digest("caps_roundtrip", lambda c: N.caps_decode(N.caps_encode(c)), "text")
 _digest("spaced_roundtrip", lambda c: N.spaced_decode(N.spaced_encode(c)), "text")
 
 
-@query("SELECT doc_id, length(text) + strlen(text) - length(text) AS n_bytes, strlen(text) AS origin_bytes, 0 AS first_origin FROM documents")
+@query("""SELECT doc_id, coalesce(sum(n), 0)::BIGINT AS n_bytes, coalesce(sum(n), 0)::BIGINT AS origin_bytes, coalesce(sum(n * start), 0)::BIGINT AS origins FROM (
+SELECT doc_id, strlen(CASE c WHEN 'ñ' THEN 'nn' WHEN 'a' THEN '' ELSE c END) AS n, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY pos) - strlen(c) AS start
+FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS c FROM (SELECT doc_id, string_split(text, '') AS l FROM documents WHERE text <> ''))) GROUP BY doc_id""")
 def normalize_with_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII lower-casing keeps the byte length; its origin map is the identity."""
-    rows = _docs(spark, sf_dir).select("doc_id", N.origin_column(N.identity)(F.col("text")).alias("o"))
-    return rows.select("doc_id", F.octet_length("o.text").cast("long").alias("n_bytes"), F.size("o.origin").cast("long").alias("origin_bytes"), F.array_min("o.origin").alias("first_origin"))
+    """A kernel that lengthens one letter and drops another: each byte knows where it stems from."""
+    kernel = lambda t: t.replace("ñ", "nn").replace("a", "")
+    rows = _docs(spark, sf_dir).filter("text <> ''").select("doc_id", N.origin_column(kernel)(F.col("text")).alias("o"))
+    total = F.aggregate("o.origin", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", F.octet_length("o.text").cast("long").alias("n_bytes"), F.size("o.origin").cast("long").alias("origin_bytes"), total.alias("origins"))
 
 
-@query("SELECT vec_id, 6 AS n_bytes, 'move' AS first_opcode, 'return' AS last_opcode FROM embeddings")
+@query("""SELECT vec_id, 5 * (vec_id % 5) + vec_id % 3 + 2 * (label % 4) + 1 AS n_bytes, (vec_id % 5)::INT AS moves, (vec_id % 3)::INT AS stacks, (label % 4)::INT AS branches,
+CASE WHEN vec_id % 5 > 0 THEN 'move' WHEN vec_id % 3 > 0 THEN 'stack' WHEN label % 4 > 0 THEN 'branch' ELSE 'return' END AS first_opcode FROM embeddings""")
 def machine_code_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mov eax, 1; ret — classified for each row."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", N.route_column(F.lit(bytes.fromhex("b801000000c3"))).alias("r"))
-    return rows.select("vec_id", F.aggregate("r", F.lit(0), lambda a, x: a + x["length"]).alias("n_bytes"), F.col("r")[0]["opcode"].alias("first_opcode"), F.element_at("r", -1)["opcode"].alias("last_opcode"))
+    """Code of some moves (mov eax, 1), pushes and short branches, and a return, as each row has it."""
+    times = lambda code, n: F.expr(f"repeat('{code}', CAST({n} AS INT))")
+    code = F.unhex(F.concat(times("b801000000", "vec_id % 5"), times("50", "vec_id % 3"), times("7402", "label % 4"), F.lit("c3")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", N.route_column(code).alias("r"))
+    count = lambda kind: F.size(F.filter("r", lambda x: x["opcode"] == kind))
+    total = F.aggregate("r", F.lit(0), lambda a, x: a + x["length"])
+    return rows.select("vec_id", total.cast("long").alias("n_bytes"), count("move").alias("moves"), count("stack").alias("stacks"), count("branch").alias("branches"), F.col("r")[0]["opcode"].alias("first_opcode"))
 
 
 def _lossless(scheme: str):

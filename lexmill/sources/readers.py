@@ -14,7 +14,6 @@ import struct
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexmill.operators.models import Vocab
 
@@ -49,15 +48,16 @@ def avoid_list(texts: DataFrame) -> DataFrame:
     return rows.withColumn("pattern", F.regexp_replace("pattern", "\r+$", "")).filter("pattern <> '' AND NOT startswith(pattern, '#')")
 
 
-SPAN = "span_id string, token_start int, token_end int, byte_start int, byte_end int, text string, role string, entity_id string, embedding array<double>, confidence double, kind string, relation_from_entity_id string, relation_to_entity_id string"
+#: Fields of the exchange of captions with spans.
+SPANS = """schema string, image_id string, original_token_count int, captions array<struct<
+  caption_id: int, section: string, text: string, spans: array<struct<
+    span_id: string, token_start: int, token_end: int, byte_start: int, byte_end: int, text: string, role: string, entity_id: string, embedding: array<double>,
+    confidence: double, kind: string, relation_from_entity_id: string, relation_to_entity_id: string>>>>"""
 
 
 def semantic_spans(values: DataFrame) -> DataFrame:
     """(image_id, caption_id, section, span columns) of JSON documents of captions with spans."""
-    span = T.StructType([T.StructField(n, {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "array<double>": T.ArrayType(T.DoubleType())}[k]) for n, k in (x.split(" ") for x in SPAN.split(", "))])
-    caption = T.StructType().add("caption_id", T.IntegerType()).add("section", T.StringType()).add("text", T.StringType()).add("spans", T.ArrayType(span))
-    schema = T.StructType().add("schema", T.StringType()).add("image_id", T.StringType()).add("original_token_count", T.IntegerType()).add("captions", T.ArrayType(caption))
-    captions = values.select(F.from_json("value", schema).alias("v")).select("v.image_id", F.explode("v.captions").alias("c"))
+    captions = values.select(F.from_json("value", SPANS).alias("v")).select("v.image_id", F.explode("v.captions").alias("c"))
     return captions.select("image_id", "c.caption_id", "c.section", F.explode("c.spans").alias("s")).select("image_id", "caption_id", "section", "s.*")
 
 
