@@ -72,18 +72,33 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h ^ h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _means(values: np.ndarray, index: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Means of values[index] over runs of the given starts and sizes."""
-    return np.add.reduceat(values[index], starts, axis=0) / sizes[:, None]
+#: Entries that are gathered at a time in training.
+TOGETHER = 1 << 20
+
+
+def _sums(values: np.ndarray, index: np.ndarray, starts: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Sums of values[index] (times weights) over the runs that begin at starts, some runs at a time."""
+    out = np.empty((len(starts), values.shape[1]), values.dtype)
+    ends = np.append(starts[1:], len(index))
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + TOGETHER, side="right")))
+        at = slice(starts[lo], ends[hi - 1])
+        part = values[index[at]]
+        if weights is not None:
+            part *= weights[at, None]
+        out[lo:hi] = np.add.reduceat(part, starts[lo:hi] - starts[lo], axis=0)
+        lo = hi
+    return out
 
 
 def _turned(index: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The runs by what they index: targets, their starts, and the runs and weights in that order."""
-    run = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort(index, kind="stable")
+    """Runs of index turned round, by what they index: targets, their starts, and the runs and weights in that order."""
+    order = np.argsort(index, kind="stable").astype(np.int32)
     to = index[order]
     starts = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1])
-    return to[starts], starts, run[order], (1 / sizes)[run[order]]
+    run = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+    return to[starts], starts, run, (1 / sizes).astype(np.float32)[run]
 
 
 def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
@@ -107,10 +122,14 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray
         return np.zeros(s.buckets, np.float32), float(np.log(share / (1 - share)))
     tokens, sizes, owner = np.asarray(tokens, np.int32), np.asarray(sizes), np.asarray(owner)
     token_starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    own, gram_index = grams(list(words)[1:], s)
-    own, gram_index = np.append(own + 1, 0), np.append(gram_index, s.buckets)  # the words left out have a bucket of their own
-    order = np.argsort(own, kind="stable")
-    gram_index, gram_sizes = gram_index[order], np.bincount(own)
+    names, parts = list(words)[1:], []
+    for i in range(0, len(names), 20_000):
+        own, bucket = grams(names[i : i + 20_000], s)
+        order = np.argsort(own, kind="stable")
+        parts.append((np.bincount(own, minlength=min(20_000, len(names) - i)), bucket[order].astype(np.int32)))
+    # the words left out, word 0, have a bucket of their own
+    gram_sizes = np.concatenate([[1], *(n for n, _ in parts)])
+    gram_index = np.concatenate([np.array([s.buckets], np.int32), *(x for _, x in parts)])
     gram_starts = np.cumsum(gram_sizes) - gram_sizes
     used, gram_index = np.unique(gram_index, return_inverse=True)
     gram_index = gram_index.astype(np.int32)
@@ -124,8 +143,8 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray
     runs = np.repeat(np.arange(len(firsts)), np.diff(np.concatenate([firsts, [len(owner)]])))
     for step in range(s.rounds):
         e, u, b = params
-        wordvec = _means(e, gram_index, gram_starts, gram_sizes)
-        mean = _means(wordvec, tokens, token_starts, sizes)
+        wordvec = _sums(e, gram_index, gram_starts) / gram_sizes[:, None].astype(np.float32)
+        mean = _sums(wordvec, tokens, token_starts) / sizes[:, None].astype(np.float32)
         logits = mean @ u + b
         p = 1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -30, 30)))
         weight = np.ones(len(p), np.float32)
@@ -139,10 +158,10 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray
         dmean = dlogits @ u.T
         dword = np.zeros_like(wordvec)
         to, starts, run, w = word_back
-        dword[to] = np.add.reduceat(dmean[run] * w[:, None].astype(np.float32), starts, axis=0)
+        dword[to] = _sums(dmean, run, starts, w)
         de = np.zeros_like(e)
         to, starts, run, w = gram_back
-        de[to] = np.add.reduceat(dword[run] * w[:, None].astype(np.float32), starts, axis=0)
+        de[to] = _sums(dword, run, starts, w)
         for q, d, (m, v) in zip(params, (de, mean.T @ dlogits, dlogits.sum(0)), moments, strict=True):
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
