@@ -109,6 +109,12 @@ def test_edit_distance():
         want, limit = slow(a, b), rng.randrange(15)
         got = line_dedup.edit_distance(a, b, limit)
         assert got == want if want <= limit else got > limit
+    for _ in range(40):
+        text, others = "".join(rng.choice("abcé ") for _ in range(rng.randrange(1, 70))), ["".join(rng.choice("abcé ") for _ in range(rng.randrange(1, 90))) for _ in range(rng.randrange(1, 9))]
+        assert line_dedup.edit_distances(text, others).tolist() == [slow(text, x) for x in others]
+        near = [text[:k] + "x" + text[k + 1 :] for k in range(min(6, len(text)))] + others
+        for together in (1 << 20, 40):
+            assert line_dedup.alike(text, near, 0.8, together) == [i for i, x in enumerate(near) if line_dedup.similar(x, text, 0.8)]
 
 
 def test_line_dedup(docs, rows, empty):
