@@ -217,6 +217,17 @@ def disjoint_pairs(pairs: DataFrame, score: str, stored: Callable) -> DataFrame:
     return pairs.limit(0) if taken is None else taken.select(pairs.columns)
 
 
+def pair_quality(predicted: DataFrame, expected: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """One row: how many pairs (a, b) are predicted, expected, both, and predicted though forbidden, with precision and recall (1 where there is nothing to find)."""
+    marked = lambda df, name: df.select("a", "b").distinct().withColumn(name, F.lit(1))
+    all_ = marked(predicted, "p").join(marked(expected, "e"), ["a", "b"], "full").join(marked(forbidden, "f"), ["a", "b"], "full")
+    n = lambda c: F.count(F.when(c, 1))
+    p, e, f = (F.col(c).isNotNull() for c in "pef")
+    sums = all_.agg(n(p).alias("predicted"), n(e).alias("expected"), n(p & e).alias("hits"), n(p & f).alias("false_merges"))
+    share = lambda x: F.round(F.when(F.col(x) > 0, F.col("hits") / F.col(x)).otherwise(1.0), 6)
+    return sums.select("*", share("predicted").alias("precision"), share("expected").alias("recall"))
+
+
 def fused(vectors: DataFrame, by: str, weight: str | None = None, keep_norm: bool = False) -> DataFrame:
     """(by, fused): the mean of the vectors of a group, weighted, or scaled to their mean norm."""
     w = F.lit(1.0) if weight is None else F.col(weight)

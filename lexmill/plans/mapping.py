@@ -132,15 +132,19 @@ def one_slot_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.one_slot(c.withColumn("b", F.concat(F.slice("a", 1, 1), F.array(F.lit("changed")), F.slice("a", 3, 1 << 30))))
 
 
-@query("""WITH p AS (SELECT a, b FROM (SELECT vec_id AS a, vec_id + label AS b FROM embeddings)), e AS (SELECT vec_id AS a, vec_id + label % 3 AS b FROM embeddings)
-SELECT (SELECT count(*) FROM (SELECT * FROM p INTERSECT SELECT * FROM e)) AS hits, (SELECT count(*) FROM (SELECT DISTINCT * FROM p)) AS predicted, (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS expected,
-round((SELECT count(*) FROM (SELECT * FROM p INTERSECT SELECT * FROM e))::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT * FROM p)), 6) AS precision""")
+PAIRED = "(SELECT x.vec_id AS a, y.vec_id AS b, {} AS c FROM embeddings x JOIN embeddings y ON y.vec_id BETWEEN x.vec_id + 1 AND x.vec_id + 5 WHERE {})"
+
+
+@query(f"""WITH p AS (SELECT a, b FROM {PAIRED.format(COS.format('x.embedding', 'y.embedding'), 'true')} WHERE round(c, 6) >= 0.1), e AS (SELECT a, b FROM {PAIRED.format('0', 'x.label = y.label')}), f AS (SELECT a, b FROM {PAIRED.format('0', 'x.label % 2 <> y.label % 2')}),
+n AS (SELECT (SELECT count(*) FROM p) AS predicted, (SELECT count(*) FROM e) AS expected, (SELECT count(*) FROM p JOIN e USING (a, b)) AS hits, (SELECT count(*) FROM p JOIN f USING (a, b)) AS false_merges)
+SELECT *, round(CASE WHEN predicted > 0 THEN hits / predicted ELSE 1.0 END, 6) AS precision, round(CASE WHEN expected > 0 THEN hits / expected ELSE 1.0 END, 6) AS recall FROM n""")
 def mapping_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near vectors among neighbours, against those with one label, and those whose labels must not meet."""
     e = table(spark, sf_dir, "embeddings")
-    p = e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + F.col("label")).alias("b"))
-    x = e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + F.col("label") % 3).alias("b"))
-    n = lambda d, k: d.distinct().agg(F.count("*").alias(k))
-    return n(p.intersect(x), "hits").crossJoin(n(p, "predicted")).crossJoin(n(x, "expected")).withColumn("precision", F.round(F.col("hits") / F.col("predicted"), 6))
+    x = e.select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("embedding").alias("x"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 5)).alias("b"))
+    pairs = x.join(e.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"), F.col("embedding").alias("y")), "b")
+    near = pairs.filter(F.round(M.cosine(F.col("x"), F.col("y")), 6) >= 0.1)
+    return M.pair_quality(near, pairs.filter("la = lb"), pairs.filter("la % 2 <> lb % 2"))
 
 
 #: Turns as spans: a cluster holds the first turn of each conversation with one role and length class.

@@ -218,6 +218,33 @@ def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "n_chars", (total == F.col("n_chars")).alias("covered"), F.forall("w", lambda x: x["end"] - x["start"] <= 400).alias("within"))
 
 
+@query('SELECT doc_id, s::INT AS start, least(s + 400, length(text))::INT AS "end" FROM (SELECT doc_id, text, unnest(range(0, length(text), 400)) AS s FROM documents)')
+def codepoint_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(packing.snapped_windows(400, 0, "codepoint")(F.col("text"))).alias("w"))
+    return rows.select("doc_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+
+
+#: A small dictionary; real ones are the caller's.
+WORDS = ("the", "tion", "er", "an", "ation", "in", "de", "la", "est", "ing")
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\s\\p{{Z}}]+')) AS word FROM documents),
+v AS (SELECT unnest([{", ".join(f"'{x}'" for x in WORDS)}]) AS t),
+m AS (SELECT word, 0 AS p, 0 AS n FROM w
+      UNION ALL SELECT word, p + coalesce((SELECT max(length(t)) FROM v WHERE substr(m.word, m.p + 1, length(t)) = t), 1), n + 1 FROM m WHERE p < length(word))
+SELECT word, max(n)::BIGINT AS n_words FROM m GROUP BY word""")
+def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs without spaces, segmented by the longest words of a dictionary."""
+    known = set(WORDS)
+
+    @F.udf("long", useArrow=True)
+    def count(word: str) -> int:
+        return len(packing.dictionary_words(word, known))
+
+    words = _docs(spark, sf_dir).select(F.explode(pretok.pieces(F.col("text"), "whitespace_split")).alias("word")).distinct()
+    return words.select("word", count("word").alias("n_words"))
+
+
 @query()
 def document_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", encode.byte_ids(F.col("text")).alias("ids"))

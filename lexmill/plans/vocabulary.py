@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators import models, encode, pretok
 from lexmill.operators import vocabulary as VO
 
-from .registry import query, table
+from .registry import HEX_ID, query, table
 from .tokens import VOCAB, V
 
 OTHER = ["e", "th", "ing", "tion", "ción", " que", "the", "zz"]
@@ -81,15 +81,17 @@ def vocab_doctor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VO.doctor_roundtrip(docs, back, "roundtrip")
 
 
-@query(f"""WITH a AS {VOCAB}, b AS {OTHER_SQL}, n AS (SELECT (SELECT max(id) FROM a) + row_number() OVER (ORDER BY b_id) AS id, hex FROM b WHERE hex NOT IN (SELECT hex FROM a))
-SELECT count(*)::BIGINT AS n_new, 1.0::DOUBLE AS least, 1.0::DOUBLE AS most FROM n""")
+@query(f"""WITH w AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS k FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{{5,}}')) AS word FROM documents) GROUP BY word) ORDER BY n DESC, word LIMIT 20),
+h AS (SELECT 255 + k AS id, word, strlen(word) AS len, unnest(regexp_extract_all(hex(encode(word)), '..')) AS h FROM w)
+SELECT id::BIGINT AS id, word, ({HEX_ID})::BIGINT AS source, round(sum(1.0::DOUBLE / len), 9) AS weight FROM h GROUP BY ALL""")
 def vocab_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weights of each new token's plan sum to one."""
-    new = _other(spark).select("hex", F.col("id").alias("rank"))
-    pieces = spark.createDataFrame([(t,) for t in OTHER], "piece string")
-    coded = encode.encode_pieces(pieces, V, "bpe").select(F.hex(F.encode("piece", "UTF-8")).alias("piece_hex"), "ids")
-    plan = VO.extended(encode.vocab_table(spark, V), new, coded).groupBy("id").agg(F.round(F.sum("weight"), 6).alias("w"))
-    return plan.agg(F.count("*").alias("n_new"), F.min("w").alias("least"), F.max("w").alias("most"))
+    """A vocabulary of bytes with the 20 most frequent longer words appended: each starts as the mean of its bytes."""
+    base = models.Vocab(V.tokens[:256])
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = words.orderBy(F.desc("n"), "word").limit(20).select("word", F.row_number().over(Window.orderBy(F.desc("n"), "word")).alias("rank"), F.hex(F.encode("word", "UTF-8")).alias("hex"))
+    coded = encode.encode_pieces(top.select(F.col("word").alias("piece")), base, "bpe").select(F.hex(F.encode("piece", "UTF-8")).alias("piece_hex"), "ids")
+    plan = VO.extended(encode.vocab_table(spark, base), top.select("hex", "rank"), coded)
+    return plan.select("id", F.decode(F.unhex("hex"), "UTF-8").alias("word"), "source", "weight")
 
 
 @query(f"""WITH a AS (SELECT id, hex FROM {VOCAB} WHERE length(hex) >= 4), b AS {OTHER_SQL},
