@@ -148,16 +148,23 @@ def _heads(a: np.ndarray, b: np.ndarray, head_a: np.ndarray, head_b: np.ndarray,
 
 
 def merged(strings: list[bytes], length: int, shard_bytes: int = 1 << 18) -> Shard:
-    """The order of all strings' suffixes: of shards of some shard_bytes, merged in pairs."""
-    shards, part, size = [], [], 0
-    for x in strings:
+    """The order of all strings' suffixes: of shards of some shard_bytes, merged with their neighbours of the same size as they are made, so few shards are held at once."""
+    held: list[tuple[int, Shard]] = []
+
+    def join() -> None:
+        (_, b), (level, a) = held.pop(), held.pop()
+        held.append((level + 1, a.merge(b)))
+
+    part: list[bytes] = []
+    size = 0
+    for i, x in enumerate(strings):
         part.append(x)
         size += len(x) + 1
-        if size >= shard_bytes:
-            shards.append(Shard.of(part, length))
+        if size >= shard_bytes or i + 1 == len(strings):
+            held.append((0, Shard.of(part, length)))
             part, size = [], 0
-    if part:
-        shards.append(Shard.of(part, length))
-    while len(shards) > 1:
-        shards = [shards[i].merge(shards[i + 1]) if i + 1 < len(shards) else shards[i] for i in range(0, len(shards), 2)]
-    return shards[0]
+            while len(held) > 1 and held[-1][0] == held[-2][0]:
+                join()
+    while len(held) > 1:
+        join()
+    return held[0][1]
