@@ -31,7 +31,7 @@ BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Segments that a task looks at together.
 TOGETHER = 1000
 #: Different segments of an anchor that one task orders at most (some MB); beyond, their windows are dealt by 128-bit hashes.
-BUCKET = 2000
+BUCKET = 4000
 #: A second hash for each byte value.
 OTHER = mix(BYTES + np.uint64(0x632BE59BD9B4E019))
 
