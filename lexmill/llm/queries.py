@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op4_suffix_dedup": suffix_dedup.OP4_SQL,
+    "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }

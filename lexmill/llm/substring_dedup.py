@@ -213,4 +213,18 @@ def drop_repeated_passages(df: DataFrame, window: int = WINDOW, gram: int = GRAM
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_passages(documents(spark, sf_dir), keep_text=False)
+    return drop_repeated_passages(documents(spark, sf_dir), keep_text=False).drop("n_factors")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+least_id AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+hit AS (SELECT rid, i FROM win JOIN least_id USING (s) WHERE doc_id > m),
+gone AS (SELECT DISTINCT rid, i + k AS p FROM hit, range(13) t(k)),
+word AS (SELECT rid, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
+"""

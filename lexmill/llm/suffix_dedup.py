@@ -171,3 +171,20 @@ def drop_repeated_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, i
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_bytes(documents(spark, sf_dir), keep_bytes=False)
+
+
+#: Strings are told apart by their MD5, as hex digits two to a byte; runs of hits that touch are one span.
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT rid, i, md5(substr(h, (2 * i + 1)::INT, 800)) AS s FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
+twice AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT rid, i FROM win SEMI JOIN twice USING (s)),
+step AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM step),
+span AS (SELECT rid, min(i) AS a, max(i) + 400 AS z FROM run GROUP BY rid, k),
+gap AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS b FROM span),
+cut AS (SELECT rid, sum(z - a)::BIGINT AS n, count(*) AS spans, max(z) AS last, string_agg(substr(h, (2 * b + 1)::INT, (2 * (a - b))::INT), '' ORDER BY a) AS pieces FROM gap JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE pieces || substr(h, (2 * last + 1)::INT) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (rid)
+"""
