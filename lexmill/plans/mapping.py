@@ -104,7 +104,9 @@ def weighted_jaccard_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard(spark, sf_dir, 0.02)
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS (SELECT a, b, similarity, row_number() OVER (ORDER BY similarity DESC, a, b) AS k FROM {JACCARD}), r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used, false AS taken UNION ALL
+SELECT c.k, CASE WHEN list_contains(used, a) OR list_contains(used, b) THEN used ELSE used || [a, b] END, NOT (list_contains(used, a) OR list_contains(used, b)) FROM r JOIN c ON c.k = r.k + 1)
+SELECT a, b, similarity FROM r JOIN c USING (k) WHERE taken""")
 def disjoint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.disjoint_pairs(_jaccard(spark, sf_dir, 0.0), "similarity", stored)
 
