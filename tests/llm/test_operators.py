@@ -117,6 +117,36 @@ def test_edit_distance():
             assert line_dedup.alike(text, near, 0.8, together) == [i for i, x in enumerate(near) if line_dedup.similar(x, text, 0.8)]
 
 
+def test_line_limits():
+    """A pair at just its limit is similar, however long; pairs compared together, and sketches and lines of bytes, are as those of one at a time."""
+    rng = random.Random(5)
+    asked, want, limits = [], [], 0
+    for n in [9, 40, 63, 64, 65, 100, 130, 200] * 6:
+        text = "".join(rng.choice("abc é") for _ in range(n))
+        for more in (0, 1):  # so many letters beyond the limit that none of the text's equals
+            edits = int(n * 0.2 + 1e-9) + more
+            at = set(rng.sample(range(n), edits))
+            other = "".join("z" if i in at else c for i, c in enumerate(text))
+            asked.append((text, [other]))
+            want.append([0] * (1 - more))
+            limits += line_dedup.similar(text, other, 0.8) == (not more)
+            spots = sorted(rng.sample(range(n), n // 4 + more))
+            longer = "".join("z" * (i in spots) + c for i, c in enumerate(text))
+            asked.append((text, [longer]))
+            want.append([0] * (1 - more))
+            limits += line_dedup.similar(longer, text, 0.8) == (not more)
+    assert limits == len(asked)
+    assert line_dedup.answers(asked, 0.8) == want
+    assert line_dedup.answers(asked[:2], 0.8) == want[:2]
+    assert not line_dedup.close_words(["a", "b"], ["c", "d"], 1) and line_dedup.close_words(["a", "b"], ["a", "d"], 2)
+    long = " ".join(f"w{i}" for i in range(2000))
+    assert line_dedup.answers([(long, [long.replace("w7", "v7"), long[::-1]])], 0.8) == [[0]]
+    text = "ΑΣ Σ\r\n\t a \x0b\x0c  B \n\n\x1cc"
+    assert line_dedup.normal_lines(text) == [line_dedup.normal(x).encode() for x in text.split("\n")]
+    lines = [x for x, _ in asked] + [long]
+    assert line_dedup.sketches(lines) == [line_dedup.sketches([x])[0] for x in lines]
+
+
 def test_line_dedup(docs, rows, empty):
     mask, m = (1 << 64) - 1, int(windows.M)
 
