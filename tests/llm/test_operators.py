@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -147,6 +148,85 @@ def test_line_limits():
     assert line_dedup.sketches(lines) == [line_dedup.sketches([x])[0] for x in lines]
 
 
+def test_lines_compared_together():
+    """Distances near the diagonal decide as whole tables do; unlike lines of a group are compared many at a time, and all links of it are kept."""
+    rng = random.Random(6)
+    a, b, limits = [], [], []
+    for n in [30, 64, 150, 200, 333, 420] * 8:
+        text = [rng.choice("abcd é") for _ in range(n)]
+        other = list(text)
+        for _ in range(rng.randrange(1, n // 4)):
+            k = rng.randrange(len(other))
+            other[k : k + rng.randrange(2)] = rng.choice(["", "a", "z", "bc"])
+        x, y = "".join(text), "".join(other) or "a"
+        true = line_dedup.edit_distance(x, y, len(x) + len(y))
+        for limit in {max(0, true - 1), true, true + 20, rng.randrange(n)}:
+            a.append(x)
+            b.append(y)
+            limits.append(limit)
+    want = [line_dedup.edit_distance(x, y, len(x) + len(y)) <= k for x, y, k in zip(a, b, limits, strict=True)]
+    for x, y in ((a, b), (b, a)):
+        assert line_dedup.within(x, y, np.array(limits)).tolist() == want
+        assert [bool(line_dedup.within([p], [q], np.array([k]))[0]) for p, q, k in zip(x, y, limits, strict=True)] == want
+
+    class Rows:
+        """Takes what verified() does in a task."""
+
+        def same(self, *_):
+            return self
+
+        select = repartition = sortWithinPartitions = same
+
+        def mapInArrow(self, run, _):
+            return run
+
+    lines = ["".join(rng.choice("abcd ") for _ in range(60)) for _ in range(100)]
+    lines += [x[:k] + "z" + x[k + 1 :] for x in lines[:30] for k in (5, 20, 40)]
+    rng.shuffle(lines)
+    rows = pa.RecordBatch.from_pydict({"root": np.zeros(len(lines), np.int64), "h": np.arange(len(lines)), "v": pa.array([bytes(32)] * len(lines)), "line": lines})
+    rounds, answers = [], line_dedup.answers
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_dedup, "answers", lambda asked, least: rounds.append(len(asked)) or answers(asked, least))
+        links = [(x["a"], x["b"]) for t in line_dedup.verified(Rows(), ["root"], [None, 28], 0.8)(iter([rows])) for x in t.to_pylist()]
+
+    def groups(pairs):
+        home = list(range(len(lines)))
+        for i, j in pairs:
+            home = [home[i] if x == home[j] else x for x in home]
+        return home
+
+    def sets(home):
+        return sorted(tuple(i for i, x in enumerate(home) if x == y) for y in set(home))
+
+    assert all(line_dedup.similar(lines[i], lines[j], 0.8) for i, j in links)
+    assert sets(groups(links)) == sets(groups((i, j) for i, j in combinations(range(len(lines)), 2) if line_dedup.similar(lines[i], lines[j], 0.8)))
+    assert len(rounds) < 40  # one line at a time took a round for each
+
+
+def test_line_keys_in_bundles(spark):
+    """Keys dealt out in bundles give the components of keys dealt out one by one, and tell the keys past the limit once each."""
+    rng = random.Random(7)
+    base = [" ".join(rng.choice(["some", "word", "other", "text", "more", "line"]) + str(rng.randrange(9)) for _ in range(14)) for _ in range(15)]
+    lines = sorted({x[: k + 30] + "!" + x[k + 31 :] for x in base for k in range(12)} | {"", "a", "ab", "abc"})
+    made = line_dedup.sketches(lines)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(made)], "h long, sketch binary")
+
+    def groups(found):
+        links = [(r.a, r.b) for r in found if not r.hot]
+        home = list(range(len(lines)))
+        for i, j in links:
+            home = [home[i] if x == home[j] else x for x in home]
+        return sorted(tuple(i for i, x in enumerate(home) if x == y) for y in set(home))
+
+    for most in (20_000, 8):
+        want = simhash.linked(line_dedup.sketch_keys(df), ["key"], "h", ["v0", "v1"], [None, line_dedup.SKETCH], most).collect()
+        for keyed, together in ((250_000, 1_000_000), (100, 1_000_000), (250_000, 50)):
+            got = line_dedup.key_links(df.repartition(5), most, keyed, together).collect()
+            assert groups(got) == groups(want)
+            assert sorted(r.a for r in got if r.hot) == sorted(r.a for r in want if r.hot) and any(r.hot for r in got) == (most == 8)
+    assert line_dedup.key_links(df.filter("h < 0")).count() == 0
+
+
 def test_line_dedup(docs, rows, empty):
     mask, m = (1 << 64) - 1, int(windows.M)
 
