@@ -338,6 +338,34 @@ def test_merged_order_decides(spark):
     assert found == [(10, 10, 41), (11, 5, 41)]
 
 
+def test_merged_order_of_equal_ends():
+    """Strings with equal ends, dealt to many shards, are ordered alike whatever follows them."""
+    for seed in range(20):
+        rng = random.Random(seed)
+        strings = [("".join(rng.choice("ab") for _ in range(rng.randrange(1, 25))) + rng.choice(["abab", "babbabba"])).encode() for _ in range(60)]
+        for length in (14, 30):
+            got, at, windows_ = bwt.merged(strings, length, 60).repeated(), 0, []
+            for x in strings:
+                windows_ += [(at + i, x[i : i + length]) for i in range(len(x) - length + 1)]
+                at += len(x) + 1
+            seen = Counter(w for _, w in windows_)
+            assert [bool(got[i]) for i, _ in windows_] == [seen[w] > 1 for _, w in windows_]
+
+
+def test_frequent_anchors_share_texts(spark, monkeypatch):
+    """Windows of frequent anchors are taken from the same texts as those of others: documents are joined once for both."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, other = text(60), text(60)
+    df = spark.createDataFrame([(i, text(30) + core + text(30) + (other if i < 2 else "")) for i in range(8)], "doc_id long, text string").coalesce(1)
+    calls, made = [], suffix_dedup.segment_texts
+    monkeypatch.setattr(suffix_dedup, "segment_texts", lambda *a: calls.append(1) or made(*a))
+    ask = lambda **more: sorted(map(tuple, suffix_dedup.drop_repeated_bytes(df, window=40, gram=20, keep_bytes=False, **more).collect()))
+    want = ask()
+    assert len(calls) == 1 and min(r[2] for r in want) >= 60
+    assert ask(bucket=3) == want and ask(hot=2) == want and len(calls) == 3
+
+
 @pytest.mark.parametrize("hot", [None, 1])
 def test_repeated_passages(docs, rows, empty, hot, monkeypatch):
     where = defaultdict(set)
