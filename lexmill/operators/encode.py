@@ -53,7 +53,7 @@ def byte_lists(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, ids) under the byte model; a null text has no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in text_parts(whole, 1)):
             text = pc.fill_null(b.column(1), "")
             ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int32)
             raw = np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] else np.zeros(0, np.uint8)
@@ -82,25 +82,38 @@ def piece_rows(docs: DataFrame, scheme: str, id_col: str = "doc_id", text: Colum
     return docs.select(id_col, F.posexplode(pretok.pieces(F.col("text") if text is None else text, scheme)).alias("pos", "piece"))
 
 
+#: Characters of pieces whose ids a worker keeps, and of a piece that is worth it.
+KEPT, WORTH = 1 << 20, 256
+#: Bytes of texts or pieces, and ids, that a worker looks at together.
+BYTES, IDS = 1 << 20, 1 << 18
+
+
 class Coder:
-    """Ids of pieces; those of up to limit pieces are kept."""
+    """Ids of pieces; those of up to limit characters of short pieces are kept."""
 
-    def __init__(self, v: Vocab, kernel: str, limit: int = 500_000):
-        self.v, self.f, self.limit = v, models.KERNELS[kernel], limit
-        self.known: dict[str, list[int]] = {}
+    def __init__(self, v: Vocab, kernel: str, limit: int = KEPT):
+        self.v, self.f, self.limit = v, models.coder(kernel, v), limit
+        self.known: dict[str, np.ndarray] = {}
+        self.size = 0
 
     def __call__(self, pieces: pa.Array) -> pa.ListArray:
         """A list of ids for each piece."""
         coded = pieces.dictionary_encode()
-        if len(self.known) > self.limit:
+        if self.size > self.limit:
             self.known.clear()
+            self.size = 0
         lists = []
         for p in coded.dictionary.to_pylist():
             ids = self.known.get(p)
             if ids is None:
-                ids = self.known[p] = self.f(p.encode("utf-8", "surrogatepass"), self.v)
+                ids = np.array(self.f(p.encode("utf-8", "surrogatepass")), np.int64)
+                if len(p) <= WORTH:
+                    self.known[p] = ids
+                    self.size += len(p)
             lists.append(ids)
-        return pa.array(lists, pa.list_(pa.int64())).take(coded.indices)
+        ends = np.cumsum([0, *map(len, lists)], dtype=np.int64).astype(np.int32)
+        made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
+        return made if len(coded.indices) == len(lists) and coded.indices.equals(pa.array(np.arange(len(lists), dtype=np.int32))) else made.take(coded.indices)
 
 
 def _ends(lists: pa.ListArray) -> np.ndarray:
@@ -108,20 +121,78 @@ def _ends(lists: pa.ListArray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
 
 
+def parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch whose sizes add up to about most; a row stays whole."""
+    total, lo = np.cumsum(sizes), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def text_parts(batch: pa.RecordBatch, column: int, most: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """parts() by the bytes of a column of texts, or of lists of pieces, which count as 8 more each."""
+    c = batch.column(column)
+    if pa.types.is_list(c.type):
+        before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(c.flatten()), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)])
+        sizes = np.diff(before[_ends(c)])
+    else:
+        sizes = pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return parts(batch, sizes, most)
+
+
 def encode_lists(docs: DataFrame, v: Vocab, kernel: str = "bpe", scheme: str = "cl100k", id_col: str = "doc_id") -> DataFrame:
     """(id, ids) of each document with any pieces."""
     shared = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Coder(shared.value, kernel)
-        for b in batches:
+        return _coded(batches, shared.value, kernel, id_col)
+
+    return _pieced(docs, scheme, id_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<long>")
+
+
+def _pieced(docs: DataFrame, scheme: str, id_col: str) -> DataFrame:
+    return docs.select(id_col, pretok.pieces(F.col("text"), scheme).alias("pieces")).filter(F.size("pieces") > 0)
+
+
+def _coded(batches: Iterator[pa.RecordBatch], v: Vocab, kernel: str, id_col: str) -> Iterator[pa.RecordBatch]:
+    """(id, ids) of (id, pieces)."""
+    code = Coder(v, kernel)
+    for whole in batches:
+        for b in text_parts(whole, 1):
             ids = code(b.column(1).flatten())
             ends = _ends(ids)[_ends(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), ids.flatten())], [id_col, "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(id_col, pretok.pieces(F.col("text"), scheme).alias("pieces")).filter(F.size("pieces") > 0)
-    return rows.mapInArrow(run, f"{id_col} {kind}, ids array<long>")
+
+def _decoded(batches: Iterator[pa.RecordBatch], v: Vocab, id_col: str, kind: str) -> Iterator[pa.RecordBatch]:
+    """(id, raw) of (id, ids)."""
+    tokens = [t or b"" for t in v.tokens] + [b""]
+    if kind == "wordpiece":
+        tokens = [t[2:] if t.startswith(b"##") else b" " + t for t in tokens[:-1]] + [b""]
+    names = pa.array(tokens, pa.binary())
+    for whole in batches:
+        for b in parts(whole, np.diff(_ends(whole.column(1)).astype(np.int64)), IDS):
+            ids = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            ids = np.where((ids >= 0) & (ids < len(tokens) - 1), ids, len(tokens) - 1)
+            text = pa.ListArray.from_arrays(pa.array(_ends(b.column(1))), names.take(pa.array(ids)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_join(text, pa.scalar(b"", pa.binary()))], [id_col, "raw"])
+
+
+def _text(made: DataFrame, id_col: str, kind: str) -> DataFrame:
+    text = F.decode("raw", "UTF-8")
+    return made.select(id_col, (F.substring(text, 2, 1 << 30) if kind == "wordpiece" else text).alias("text"))
+
+
+def roundtrip(docs: DataFrame, v: Vocab, kernel: str = "bpe", scheme: str = "cl100k", id_col: str = "doc_id", kind: str = "concat") -> DataFrame:
+    """decode_lists(encode_lists(docs)): a worker decodes what it has encoded, so ids stay where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoded(_coded(batches, shared.value, kernel, id_col), shared.value, id_col, kind)
+
+    made = _pieced(docs, scheme, id_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, raw binary")
+    return _text(made, id_col, kind)
 
 
 def decode_lists(rows: DataFrame, v: Vocab, id_col: str = "doc_id", kind: str = "concat") -> DataFrame:
@@ -129,19 +200,9 @@ def decode_lists(rows: DataFrame, v: Vocab, id_col: str = "doc_id", kind: str =
     shared = rows.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = [t or b"" for t in shared.value.tokens] + [b""]
-        if kind == "wordpiece":
-            tokens = [t[2:] if t.startswith(b"##") else b" " + t for t in tokens[:-1]] + [b""]
-        names = pa.array(tokens, pa.binary())
-        for b in batches:
-            ids = b.column(1).flatten().to_numpy(zero_copy_only=False)
-            ids = np.where((ids >= 0) & (ids < len(tokens) - 1), ids, len(tokens) - 1)
-            parts = pa.ListArray.from_arrays(pa.array(_ends(b.column(1))), names.take(pa.array(ids)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_join(parts, pa.scalar(b"", pa.binary()))], [id_col, "raw"])
+        return _decoded(batches, shared.value, id_col, kind)
 
-    made = rows.select(id_col, "ids").mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, raw binary")
-    text = F.decode("raw", "UTF-8")
-    return made.select(id_col, (F.substring(text, 2, 1 << 30) if kind == "wordpiece" else text).alias("text"))
+    return _text(rows.select(id_col, "ids").mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, raw binary"), id_col, kind)
 
 
 def transcoded(rows: DataFrame, before: Vocab, after: Vocab, kernel: str = "bpe", scheme: str = "cl100k", id_col: str = "doc_id", most: int | None = None) -> DataFrame:
@@ -156,18 +217,20 @@ def transcoded(rows: DataFrame, before: Vocab, after: Vocab, kernel: str = "bpe"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([t or b"" for t in shared.value[0].tokens], pa.binary())
-        for b in batches:
-            parts = pa.ListArray.from_arrays(pa.array(_ends(b.column(1))), names.take(b.column(1).flatten()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_join(parts, pa.scalar(b"", pa.binary())), b.column(2)], [id_col, "raw", "n_before"])
+        for whole in batches:
+            for b in parts(whole, np.diff(_ends(whole.column(1)).astype(np.int64)), IDS):
+                text = pa.ListArray.from_arrays(pa.array(_ends(b.column(1))), names.take(b.column(1).flatten()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_join(text, pa.scalar(b"", pa.binary())), b.column(2)], [id_col, "raw", "n_before"])
 
     kind = rows.schema[id_col].dataType.simpleString()
     text = guarded.mapInArrow(run, f"{id_col} {kind}, raw binary, n_before int").select(id_col, F.decode("raw", "UTF-8").alias("text"), "n_before")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = Coder(shared.value[1], kernel)
-        for b in batches:
-            ids = ask(b.column(3).flatten())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(_ends(ids)[_ends(b.column(3))]), ids.flatten())], [id_col, "text", "n_before", "ids"])
+        for whole in batches:
+            for b in text_parts(whole, 3):
+                ids = ask(b.column(3).flatten())
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(_ends(ids)[_ends(b.column(3))]), ids.flatten())], [id_col, "text", "n_before", "ids"])
 
     return text.select("*", pretok.pieces(F.col("text"), scheme).alias("pieces")).mapInArrow(code, f"{id_col} {kind}, text string, n_before int, ids array<long>")
 
@@ -178,8 +241,9 @@ def encode(docs: DataFrame, v: Vocab, kernel: str = "bpe", scheme: str = "cl100k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Coder(shared.value, kernel)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, code(b.column(2))], [id_col, "pos", "piece", "ids"])
+        for whole in batches:
+            for b in text_parts(whole, 2):
+                yield pa.RecordBatch.from_arrays([*b.columns, code(b.column(2))], [id_col, "pos", "piece", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return piece_rows(docs, scheme, id_col).mapInArrow(run, f"{id_col} {kind}, pos int, piece string, ids array<long>")
@@ -204,7 +268,7 @@ def token_counts(docs: DataFrame, v: Vocab, kernel: str = "bpe", scheme: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Coder(shared.value, kernel)
-        for b in batches:
+        for b in (part for whole in batches for part in text_parts(whole, 0)):
             n = pc.value_counts(code(b.column(0).flatten()).flatten())
             yield pa.RecordBatch.from_arrays([n.field("values"), n.field("counts")], ["id", "n"])
 

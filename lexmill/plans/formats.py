@@ -46,8 +46,7 @@ def _format(name: str) -> None:
         sinks.put_bytes(spark, path, data())
         raw = readers.read_bytes(spark, path)
         v, kind = readers.load(raw), readers.detect(raw)
-        ids = encode.encode_lists(_docs(spark, sf_dir), v, kernel, scheme)
-        return encode.decode_lists(ids, v).select("doc_id", F.sha2("text", 256).alias("sha"), F.lit(kind).alias("format"))
+        return encode.roundtrip(_docs(spark, sf_dir), v, kernel, scheme).select("doc_id", F.sha2("text", 256).alias("sha"), F.lit(kind).alias("format"))
 
     run.__name__ = f"format_{name}"
     query(f"SELECT doc_id, sha256(text) AS sha, '{name}' AS format FROM documents WHERE text <> ''")(run)
@@ -61,7 +60,7 @@ for _name in FORMATS:
 def public_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A public vocabulary of 50,256 tokens over all documents, and back; its ids are held against the library that it belongs to in tests."""
     v = readers.load(readers.read_bytes(spark, f"file://{PUBLIC}/byte_bpe_50k.tiktoken"))
-    return encode.decode_lists(encode.encode_lists(_docs(spark, sf_dir), v, "bpe", "gpt2"), v).select("doc_id", F.sha2("text", 256).alias("sha"))
+    return encode.roundtrip(_docs(spark, sf_dir), v, "bpe", "gpt2").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
 @query(f"SELECT rank, hex FROM (SELECT i AS rank, hex FROM (VALUES {', '.join(f'({i}, {chr(39)}{t.hex().upper()}{chr(39)})' for i, t in enumerate(V.tokens))}) AS t(i, hex))")
@@ -156,7 +155,7 @@ def sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wordpiece_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of small letters, encoded and decoded again: one space stands between words."""
     rows = _docs(spark, sf_dir).select("doc_id", F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), " ").alias("text"))
-    return encode.decode_lists(encode.encode_lists(rows, WP, "wordpiece", "whitespace_split"), WP, kind="wordpiece")
+    return encode.roundtrip(rows, WP, "wordpiece", "whitespace_split", kind="wordpiece")
 
 
 @query("SELECT doc_id, sha256(text) AS sha, true AS same FROM documents WHERE text <> ''")
