@@ -39,8 +39,7 @@ def _roundtrip(name: str, kernel: str, scheme: str):
     """decode(encode(text)) per document; its digest must be that of the text."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = encode.encode_lists(_docs(spark, sf_dir), V, kernel, scheme)
-        return encode.decode_lists(rows, V).select("doc_id", F.sha2("text", 256).alias("sha"))
+        return encode.roundtrip(_docs(spark, sf_dir), V, kernel, scheme).select("doc_id", F.sha2("text", 256).alias("sha"))
 
     run.__name__ = name
     query("SELECT doc_id, sha256(text) AS sha FROM documents WHERE text <> ''")(run)

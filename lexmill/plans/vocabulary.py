@@ -77,7 +77,7 @@ def vocab_doctor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that a vocabulary of ASCII bytes can't give back."""
     ascii_only = models.Vocab([bytes([b]) for b in range(128)])
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    back = encode.decode_lists(encode.encode_lists(docs, ascii_only, "bpe", "identity", id_col="id"), ascii_only, id_col="id")
+    back = encode.roundtrip(docs, ascii_only, "bpe", "identity", id_col="id")
     return VO.doctor_roundtrip(docs, back, "roundtrip")
 
 
