@@ -8,11 +8,13 @@ Nulls stay null.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache, reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,12 +23,29 @@ Kernel = Callable[[str], str]
 ASCII_SPACE = r"[\t\n\x0B\f\r ]"
 
 
+#: Bytes of texts that a worker looks at together.
+BYTES = 1 << 20
+
+
+def text_slices(a: pa.Array) -> Iterator[pa.Array]:
+    """Slices of an array of texts of about BYTES bytes; a text stays whole."""
+    total, lo = np.cumsum(pc.fill_null(pc.binary_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BYTES, side="right")))
+        yield a.slice(lo, hi - lo)
+        lo = hi
+
+
 def lift(kernel: Kernel) -> Callable[[Column], Column]:
-    """A text kernel as a function on columns."""
+    """A text kernel as a function on columns. Batches come back in slices, so a worker holds some MB of what the kernel made."""
 
-    @F.pandas_udf(T.StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(kernel, na_action="ignore")
+    @F.arrow_udf(T.StringType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in batches:
+            if not len(whole):
+                yield pa.array([], pa.string())
+            for a in text_slices(whole):
+                yield pa.array([None if t is None else kernel(t) for t in a.to_pylist()], pa.string())
 
     return run
 
@@ -60,9 +79,24 @@ def strip_ascii(c: Column, left: bool = True, right: bool = True) -> Column:
     return F.regexp_replace(c, f"{ASCII_SPACE}+$", "") if right else c
 
 
+class Table(dict):
+    """A table for str.translate(): what a function makes of each character, looked up once."""
+
+    def __init__(self, of: Callable[[str], str]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, code: int) -> str:
+        made = self[code] = self.of(chr(code))
+        return made
+
+
+FOLDED = Table(lambda c: x if len(x := c.lower()) == 1 else c)
+
+
 def fold_simple(text: str) -> str:
     """Lower case where it is one character for one."""
-    return "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    return text.lower() if text.isascii() else text.translate(FOLDED)
 
 
 lowercase_simple = lift(fold_simple)
@@ -90,8 +124,12 @@ def byte_alphabet() -> list[str]:
 
 
 def to_byte_level(text: str) -> str:
-    table = byte_alphabet()
-    return "".join(table[b] for b in text.encode("utf-8", "surrogatepass"))
+    return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_byte_level())
+
+
+@cache
+def _byte_level() -> dict[int, str]:
+    return dict(enumerate(byte_alphabet()))
 
 
 @cache
@@ -118,14 +156,26 @@ def is_cjk(c: str) -> bool:
     return any(a <= ord(c) <= b for a, b in CJK)
 
 
+def _cleaned(c: str) -> str:
+    kind = unicodedata.category(c)
+    return " " if c in "\t\n\r" or kind == "Zs" else "" if c in "\0\ufffd" or kind in ("Cc", "Cf") else c
+
+
+CLEANED = Table(_cleaned)
+APART = Table(lambda c: f" {c} " if is_cjk(c) else c)
+UNMARKED = Table(lambda c: "" if unicodedata.category(c) == "Mn" else c)
+
+
 def bert_text(text: str, clean: bool = True, cjk: bool = True, strip_accents: bool | None = None, lower: bool = True) -> str:
     """Clean, set CJK characters apart, strip accents (by default with lower) and lower."""
     if clean:
-        text = "".join(" " if c in "\t\n\r" or unicodedata.category(c) == "Zs" else c for c in text if not (c in "\0�" or c not in "\t\n\r" and unicodedata.category(c) in ("Cc", "Cf")))
+        text = text.translate(CLEANED)
+    if text.isascii():
+        return text.lower() if lower else text
     if cjk:
-        text = "".join(f" {c} " if is_cjk(c) else c for c in text)
+        text = text.translate(APART)
     if lower if strip_accents is None else strip_accents:
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+        text = unicodedata.normalize("NFD", text).translate(UNMARKED)
     return text.lower() if lower else text
 
 
@@ -241,30 +291,58 @@ def with_origin(kernel: Kernel, text: str) -> tuple[str, list[int]]:
 
     The kernel is taken to work character cluster by cluster; what it makes of
     each prefix tells how far the source has been used."""
-    out, origin, at = "", [], 0
-    cluster = ""
-    parts: list[tuple[int, str]] = []
-    for c in text:
-        if cluster and not unicodedata.combining(c):
-            parts.append((at, cluster))
-            at += len(cluster.encode("utf-8", "surrogatepass"))
-            cluster = ""
-        cluster += c
-    if cluster:
-        parts.append((at, cluster))
-    for start, cluster in parts:
-        made = kernel(cluster)
-        out += made
-        origin += [start] * len(made.encode("utf-8", "surrogatepass"))
-    return out, origin
+    made, origin = _origins(Clusters(kernel), text)
+    return made, origin.tolist()
 
 
-def origin_column(kernel: Kernel) -> Callable[[Column], Column]:
-    """STRUCT<text, origin ARRAY<INT>> of a cluster-wise kernel."""
+class Clusters(dict):
+    """What a kernel makes of a cluster, and the bytes of both; worked out once, for some clusters at a time."""
+
+    def __init__(self, kernel: Kernel):
+        super().__init__()
+        self.kernel = kernel
 
-    @F.pandas_udf(T.StructType().add("text", T.StringType()).add("origin", T.ArrayType(T.IntegerType())))
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([with_origin(kernel, t) if t is not None else (None, None) for t in s], columns=["text", "origin"])
+    def __missing__(self, cluster: str) -> tuple[str, int, int]:
+        if len(self) > 1 << 16:
+            self.clear()
+        made = self.kernel(cluster)
+        own = self[cluster] = made, _size(made), _size(cluster)
+        return own
+
+
+def _origins(known: Clusters, text: str) -> tuple[str, np.ndarray]:
+    if not text:
+        return "", np.zeros(0, np.int32)
+    clusters = text
+    if not text.isascii() and any(map(unicodedata.combining, set(text))):
+        cut = [i for i, c in enumerate(text) if i == 0 or not unicodedata.combining(c)]
+        clusters = [text[i:j] for i, j in zip(cut, [*cut[1:], len(text)], strict=True)]
+    made, sizes, used = zip(*[known[c] for c in clusters], strict=True)
+    used = np.array(used)
+    return "".join(made), np.repeat(np.cumsum(used) - used, sizes).astype(np.int32)
+
+
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def origin_column(kernel: Kernel) -> Callable[[Column], Column]:
+    """STRUCT<text, origin ARRAY<INT>> of a cluster-wise kernel; of a worker's batch some MB at a time."""
+
+    @F.arrow_udf(T.StructType().add("text", T.StringType()).add("origin", T.ArrayType(T.IntegerType())))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Clusters(kernel)
+        for whole in batches:
+            for a in text_slices(whole) if len(whole) else [whole]:
+                made, origins, ends = [], [np.zeros(0, np.int32)], [0]
+                for t in a.to_pylist():
+                    text, own = _origins(known, t) if t is not None else (None, origins[0])
+                    made.append(text)
+                    origins.append(own)
+                    ends.append(ends[-1] + len(own))
+                lost = np.array([t is None for t in made], bool)
+                lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32), mask=np.append(lost, False)), pa.array(np.concatenate(origins)))
+                yield pa.StructArray.from_arrays([pa.array(made, pa.string()), lists], ["text", "origin"])
 
     return run
 
