@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,6 +121,10 @@ def bounded_levenshtein(a: Column, b: Column, cap: int) -> Column:
     return F.when(empty, F.least(F.greatest(F.size(a), F.size(b)), F.lit(cap + 1))).otherwise(F.when(d < 0, cap + 1).otherwise(d)).cast("int")
 
 
+#: Ids whose hashes a worker makes together.
+HASHED = 1 << 17
+
+
 def ngram_hashes(ids: Column, n: int, heads: int):
     """ARRAY<LONG> of (size - n + 1) * heads hashes, position by position: a splitmix fold of the ids from a head's salt, with the length folded in last. 64-bit wrap-around is done by numpy."""
     step = np.uint64(0x9E3779B97F4A7C15)
@@ -127,22 +135,32 @@ def ngram_hashes(ids: Column, n: int, heads: int):
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def run(s: pd.Series) -> pd.Series:
-        out = []
-        with np.errstate(over="ignore"):
-            for own in s:
-                x = np.asarray([] if own is None else own, np.uint64)
-                m = len(x) - n + 1
-                if n <= 0 or heads <= 0 or m <= 0:
-                    out.append([])
-                    continue
-                salts = mix(step ^ np.arange(heads, dtype=np.uint64) * step)
-                h = (salts ^ step)[None, :] + np.zeros((m, 1), np.uint64)
-                for j in range(n):
-                    h = mix(h ^ x[j : j + m, None])
-                out.append(mix(h ^ np.uint64(n)).reshape(-1).view(np.int64).tolist())
-        return pd.Series(out)
+    def hashes(x: np.ndarray) -> np.ndarray:
+        m = len(x) - n + 1
+        if n <= 0 or heads <= 0 or m <= 0:
+            return np.zeros(0, np.int64)
+        salts = mix(step ^ np.arange(heads, dtype=np.uint64) * step)
+        h = (salts ^ step)[None, :] + np.zeros((m, 1), np.uint64)
+        for j in range(n):
+            h = mix(h ^ x[j : j + m, None])
+        return mix(h ^ np.uint64(n)).reshape(-1).view(np.int64)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in batches:
+            if not len(whole):
+                yield pa.array([], pa.list_(pa.int64()))
+            sizes = pc.fill_null(pc.list_value_length(whole), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            before, lo = np.concatenate([[0], np.cumsum(sizes)]), 0
+            while lo < len(whole):  # some ids at a time: each becomes a hash for each head
+                hi = max(lo + 1, int(np.searchsorted(before, before[lo] + HASHED, side="right")) - 1)
+                own = whole.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+                ends = before[lo : hi + 1] - before[lo]
+                with np.errstate(over="ignore"):
+                    made = [hashes(own[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                places = np.cumsum([0, *map(len, made)], dtype=np.int64).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(made)))
+                lo = hi
 
     return run(ids)
 
